@@ -15,6 +15,25 @@ def clean_space(text) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+_BLANK, _SOLID = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+
+
+def has_text(text) -> Column:
+    """Whether anything but white space is there; cheaper than cleaning first."""
+    return F.regexp_like(F.coalesce(_c(text), F.lit("")), F.lit(f"(?U){_SOLID}"))
+
+
+def cleaned_at_least(text, n: int) -> Column:
+    """Whether the cleaned text has ``n`` characters, read off the raw text.
+
+    A filter on the cleaned text would be moved below the cleaning, which would then
+    run twice. This looks no further than the n-th character.
+    """
+    unit = f"(?:{_SOLID}|{_BLANK}++(?={_SOLID}))"
+    return F.regexp_like(
+        F.coalesce(_c(text), F.lit("")), F.lit(f"(?U)^{_BLANK}*+{unit}{{{n}}}"))
+
+
 def none_if_empty(text) -> Column:
     return F.nullif(_c(text), F.lit(""))
 
@@ -51,25 +70,27 @@ def looks_remote(*texts) -> Column:
 
 def matched(text, terms) -> Column:
     """Array of the terms that occur, as plain substrings, in lower-cased text."""
-    hay = F.lower(F.coalesce(_c(text), F.lit("")))
-    found = F.filter(_strings(terms), lambda t: F.contains(hay, t))
-    return found
+    hay = _lowered(text)
+    return F.array_compact(F.array(*[
+        F.when(F.contains(hay, F.lit(t)), F.lit(t)) for t in _terms(terms)
+    ]).cast("array<string>"))
 
 
 def matched_words(text, terms) -> Column:
     """Like :func:`matched`, but a term must not touch another word character."""
-    hay = F.lower(F.coalesce(_c(text), F.lit("")))
-    return F.filter(
-        _strings(terms),
-        lambda t: F.regexp_like(
-            hay, F.concat(F.lit(r"(?U)(?<!\w)\Q"), t, F.lit(r"\E(?!\w)"))
-        ),
-    )
+    hay = _lowered(text)
+    return F.array_compact(F.array(*[
+        F.when(F.regexp_like(hay, F.lit(rf"(?U)(?<!\w)\Q{t}\E(?!\w)")), F.lit(t))
+        for t in _terms(terms)
+    ]).cast("array<string>"))
 
 
 def contains_any(text, terms) -> Column:
-    hay = F.lower(F.coalesce(_c(text), F.lit("")))
-    return F.exists(_strings(terms), lambda t: F.contains(hay, t))
+    hay = _lowered(text)
+    found = F.lit(False)
+    for t in _terms(terms):
+        found = found | F.contains(hay, F.lit(t))
+    return found
 
 
 def flag(text) -> Column:
@@ -175,7 +196,9 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _strings(terms) -> Column:
-    if isinstance(terms, Column):
-        return F.transform(terms, lambda t: F.lower(t))
-    return F.array(*[F.lit(str(t).lower()) for t in terms]).cast("array<string>")
+def _lowered(text) -> Column:
+    return F.lower(F.coalesce(_c(text), F.lit("")))
+
+
+def _terms(terms) -> list[str]:
+    return [str(t).lower() for t in terms]

@@ -21,10 +21,10 @@ Cut = Callable[[pd.DataFrame], pd.DataFrame]
 
 REQUEST_ROWS = 20_000
 REQUEST_BYTES = 64 << 20
-CANDIDATE_ROWS = 100_000
+CANDIDATE_ROWS = 20_000
 
 
-def request_bytes(requests: DataFrame) -> tuple[int, int]:
+def measure(requests: DataFrame) -> tuple[int, int]:
     """(rows, bytes) of the requests, measured on their JSON form."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*requests.columns))))
     rows, total = requests.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
@@ -33,12 +33,15 @@ def request_bytes(requests: DataFrame) -> tuple[int, int]:
 
 def best_per_request(
     candidates: DataFrame, requests: DataFrame, score: Score, cut: Cut,
-    schema: str, candidate_key: str, *,
+    schema: str, candidate_key: str, size: tuple[int, int] | None = None, *,
     request_rows: int = REQUEST_ROWS, request_limit: int = REQUEST_BYTES,
     candidate_rows: int = CANDIDATE_ROWS,
 ) -> DataFrame:
-    """Per task, the best rows of every request; cut them once more per request."""
-    rows, total = request_bytes(requests)
+    """Per task, the best rows of every request; cut them once more per request.
+
+    ``size`` is what :func:`measure` gave, when the caller has it.
+    """
+    rows, total = size or measure(requests)
     if rows <= request_rows and total <= request_limit:
         return _broadcast(candidates, requests, score, cut, schema)
     blocks = max(ceil(rows / request_rows), ceil(total / request_limit))

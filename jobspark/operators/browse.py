@@ -55,7 +55,7 @@ def title_matches(roles: list[str]) -> Column:
     if not wanted:
         return F.lit(True)
     title = F.lower("title")
-    return F.exists(F.array(*[F.lit(f"%{r}%") for r in wanted]), lambda p: title.like(p))
+    return F.exists(F.array(*[F.lit(f"%{r}%") for r in wanted]), lambda p: F.like(title, p))
 
 
 def place_fits(locations: list[str]) -> Column:
@@ -64,7 +64,7 @@ def place_fits(locations: list[str]) -> Column:
         return F.lit(True)
     here = F.lower("location")
     return F.col("remote") | F.col("location").isNull() | F.exists(
-        F.array(*[F.lit(f"%{x}%") for x in wanted]), lambda p: here.like(p))
+        F.array(*[F.lit(f"%{x}%") for x in wanted]), lambda p: F.like(here, p))
 
 
 def newest_first() -> list[Column]:
@@ -130,7 +130,7 @@ def _score(n: int):
         by_role = _hits(cand["title"], {r for x in req["roles"] for r in x})
         by_place = _hits(cand["location"], {p for x in req["places"] for p in x})
         says = cand["remote"].notna().to_numpy()
-        remote = (cand["remote"] == True).fillna(False).to_numpy(dtype=bool)  # noqa: E712
+        remote = np.fromiter((v is True or v is np.True_ for v in cand["remote"]), bool, len(cand))
         nowhere = cand["location"].isna().to_numpy()
         salary = cand["salary_max"].astype("float64").fillna(np.inf).to_numpy()
         ids, posted, synced = (cand[c].to_numpy() for c in ("id", "posted", "synced"))

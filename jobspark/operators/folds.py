@@ -135,29 +135,29 @@ def single_default(profiles: DataFrame) -> DataFrame:
     )
 
 
-def stage_transitions(actions: DataFrame) -> DataFrame:
+def stage_transitions(actions: DataFrame, slice_: str = "hour") -> DataFrame:
     """Every stage action with the stage before it, and whether users are offered
     that move. The first action of an application has no former stage.
 
-    The log of one application may be long, so the previous stage is looked up day by
-    day: inside the day by a window, across days from the day's last stage.
+    The log of one application may be long, so the previous stage is looked up by
+    slices of time: inside a slice by a window, across slices from a slice's last stage.
     """
     key = ["user_id", "job_posting_id"]
     log = actions.filter(F.col("stage").isNotNull()).withColumn(
-        "_day", F.date_trunc("day", "ts"))
-    in_day = Window.partitionBy(*key, "_day").orderBy(*WHEN)
-    by_day = Window.partitionBy(*key).orderBy("_day")
-    ends = log.groupBy(*key, "_day").agg(last("stage").alias("_end"))
-    before = ends.select(*key, "_day", F.lag("_end").over(by_day).alias("_before"))
+        "_slice", F.date_trunc(slice_, "ts"))
+    inside = Window.partitionBy(*key, "_slice").orderBy(*WHEN)
+    across = Window.partitionBy(*key).orderBy("_slice")
+    ends = log.groupBy(*key, "_slice").agg(last("stage").alias("_end"))
+    before = ends.select(*key, "_slice", F.lag("_end").over(across).alias("_before"))
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in domains.STAGE_MOVES])
     return (
-        log.withColumn("_prev", F.lag("stage").over(in_day))
-        .join(before, [*key, "_day"])
+        log.withColumn("_prev", F.lag("stage").over(inside))
+        .join(before, [*key, "_slice"])
         .withColumn("previous_stage", F.coalesce("_prev", "_before"))
         .withColumn("allowed", F.when(
             F.col("previous_stage").isNotNull(),
             F.array_contains(allowed, F.concat_ws(">", "previous_stage", "stage"))))
-        .drop("_day", "_prev", "_before")
+        .drop("_slice", "_prev", "_before")
     )
 
 

@@ -27,8 +27,8 @@ def skill_gap(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
         wanted = ranked(firsts, ["profile_id"], [F.col("pair_seq"), F.col("job_posting_id")],
                         max_postings, "_rank").select("profile_id", "job_posting_id")
     mentions = postings.select(
-        F.col("id").alias("job_posting_id"),
-        F.explode(find("description_text", skills)).alias("skill"))
+        F.col("id").alias("job_posting_id"), find("description_text", skills).alias("_found")
+    ).select("job_posting_id", F.explode("_found").alias("skill"))
     counts = wanted.join(mentions, "job_posting_id").groupBy("profile_id", "skill").agg(
         F.count("*").alias("jobs_mentioning"))
     owned = profiles.select(

@@ -6,16 +6,19 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from .. import domains
-from ..functions import text
+from ..functions import text, vectors
 from . import block_top
 from .topn import first_per_key, ranked
 
 # vector: array of numbers, sources: array of strings or NULL for all.
+# probes: list numbers of an approximate search, NULL for an exact one.
 REQUEST_FIELDS = ["request_id", "vector", "model_name", "sources", "remote_only",
-                  "minimum_salary", "location"]
+                  "minimum_salary", "location", "probes"]
 _FILTERS = REQUEST_FIELDS[2:]
 _NEAR = "request_id STRING, chunk_id STRING, job_posting_id STRING, distance DOUBLE"
 _CELLS = 4_000_000  # numbers in one distance block
@@ -69,7 +72,8 @@ def like_pattern(value: str) -> re.Pattern:
 
 
 def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    rows = column.to_numpy()
+    return np.concatenate(rows).astype(np.float64).reshape(len(rows), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -77,19 +81,22 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _eligible(cand: pd.DataFrame, model, sources, remote_only, salary, location) -> np.ndarray:
+def _eligible(cand: pd.DataFrame, model, sources, remote_only, salary, location,
+              probes) -> np.ndarray:
     ok = (cand["model_name"] == model).to_numpy()
+    if probes is not None:
+        ok &= cand["list_id"].isin(probes).to_numpy()
     if sources is not None and len(sources):
         ok &= cand["source"].isin([s.lower() for s in sources if s]).to_numpy()
     if remote_only:
-        ok &= (cand["remote"] == True).fillna(False).to_numpy(dtype=bool)  # noqa: E712
+        ok &= np.fromiter((v is True or v is np.True_ for v in cand["remote"]), bool, len(cand))
     if salary is not None and not pd.isna(salary):
-        ok &= (cand["salary_max"] >= salary).fillna(False).to_numpy(dtype=bool)
+        ok &= cand["salary_max"].to_numpy(dtype="float64", na_value=np.nan) >= salary
     if location:
         fits = like_pattern(location.strip()).fullmatch
-        names = cand["location"]
-        hit = {n: bool(fits(n)) for n in names.dropna().unique()}
-        ok &= names.map(hit).fillna(False).to_numpy(dtype=bool)
+        names = cand["location"].to_numpy(dtype=object)
+        hit = {n: isinstance(n, str) and bool(fits(n)) for n in set(names)}
+        ok &= np.fromiter((hit[n] for n in names), bool, len(names))
     return ok
 
 
@@ -139,7 +146,8 @@ def _score(pool: int):
 
 
 def nearest_chunks(requests: DataFrame, chunks: DataFrame, postings: DataFrame, pool: int,
-                   *, fresh_only: bool = False, **limits) -> DataFrame:
+                   *, fresh_only: bool = False, size: tuple[int, int] | None = None,
+                   **limits) -> DataFrame:
     """The ``pool`` nearest chunks of each request among the postings it admits.
 
     With ``fresh_only`` chunks of an older text of their posting are left out.
@@ -149,16 +157,21 @@ def nearest_chunks(requests: DataFrame, chunks: DataFrame, postings: DataFrame,
         F.col("id").alias("job_posting_id"), "source", "remote",
         F.col("salary_max").cast("double").alias("salary_max"), "location",
         *(["content_hash"] if fresh_only else []))
+    listed = "list_id" if "list_id" in chunks.columns else F.lit(None).cast("int").alias("list_id")
     candidates = chunks.join(facts, keys, "inner").select(
         F.col("id").cast("string").alias("id"), "job_posting_id", "embedding",
-        "model_name", "source", "remote", "salary_max", "location")
+        "model_name", "source", "remote", "salary_max", "location", listed)
     near = block_top.best_per_request(
-        candidates, requests.select(*REQUEST_FIELDS),
-        _score(pool), lambda best: _keep_nearest(best, pool), _NEAR, "id", **limits)
+        candidates, requests, _score(pool), lambda best: _keep_nearest(best, pool), _NEAR,
+        "id", size, **limits)
     return ranked(near, ["request_id"], [F.col("distance"), F.col("chunk_id")], pool,
                   "pool_rank")
 
 
+# Results of at most this many rows meet the big tables as a broadcast.
+RESULT_ROWS = 100_000
+
+
 def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k: int = 5,
            most: int = 25, pool: int | None = None, fresh_only: bool = False,
            preview_chars: int = 500, **limits) -> DataFrame:
@@ -168,24 +181,31 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
     so fewer than ``top_k`` postings are possible. Texts join at the very end.
     """
     k = top_k_of(top_k, most)
+    if "probes" not in requests.columns:
+        requests = requests.withColumn("probes", F.lit(None).cast("array<int>"))
+    requests = requests.select(*REQUEST_FIELDS)
+    size = block_top.measure(requests)
     near = nearest_chunks(requests, chunks, postings, pool or pool_of(k),
-                          fresh_only=fresh_only, **limits)
+                          fresh_only=fresh_only, size=size, **limits)
     best = first_per_key(near, ["request_id", "job_posting_id"],
                          [F.col("distance"), F.col("chunk_id")])
     top = ranked(
         best.withColumn("similarity", 1 - F.col("distance")),
-        ["request_id"], [F.desc("similarity"), F.col("job_posting_id")], k, "base_rank")
+        ["request_id"], [F.desc("similarity"), F.col("job_posting_id")], k, "base_rank"
+    ).select("request_id", "job_posting_id", "chunk_id", "base_rank",
+             F.round("similarity", 6).alias("similarity"))
+    # There are at most k results per counted request, so their size is known here.
+    small = F.broadcast if size[0] * k <= RESULT_ROWS else (lambda df: df)
     shown = postings.select(
         F.col("id").alias("job_posting_id"), "source", "title", "company", "location",
         "remote", "salary_min", "salary_max", "salary_currency", "employment_type",
         "category", text.preview("description_text", preview_chars).alias(
             "description_preview"), "apply_url", "posted_at")
-    texts = (chunks.select(F.col("id").cast("string").alias("chunk_id"), "chunk_text")
-             if "chunk_text" in chunks.columns else None)
-    found = top.select(
-        "request_id", "job_posting_id", "chunk_id", "base_rank",
-        F.round("similarity", 6).alias("similarity")).join(shown, "job_posting_id")
-    return found if texts is None else found.join(texts, "chunk_id")
+    found = small(top).join(shown, "job_posting_id")
+    if "chunk_text" not in chunks.columns:
+        return found
+    texts = chunks.select(F.col("id").cast("string").alias("chunk_id"), "chunk_text")
+    return small(found).join(texts, "chunk_id")
 
 
 def rerank(results: DataFrame, feedback: DataFrame, user_col: str = "user_id", *,
@@ -210,3 +230,51 @@ def rerank(results: DataFrame, feedback: DataFrame, user_col: str = "user_id", *
     k = 1000
     return ranked(moved, ["request_id"],
                   [F.desc("similarity"), F.col("base_rank")], k, "rank")
+
+
+# ---- approximate search -------------------------------------------------------------
+
+
+def train_lists(chunks: DataFrame, lists: int, seed: int = 7) -> KMeansModel:
+    """Centres that part the vectors into lists of near ones (by cosine)."""
+    points = chunks.select(array_to_vector(
+        F.col("embedding").cast("array<double>")).alias("features"))
+    return KMeans(k=lists, seed=seed, distanceMeasure="cosine").fit(points)
+
+
+def with_list(chunks: DataFrame, model: KMeansModel) -> DataFrame:
+    """Chunks with the number of their list. Stored by it, other lists are not read."""
+    points = chunks.withColumn("features", array_to_vector(
+        F.col("embedding").cast("array<double>")))
+    return model.transform(points).withColumnRenamed("prediction", "list_id").drop("features")
+
+
+def with_probes(requests: DataFrame, model: KMeansModel, probes: int) -> DataFrame:
+    """Requests with the ``probes`` lists whose centres are nearest."""
+    centres = F.array(*[
+        F.struct(F.lit(i).alias("list_id"), F.array(*map(F.lit, map(float, c))).alias("c"))
+        for i, c in enumerate(model.clusterCenters())
+    ])
+    nearest = F.array_sort(F.transform(centres, lambda x: F.struct(
+        vectors.cosine_distance("vector", x["c"]).alias("d"), x["list_id"].alias("list_id"))))
+    return requests.withColumn(
+        "probes", F.transform(F.slice(nearest, 1, probes), lambda x: x["list_id"]))
+
+
+def approximate_search(requests: DataFrame, listed: DataFrame, postings: DataFrame,
+                       model: KMeansModel, *, probes: int = 2, **options) -> DataFrame:
+    """:func:`search` over the nearest lists only; ``listed`` comes from with_list.
+
+    Similarities are exact; what lies in other lists is missed.
+    """
+    probed = with_probes(requests, model, probes)
+    wanted = probed.select(F.explode("probes").alias("list_id")).distinct()
+    return search(probed, listed.join(wanted, "list_id", "left_semi"), postings, **options)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Per request, the share of exact results that an approximate search found."""
+    hit = found.select("request_id", "job_posting_id", F.lit(1).alias("_hit"))
+    return exact.join(hit, ["request_id", "job_posting_id"], "left").groupBy("request_id").agg(
+        F.count("*").alias("wanted"), F.count("_hit").alias("found"),
+        F.round(F.count("_hit") / F.count("*"), 4).alias("recall"))

@@ -284,10 +284,10 @@ def _risk(checked: bool) -> str:
   bool_or(ingest_seq % 19 = 0) AS is_private FROM raw
   WHERE apply_url IS NOT NULL AND ingest_seq % 9 <> 0 GROUP BY apply_url),
 flagged AS (SELECT p.*, {status} AS http_status, {live} AS url_live,
-  list_filter([{', '.join(flags)}], x -> x IS NOT NULL) AS fl
+  list_filter([{', '.join(flags)}], lambda x: x IS NOT NULL) AS fl
   FROM (SELECT *, coalesce(regexp_matches(apply_url, '^https?://[^/]'), false) AS web
     FROM postings) p {join})
-SELECT id AS job_posting_id, title, company, source, url_live, http_status,
+SELECT id AS job_posting_id, title, company, source, url_live, http_status::VARCHAR AS http_status,
   greatest(0, 100 - 20 * len(fl))::INTEGER AS risk_score,
   CASE WHEN 100 - 20 * len(fl) >= 80 THEN 'low_risk'
     WHEN 100 - 20 * len(fl) >= 50 THEN 'review' ELSE 'high_risk' END AS verdict,
@@ -298,13 +298,13 @@ _HASH_OF_TWO = "sha256(user_id || '|' || job_posting_id)"
 
 
 def _errors(*cases: str) -> str:
-    return "array_to_string(list_filter([" + ", ".join(cases) + "], x -> x IS NOT NULL), ' ')"
+    return "array_to_string(list_filter([" + ", ".join(cases) + "], lambda x: x IS NOT NULL), ' ')"
 
 
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["prepare_postings"] = f"""WITH {RESENT} SELECT id, source, {_clean('title')} AS title,
-  company, "location", remote, salary_max, length({_clean('description_text')})::INTEGER AS n_chars,
+  company, "location", remote::VARCHAR AS remote, salary_max, length({_clean('description_text')})::INTEGER AS n_chars,
   sha256({_clean('description_text')}) AS content_hash, posted_at FROM (SELECT *,
     row_number() OVER (PARTITION BY id ORDER BY landing, ingest_seq) AS rn FROM resent
     WHERE {_REASON} IS NULL) WHERE rn = 1"""
@@ -333,6 +333,8 @@ def sql() -> dict[str, str]:
   posted_at FROM raw WHERE contains(lower(title || ' ' || description_text), 'tion')
   AND "location" ILIKE '%e%' AND posted_at >= TIMESTAMP '2024-01-31' - INTERVAL 25 DAY
   AND salary_max >= 5000 AND employment_type = 'full_time' AND remote"""
+    q["source_page"] = f"""WITH {RAW} SELECT id, ingest_seq, title FROM raw
+  ORDER BY ingest_seq, id LIMIT 100 OFFSET 100"""
     q["query_list_parse"] = """SELECT keyword, 'Berlin' AS "location", count(*) AS entries FROM
   (SELECT trim(unnest([p_brand, '  ', p_type, p_name])) AS keyword FROM part)
   WHERE keyword <> '' GROUP BY keyword"""
@@ -355,16 +357,16 @@ hits AS (SELECT k.*, s.* EXCLUDE (title), row_number() OVER (PARTITION BY target
     ORDER BY posted_at DESC NULLS LAST, synced_at DESC, id) AS rank
   FROM kinds k JOIN slim s ON
     (len(target_roles) = 0 OR len(list_filter(target_roles,
-      r -> s.title LIKE '%' || lower(r) || '%')) > 0)
+      lambda r: s.title LIKE '%' || lower(r) || '%')) > 0)
     AND CASE remote_preference WHEN 'remote_only' THEN remote WHEN 'onsite' THEN NOT remote
       ELSE true END
     AND (salary_min = 0 OR salary_max IS NULL OR salary_max >= salary_min)
-    AND (len(list_filter(locations_preferred, l -> trim(l) <> '')) = 0 OR remote
+    AND (len(list_filter(locations_preferred, lambda l: trim(l) <> '')) = 0 OR remote
       OR s."location" IS NULL OR len(list_filter(locations_preferred,
-        l -> trim(l) <> '' AND lower(s."location") LIKE '%' || lower(l) || '%')) > 0)
+        lambda l: trim(l) <> '' AND lower(s."location") LIKE '%' || lower(l) || '%')) > 0)
   QUALIFY rank <= 25)
-SELECT p.id AS profile_id, h.rank::INTEGER AS rank, h.id, h."location", h.remote, h.salary_max,
-  h.posted_at FROM profiles p JOIN hits h ON p.target_roles = h.target_roles
+SELECT p.id AS profile_id, h.rank::INTEGER AS rank, h.id, h."location", h.remote::VARCHAR AS remote,
+  h.salary_max, h.posted_at FROM profiles p JOIN hits h ON p.target_roles = h.target_roles
   AND p.remote_preference = h.remote_preference AND p.salary_min = h.salary_min
   AND p.locations_preferred = h.locations_preferred"""
     q["profile_search_context"] = f"""WITH {PROFILES} SELECT id AS request_id,
@@ -419,14 +421,14 @@ SELECT p.id AS profile_id, h.rank::INTEGER AS rank, h.id, h."location", h.remote
   remote_preference = 'hybrid' AS hit FROM profiles) SELECT id,
   CASE WHEN hit THEN user_id || '.md' ELSE resume_filename END AS resume_filename,
   CASE WHEN hit THEN 'New resume of ' || user_id ELSE resume_text END AS resume_text,
-  CASE WHEN hit THEN NULL ELSE 1 END::INTEGER AS dimension,
+  CASE WHEN NOT hit THEN '1' END AS dimension,
   CASE WHEN NOT hit THEN sha256(resume_text) END AS resume_content_hash,
   CASE WHEN NOT hit THEN updated_at END AS resume_embedded_at,
   CASE WHEN hit THEN TIMESTAMP '2024-07-01' ELSE updated_at END AS updated_at FROM o"""
     q["semantic_search_topk"] = f"""WITH {_search(100, 10)} SELECT t.request_id,
   t.base_rank::INTEGER AS base_rank, t.job_posting_id, t.chunk_id, 'chunk ' || t.chunk_id
-    AS chunk_text, t.similarity, p.source, p.remote, p.salary_max, p."location",
-  left(p.description_text, 500) AS description_preview
+    AS chunk_text, t.similarity, p.source, p.remote::VARCHAR AS remote, p.salary_max,
+  p."location", left(p.description_text, 500) AS description_preview
   FROM top t JOIN postings p ON p.id = t.job_posting_id"""
     q["semantic_search_fresh"] = f"""WITH {_search(200, 20, True)} SELECT request_id,
   base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
@@ -445,7 +447,7 @@ SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY similarit
   array_to_string(target_roles, ',') AS target_roles, seniority, salary_min, salary_currency,
   remote_preference, array_to_string(locations_preferred, ',') AS locations_preferred,
   '' AS deal_breakers, resume_filename, resume_text IS NOT NULL AS has_resume,
-  length(resume_text)::INTEGER AS resume_characters, is_default, created_at, updated_at
+  length(resume_text)::VARCHAR AS resume_characters, is_default, created_at, updated_at
   FROM profiles"""
     q["default_profile"] = """SELECT user_id, id, is_default, created_at FROM (SELECT
   o_custkey::VARCHAR AS user_id, o_orderkey::VARCHAR AS id, o_orderpriority = '1-URGENT'
@@ -463,7 +465,8 @@ SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY similarit
   JOIN postings p ON p.id = a.job_posting_id)"""
     q["job_match_context"] = context + """ SELECT user_id, job_posting_id, profile_id, label,
   array_to_string(target_roles, ',') AS target_roles, remote_preference, profile_salary_min,
-  left(resume_text, 10) AS resume_text, title, company, "location", remote, salary_min, salary_max,
+  left(resume_text, 10) AS resume_text, title, company, "location", remote::VARCHAR AS remote,
+  salary_min, salary_max,
   length(description_text)::INTEGER AS n_chars, apply_url FROM ctx"""
     q["grounded_prompts"] = context + """, made AS (SELECT user_id, job_posting_id,
   'FORMAT: resume_bullet' || chr(10) || 'JOB TITLE: ' || title || chr(10) || 'COMPANY: ' || company
@@ -484,8 +487,8 @@ SELECT user_id, job_posting_id, 'resume_bullet' AS format, length(prompt)::INTEG
   count(*) AS note_count, min(follow_up_date) FILTER (follow_up_date >= DATE '1998-01-01')
   AS next_follow_up FROM notes GROUP BY application_id)
 SELECT a.id, a.user_id, a.job_posting_id, a.stage, {rank} AS stage_rank, a.stage_updated_at,
-  p.title, p.company, p."location", p.remote, p.apply_url, coalesce(n.note_count, 0) AS note_count,
-  n.next_follow_up FROM apps a JOIN postings p ON p.id = a.job_posting_id
+  p.title, p.company, p."location", p.remote::VARCHAR AS remote, p.apply_url,
+  coalesce(n.note_count, 0) AS note_count, n.next_follow_up::VARCHAR AS next_follow_up FROM apps a JOIN postings p ON p.id = a.job_posting_id
   LEFT JOIN n ON n.application_id = a.id"""
     counts = ", ".join(
         f"count(*) FILTER (stage = '{s}') AS {s}_stage" for s in
@@ -562,7 +565,7 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
   UNION ALL SELECT * FROM {_chunked(english, 500, 100)}) GROUP BY job_posting_id"""
     q["skill_gap_scan"] = _skill_gap("contains({}, skill)")
     q["skill_gap_words"] = _skill_gap(
-        r"regexp_matches({}, '(^|[^\pL\pN\pM_])' || skill || '($|[^\pL\pN\pM_])')")
+        r"list_contains(regexp_split_to_array({}, '[^\pL\pN\pM_]+'), skill)")
     terms = ", ".join(f"('{t}')" for t in queries.TERMS)
     q["skill_mentions"] = f"""WITH {POSTINGS}, terms(skill) AS (VALUES {terms})
   SELECT skill, count(*) AS jobs_mentioning FROM postings, terms
@@ -612,7 +615,7 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (
             "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
             "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
-    q["label_mix"] = """SELECT quality, toxic, count(*) AS postings,
+    q["label_mix"] = """SELECT quality::VARCHAR AS quality, toxic::VARCHAR AS toxic, count(*) AS postings,
   count(DISTINCT source) AS sources FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2"""
     mail = """CASE n % 5 WHEN 0 THEN 'A' || n || '@Example.com' WHEN 1 THEN 'not-an-email'
   WHEN 2 THEN '@start' WHEN 3 THEN 'end@' END"""
@@ -634,7 +637,7 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
         "CASE WHEN sal < 0 THEN 'salary_min cannot be negative.' END")
     q["profile_validation"] = f"""SELECT n AS profile_id, pref AS remote_preference,
   nullif(sal, 0) AS salary_min, 'a|b|' || trim(o_orderpriority) AS target_roles,
-  array_to_string(list_transform(generate_series(0, least(19, n % 30)), x -> x::VARCHAR), '|')
+  array_to_string(list_transform(generate_series(0, least(19, n % 30)), lambda x: x::VARCHAR), '|')
     AS locations_preferred, {perrors} AS errors FROM (SELECT o_orderkey AS n, o_orderpriority,
     CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE repeat('label', o_orderkey % 30) END AS label,
     CASE o_orderkey % 4 WHEN 0 THEN 'hybrid' WHEN 2 THEN 'sometimes' ELSE 'any' END AS pref,
@@ -673,8 +676,8 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
   CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS filled,
   string_split(o_orderpriority, '-')[2] AS second, NULL::VARCHAR AS ninth,
   array_to_string(list_filter(regexp_split_to_array(o_orderpriority, '[- ]'),
-    x -> x <> '')[1:2], '+') AS two, o_orderkey % 4 <> 3 AS flag, o_orderkey % 5 = 0 AS remote,
-  CASE WHEN month(o_orderdate) <> 2 THEN make_date(year(o_orderdate), month(o_orderdate), 30) END
+    lambda x: x <> '')[1:2], '+') AS two, o_orderkey % 4 <> 3 AS flag, o_orderkey % 5 = 0 AS remote,
+  CASE WHEN month(o_orderdate) <> 2 THEN strftime(o_orderdate, '%Y-%m-30') END
     AS day FROM orders"""
     q["vector_distances"] = f"""WITH {REQUESTS} SELECT vec_id, round(1 - {_DOT}, 6) AS distance
   FROM embeddings e JOIN requests r USING (label)"""

@@ -42,7 +42,7 @@ def _iso(df: DataFrame, *columns: str) -> DataFrame:
 @query
 def prepare_postings(spark, sf):
     ready = prepare.prepare(bridge.resent_postings(spark, sf), ["landing", "ingest_seq"])
-    return ready.select(
+    return _as_text(ready, "remote").select(
         "id", "source", "title", "company", "location", "remote", "salary_max",
         F.length("description_text").alias("n_chars"), "content_hash", "posted_at")
 
@@ -58,6 +58,11 @@ def reject_reasons(spark, sf):
         "source", "reject_reason").agg(F.count("*").alias("rejected_rows"))
 
 
+def _as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns that may be NULL and have no NULL in every reader's table type."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def _normalized(df: DataFrame) -> DataFrame:
     return _iso(df, "posted_at").select(
         "id", "source", "external_id", "title", "company", "location", "remote",
@@ -125,6 +130,13 @@ def source_side_filters(spark, sf):
     return found.select("id", "location", "salary_max", "employment_type", "posted_at")
 
 
+@query
+def source_page(spark, sf):
+    """The second page of a feed, asked for by where the first one ended."""
+    rows = bridge.raw_postings(spark, sf).select("id", "ingest_seq", "title")
+    return feeds.page(rows, 100, after=(99, "src19:99"))
+
+
 @query
 def query_list_parse(spark, sf):
     parts = bridge.table(spark, sf, "part").select(F.concat_ws(
@@ -158,8 +170,8 @@ def browse_preferences(spark, sf):
 def relevant_postings_per_profile(spark, sf):
     found = browse.relevant_postings(
         browse.default_profiles(bridge.profiles(spark, sf)), bridge.postings(spark, sf), 25)
-    return found.select("profile_id", "rank", "id", "location", "remote", "salary_max",
-                        "posted_at")
+    return _as_text(found, "remote").select(
+        "profile_id", "rank", "id", "location", "remote", "salary_max", "posted_at")
 
 
 @query
@@ -284,7 +296,8 @@ def resume_invalidate(spark, sf):
         F.concat(F.lit("New resume of "), "user_id").alias("resume_text"))
     new = embedding.drop_old_vectors(old, uploads, bridge.as_of("2024-07-01"))
     return new.select(
-        "id", "resume_filename", "resume_text", F.size("resume_embedding").alias("dimension"),
+        "id", "resume_filename", "resume_text",
+        F.array_size("resume_embedding").cast("string").alias("dimension"),
         "resume_content_hash", "resume_embedded_at", "updated_at")
 
 
@@ -298,11 +311,22 @@ def _search(spark, sf) -> DataFrame:
 
 @query
 def semantic_search_topk(spark, sf):
-    return _search(spark, sf).select(
+    return _as_text(_search(spark, sf), "remote").select(
         "request_id", "base_rank", "job_posting_id", "chunk_id", "chunk_text", "similarity",
         "source", "remote", "salary_max", "location", "description_preview")
 
 
+@query
+def approximate_search(spark, sf):
+    """What lists of near vectors find of the exact results."""
+    stored, asked = bridge.chunks(spark, sf), bridge.requests(spark, sf)
+    model = search.train_lists(stored, 8)
+    found = search.approximate_search(
+        asked, search.with_list(stored, model), bridge.postings(spark, sf), model,
+        probes=4, top_k=10)
+    return search.recall(found, _search(spark, sf))
+
+
 @query
 def semantic_search_fresh(spark, sf):
     """Without the chunks whose posting has changed since."""
@@ -325,7 +349,8 @@ def feedback_rerank(spark, sf):
 
 @query
 def profile_list(spark, sf):
-    return board.profile_list(bridge.profiles(spark, sf)).withColumns({
+    found = _as_text(board.profile_list(bridge.profiles(spark, sf)), "resume_characters")
+    return found.withColumns({
         c: F.array_join(c, ",") for c in (
             "target_roles", "locations_preferred", "deal_breakers")})
 
@@ -350,7 +375,7 @@ def _pairs(spark, sf) -> DataFrame:
 def job_match_context(spark, sf):
     found = insight.match_context(
         _pairs(spark, sf), bridge.profiles(spark, sf), bridge.postings(spark, sf), 10)
-    return found.select(
+    return _as_text(found, "remote").select(
         "user_id", "job_posting_id", "profile_id", "label",
         F.array_join("target_roles", ",").alias("target_roles"), "remote_preference",
         "profile_salary_min", "resume_text", "title", "company", "location", "remote",
@@ -398,9 +423,10 @@ def _day() -> F.Column:
 
 @query
 def stage_board(spark, sf):
-    return board.board(
+    rows = board.board(
         bridge.applications(spark, sf), bridge.postings(spark, sf), bridge.notes(spark, sf),
-        _day()).select(
+        _day())
+    return _as_text(rows, "remote", "next_follow_up").select(
         "id", "user_id", "job_posting_id", "stage", "stage_rank", "stage_updated_at",
         "title", "company", "location", "remote", "apply_url", "note_count",
         "next_follow_up")
@@ -569,14 +595,16 @@ def skill_present_intersect(spark, sf):
 @query
 def listing_risk(spark, sf):
     found = insight.listing_risk(bridge.postings(spark, sf), RISK_TERMS)
-    return found.withColumn("flags", F.array_join("flags", "; ")).drop("notice")
+    return _as_text(found, "http_status").withColumn(
+        "flags", F.array_join("flags", "; ")).drop("notice")
 
 
 @query
 def listing_risk_checked(spark, sf):
     found = insight.listing_risk(
         bridge.postings(spark, sf), RISK_TERMS, bridge.url_status(spark, sf))
-    return found.withColumn("flags", F.array_join("flags", "; ")).drop("notice")
+    return _as_text(found, "http_status").withColumn(
+        "flags", F.array_join("flags", "; ")).drop("notice")
 
 
 # ---- quality ---------------------------------------------------------------------
@@ -638,7 +666,8 @@ def label_mix(spark, sf):
     """Postings by label, also those that nobody has labelled."""
     d = bridge.table(spark, sf, "documents", "doc_id", "source")
     marks = bridge.table(spark, sf, "labels")
-    return d.join(marks, "doc_id", "left").groupBy("quality", "toxic").agg(
+    marked = _as_text(d.join(marks, "doc_id", "left"), "quality", "toxic")
+    return marked.groupBy("quality", "toxic").agg(
         F.count("*").alias("postings"), F.count_distinct("source").alias("sources"))
 
 
@@ -772,8 +801,8 @@ def scalar_battery(spark, sf):
         text.flag(bridge.pick(k % 4, {0: "YES", 1: "1", 2: "True"}, "no")).alias("flag"),
         text.looks_remote(F.when(k % 5 == 0, "Fully REMOTE"), F.col("o_orderstatus"))
         .alias("remote"),
-        F.to_date(text.parse_day(F.concat(F.date_format(d, "yyyy-MM"), F.lit("-30"))))
-        .alias("day"),
+        text.parse_day(F.concat(F.date_format(d, "yyyy-MM"), F.lit("-30")))
+        .cast("string").alias("day"),
     )
 
 
