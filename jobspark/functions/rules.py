@@ -59,7 +59,7 @@ def tidy(column: str) -> Column:
 
 def check(df: DataFrame, rules: Iterable[Column]) -> DataFrame:
     """Adds ``errors``, the messages of the broken rules in rule order."""
-    return df.withColumn("errors", F.array_compact(F.array(*rules)))
+    return df.withColumn("errors", text.filled(*rules))
 
 
 def valid(checked: DataFrame) -> DataFrame:

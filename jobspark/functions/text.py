@@ -68,21 +68,40 @@ def looks_remote(*texts) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *[_c(t) for t in texts])), F.lit("remote"))
 
 
+def filled(*texts) -> Column:
+    """Array of the texts that are not NULL; none of them may hold a line feed.
+
+    Joined and split instead of filtered: compiled code, in which parts that the
+    texts share (such as a lower-cased document) are made once.
+    """
+    joined = F.concat_ws("\n", *texts)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(
+        F.split(joined, "\n"))
+
+
 def matched(text, terms) -> Column:
     """Array of the terms that occur, as plain substrings, in lower-cased text."""
     hay = _lowered(text)
-    return F.array_compact(F.array(*[
-        F.when(F.contains(hay, F.lit(t)), F.lit(t)) for t in _terms(terms)
-    ]).cast("array<string>"))
+    return filled(*[F.when(F.contains(hay, F.lit(t)), F.lit(t)) for t in _terms(terms)])
+
+
+def each(found: str, most: int) -> Column:
+    """Explodes an array column of at most ``most`` items.
+
+    Exploding the bare column would let the optimizer add a test for emptiness and move
+    it below the column's own computation, which would then run again for the test.
+    """
+    return F.explode(F.slice(found, 1, most))
 
 
 def matched_words(text, terms) -> Column:
     """Like :func:`matched`, but a term must not touch another word character."""
     hay = _lowered(text)
-    return F.array_compact(F.array(*[
-        F.when(F.regexp_like(hay, F.lit(rf"(?U)(?<!\w)\Q{t}\E(?!\w)")), F.lit(t))
+    return filled(*[
+        F.when(F.contains(hay, F.lit(t))
+               & F.regexp_like(hay, F.lit(rf"(?U)(?<!\w)\Q{t}\E(?!\w)")), F.lit(t))
         for t in _terms(terms)
-    ]).cast("array<string>"))
+    ])
 
 
 def contains_any(text, terms) -> Column:
@@ -121,7 +140,8 @@ def parse_iso(text) -> Column:
     The zone is made explicit, so the session time zone does not matter.
     """
     t = F.regexp_replace(_c(text), ",", ".")
-    t = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    t = F.regexp_replace(t, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+    t = F.regexp_replace(t, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
     zoned = (
         F.when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00Z")))
         .when(F.regexp_like(t, F.lit(_ISO_ZONED)), t)

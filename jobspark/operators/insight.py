@@ -28,7 +28,7 @@ def skill_gap(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
                         max_postings, "_rank").select("profile_id", "job_posting_id")
     mentions = postings.select(
         F.col("id").alias("job_posting_id"), find("description_text", skills).alias("_found")
-    ).select("job_posting_id", F.explode("_found").alias("skill"))
+    ).select("job_posting_id", text.each("_found", len(skills)).alias("skill"))
     counts = wanted.join(mentions, "job_posting_id").groupBy("profile_id", "skill").agg(
         F.count("*").alias("jobs_mentioning"))
     owned = profiles.select(
@@ -94,7 +94,7 @@ def listing_risk(postings: DataFrame, tokens: dict[str, str] | None = None,
         ]
     score = F.greatest(F.lit(0), 100 - 20 * F.size("flags"))
     return (
-        frame.withColumn("flags", F.array_compact(F.array(*flags)))
+        frame.withColumn("flags", text.filled(*flags))
         .select(
             F.col("id").alias("job_posting_id"), "title", "company", "source",
             live.alias("url_live"), status.alias("http_status"),

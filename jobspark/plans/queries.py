@@ -576,8 +576,8 @@ def skill_gap_words(spark, sf):
 def skill_mentions(spark, sf):
     """How many postings mention each term, zero left out."""
     return bridge.postings(spark, sf).select(
-        F.explode(text.matched("description_text", TERMS)).alias("skill")
-    ).groupBy("skill").agg(F.count("*").alias("jobs_mentioning"))
+        text.matched("description_text", TERMS).alias("found")
+    ).select(text.each("found", len(TERMS)).alias("skill")).groupBy("skill").agg(F.count("*").alias("jobs_mentioning"))
 
 
 @query
