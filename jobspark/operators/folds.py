@@ -55,21 +55,31 @@ def users(actions: DataFrame, state: DataFrame | None = None) -> DataFrame:
         F.coalesce("created_at", "first_ts").alias("created_at"))
 
 
-def bookmarks(actions: DataFrame) -> DataFrame:
+def bookmarks(actions: DataFrame, slice_: str = "hour") -> DataFrame:
     """Bookmarks that remain after saves and deletions.
 
     ``actions``: user_id, job_posting_id, action (save, delete), note, ts, seq. A
     deletion forgets what came before it; a save without note keeps the former note.
+
+    The log of one bookmark may be long: deletions are first applied within slices of
+    time, then the slices before the last deletion fall away.
     """
     key = ["user_id", "job_posting_id"]
-    gone = (
-        actions.filter(F.col("action") == "delete").groupBy(*key)
-        .agg(F.max(_at()).alias("_gone"))
-    )
-    saves = actions.filter(F.col("action") == "save").join(gone, key, "left")
-    kept = saves.filter(F.col("_gone").isNull() | (_at() > F.col("_gone")))
+    inside = Window.partitionBy(*key, "_slice")
+    gone = F.max(F.when(F.col("action") == "delete", _at())).over(inside)
+    log = actions.withColumn("_slice", F.date_trunc(slice_, "ts")).withColumn("_gone", gone)
+    live = (F.col("action") == "save") & (F.col("_gone").isNull() | (_at() > F.col("_gone")))
+    noted = live & (F.coalesce("note", F.lit("")) != "")
+    slices = log.groupBy(*key, "_slice").agg(
+        F.max("_gone").alias("_gone"), F.count_if(live).alias("_saves"),
+        last("note", noted).alias("note"), F.min(F.when(live, F.col("ts"))).alias("saved_at"))
+    cut = F.max(F.when(F.col("_gone").isNotNull(), F.col("_slice"))).over(
+        Window.partitionBy(*key))
+    kept = slices.withColumn("_cut", cut).filter(
+        (F.col("_saves") > 0) & (F.col("_cut").isNull() | (F.col("_slice") >= F.col("_cut"))))
     return kept.groupBy(*key).agg(
-        last_given("note").alias("note"), F.min("ts").alias("saved_at")
+        F.max_by("note", F.when(F.col("note").isNotNull(), F.col("_slice"))).alias("note"),
+        F.min("saved_at").alias("saved_at"),
     ).select(row_id(*key).alias("id"), *key, "note", "saved_at")
 
 

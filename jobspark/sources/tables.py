@@ -1,47 +1,121 @@
-"""Tables read by explicit columns, and state tables kept as whole snapshots.
+"""Tables read by explicit columns, and state tables that are updated by bucket.
 
-Plain Parquet has no in-place update. A new state is written to its own folder and
-becomes current once its job has committed (``_SUCCESS``), so a reader never meets
-half a table and a lost job leaves the former state untouched.
+Plain Parquet has no in-place update. A state table is parted by a hash of its key; an
+update writes only the buckets it touches, into a folder of its own, and counts once
+its job has committed (``_SUCCESS``). Readers never meet half an update, and a lost job
+leaves the former state as it was.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+BUCKETS = 64
+
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
-class Snapshots:
-    """A state table as numbered snapshot folders below one path."""
+def bucket_of(keys: Iterable[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def versions(self) -> list[int]:
+def touched_buckets(rows: DataFrame, keys: Iterable[str], buckets: int) -> list[int]:
+    """The buckets some keys fall into: at most ``buckets`` numbers."""
+    return sorted(r[0] for r in rows.select(
+        bucket_of(keys, buckets).alias("b")).distinct().collect())
+
+
+def write_buckets(df: DataFrame, keys: Iterable[str], buckets: int, path: str) -> None:
+    """One folder per bucket. Large buckets are spread over several files and tasks."""
+    (
+        df.withColumn("bucket", bucket_of(keys, buckets)).hint("rebalance", "bucket")
+        .write.mode("overwrite").partitionBy("bucket").parquet(path)
+    )
+
+
+class StateTable:
+    """A keyed state table below one shared path.
+
+    ``buckets`` should grow with the table: an update rewrites whole buckets.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str],
+                 buckets: int = BUCKETS):
+        self.spark, self.schema, self.keys, self.buckets = spark, schema, keys, buckets
+        self.path = f"{path.rstrip('/')}/buckets={buckets}"
+
+    def _glob(self, pattern: str) -> list:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        pattern = hadoop.Path(f"{self.path}/version=*/_SUCCESS")
-        fs = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(pattern) or []
-        return sorted(
-            int(f.getPath().getParent().getName().split("=")[1]) for f in found)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The current state, or the one before a version; empty when there is none."""
+        path = hadoop.Path(f"{self.path}/{pattern}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath() for f in (fs.globStatus(path) or [])]
+
+    def versions(self) -> list[int]:
+        """Committed updates: the list of touched buckets is written last."""
+        return sorted(int(p.getParent().getName().split("=")[1])
+                      for p in self._glob("touched=*/_SUCCESS"))
+
+    def _folders(self, before: int | None, only: list[int] | None) -> list[str]:
+        """The newest committed folder of each bucket, where it has rows."""
         known = [v for v in self.versions() if before is None or v < before]
         if not known:
+            return []
+        newest = {
+            r["bucket"]: r["version"] for r in self.spark.read.schema("bucket INT, version INT")
+            .parquet(*[f"{self.path}/touched={v}" for v in known])
+            .groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+        there = {(int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1]))
+                 for p in self._glob("version=*/bucket=*")}
+        wanted = newest if only is None else [b for b in only if b in newest]
+        return [f"{self.path}/version={newest[b]}/bucket={b}" for b in wanted
+                if (newest[b], b) in there]
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """The present state, or the one before an update; of some buckets if named."""
+        folders = self._folders(before, only)
+        if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(
-            f"{self.path}/version={known[-1]}")
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Stores the next state. A version written again replaces itself only."""
-        if version is None:
-            version = max(self.versions(), default=0) + 1
-        df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
-            f"{self.path}/version={version}")
+    def _commit(self, df: DataFrame, touched: list[int], version: int) -> int:
+        write_buckets(df.select(*self.schema.fieldNames()), self.keys, self.buckets,
+                      f"{self.path}/version={version}")
+        self.spark.createDataFrame(
+            [(b, version) for b in touched], "bucket INT, version INT"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/touched={version}")
         return version
+
+    def next_version(self) -> int:
+        return max(self.versions(), default=0) + 1
+
+    def write(self, df: DataFrame, version: int | None = None) -> int:
+        """Replaces the whole state."""
+        return self._commit(df, list(range(self.buckets)), version or self.next_version())
+
+    def update(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame],
+               version: int | None = None) -> int:
+        """Rewrites the buckets of the touched keys to ``change(their old rows)``.
+
+        ``change`` must leave rows of other keys as they are. The same version written
+        again starts from the same old state and replaces itself.
+        """
+        version = version or self.next_version()
+        some = touched_buckets(touched, self.keys, self.buckets)
+        return self._commit(change(self.read(version, some)), some, version)
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """A catalog table bucketed and sorted by ``key``.
+
+    Two tables bucketed alike join on the key without moving either: worth it for
+    postings and their vectors, which meet in every search.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option(
+        "path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -1,7 +1,7 @@
 """The batch jobs, run on what has newly arrived.
 
-Every micro-batch writes the snapshot that carries its batch number, read from the
-snapshot before it: a batch that is run again gives the same state.
+Every micro-batch writes the update that carries its batch number, made from the state
+before it: a batch that is run again gives the same state.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators import embedding, merge, prepare
 from ..plans import refresh
-from ..sources.tables import Snapshots
+from ..sources.tables import StateTable, touched_buckets, write_buckets
 
 
 def postings_stream(spark: SparkSession, landing: str, store_path: str, checkpoint: str,
@@ -38,25 +38,34 @@ def postings_stream(spark: SparkSession, landing: str, store_path: str, checkpoi
 
 
 def actions_stream(spark: SparkSession, landing: str, action_schema: str, log_path: str,
-                   state: Snapshots, keys: list[str],
-                   fold: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+                   state: StateTable, fold: Callable[[DataFrame], DataFrame],
+                   checkpoint: str) -> StreamingQuery:
     """Landed actions into a folded state table.
 
     Only keys with new actions are folded again, over their whole history, so late
-    actions count as if they had come in time.
+    actions count as if they had come in time. Log and state are parted alike: a batch
+    reads and rewrites only the buckets its keys fall into.
     """
     landed = spark.readStream.schema(action_schema).json(landing)
+    keys, buckets = state.keys, state.buckets
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = spark.read.schema(action_schema + ", batch INT").parquet(log_path).filter(
-            F.col("batch") <= number)
-        touched = log.filter(F.col("batch") == number).select(*keys).distinct()
-        folded = fold(log.drop("batch").join(touched, keys, "left_semi"))
-        state.write(merge.replace_groups(
-            state.read(number + 1), folded, keys, touched), number + 1)
+        write_buckets(df, keys, buckets, f"{log_path}/batch={number}")
+        log = spark.read.schema(f"{action_schema}, batch INT, bucket INT").parquet(
+            log_path).filter(F.col("batch") <= number)
+        new = log.filter(F.col("batch") == number).select(*keys).distinct()
+        history = log.filter(F.col("bucket").isin(touched_buckets(new, keys, buckets)))
+        folded = fold(history.drop("batch", "bucket").join(new, keys, "left_semi"))
+        whole = _with_all_columns(folded, state)
+        state.update(new, lambda old: merge.replace_groups(old, whole, keys, new), number + 1)
 
     return (
         landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def _with_all_columns(folded: DataFrame, state: StateTable) -> DataFrame:
+    return folded.select(*[
+        (F.col(f.name) if f.name in folded.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in state.schema])

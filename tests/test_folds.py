@@ -37,8 +37,8 @@ def frame(spark, actions, ddl):
     return spark.createDataFrame(data, ddl).repartition(5)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bookmarks(spark, seed):
+@pytest.mark.parametrize("seed,slice_", [(1, "hour"), (2, "minute"), (1, "year")])
+def test_bookmarks(spark, seed, slice_):
     rnd, base = log(seed)
     actions = [dict(user_id=u, job_posting_id=j, ts=t, seq=s,
                     action=rnd.choice(["save", "save", "delete"]),
@@ -54,7 +54,7 @@ def test_bookmarks(spark, seed):
             state[key] = (a["note"] or None, a["ts"])
     got = folds.bookmarks(frame(spark, actions,
         "user_id string, job_posting_id string, action string, note string, ts timestamp, "
-        "seq int"))
+        "seq int"), slice_)
     assert {(r["user_id"], r["job_posting_id"]): (r["note"], r["saved_at"])
             for r in got.collect()} == state
 

@@ -7,9 +7,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from jobspark import schemas
-from jobspark.operators import embedding, folds, runlog
+from jobspark.operators import embedding, folds, merge, runlog
 from jobspark.plans import refresh
-from jobspark.sources.tables import Snapshots
+from jobspark.sources import tables
+from jobspark.sources.tables import StateTable
 from jobspark.streaming import refresh as streams
 
 T0 = datetime(2024, 6, 1)
@@ -83,16 +84,54 @@ def test_failure_is_logged_and_raised(spark, tmp_path):
     assert rows(log.select("status", "error_message")) == [("failed", "model is away")]
 
 
-def test_snapshots(spark, tmp_path):
-    table = Snapshots(spark, str(tmp_path / "t"), schemas.schema("skills"))
+def skill_rows(spark, *names):
+    return spark.createDataFrame([(n, n.upper(), None, None) for n in names],
+                                 schemas.schema("skills"))
+
+
+def test_state_table(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), schemas.schema("skills"), ["id"], 8)
     assert table.read().count() == 0 and table.versions() == []
-    one = spark.createDataFrame([("a", "A", None, None)], schemas.schema("skills"))
-    assert table.write(one) == 1
-    assert table.write(table.read().unionAll(one)) == 2
-    assert table.read().count() == 2 and table.read(before=2).count() == 1
-    # A job that did not commit leaves no state.
-    (tmp_path / "t" / "version=3").mkdir()
-    assert table.versions() == [1, 2]
+    assert table.write(skill_rows(spark, *[f"s{i}" for i in range(40)])) == 1
+    one = skill_rows(spark, "s3").withColumn("name", F.lit("new"))
+    assert table.update(one, lambda old: merge.upsert(old, one, ["id"])) == 2
+    assert table.read().count() == 40 and table.read().filter("name = 'new'").count() == 1
+    assert table.read(before=2).filter("name = 'new'").count() == 0
+    # Only one bucket of eight was written again.
+    folders = list((tmp_path / "t").glob("buckets=8/version=2/bucket=*"))
+    assert len(folders) == 1
+
+
+def test_emptied_buckets_stay_empty(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), schemas.schema("skills"), ["id"], 4)
+    table.write(skill_rows(spark, "a", "b", "c"))
+    for name in "abc":
+        gone = skill_rows(spark, name)
+        table.update(gone, lambda old: merge.delete(old, gone, ["id"]))
+    assert table.read().count() == 0
+
+
+def test_uncommitted_updates_do_not_count(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), schemas.schema("skills"), ["id"], 4)
+    table.write(skill_rows(spark, "a"))
+    tables.write_buckets(skill_rows(spark, "lost"), ["id"], 4, f"{table.path}/version=2")
+    assert rows(table.read().select("id")) == [("a",)]
+    assert table.update(skill_rows(spark, "b"), lambda old: merge.upsert(
+        old, skill_rows(spark, "b"), ["id"])) == 2
+    assert rows(table.read().select("id")) == [("a",), ("b",)]
+
+
+def test_tables_bucketed_alike_join_in_place(spark, tmp_path):
+    left = tables.save_bucketed(
+        spark.range(1000).select(F.col("id").alias("k")), "left_side", "k", 4, str(tmp_path / "l"))
+    right = tables.save_bucketed(
+        spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("v")), "right_side", "k",
+        4, str(tmp_path / "r"))
+    joined = left.hint("merge").join(right, "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 1000
+    spark.sql("DROP TABLE left_side")
+    spark.sql("DROP TABLE right_side")
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
@@ -126,7 +165,8 @@ def test_action_stream_with_late_actions(spark, tmp_path):
     landing, log, mark = (str(tmp_path / x) for x in ("landing", "log", "mark"))
     ddl = ("user_id STRING, job_posting_id STRING, feedback STRING, reason STRING, "
            "ts TIMESTAMP, seq BIGINT")
-    state = Snapshots(spark, str(tmp_path / "state"), schemas.schema("job_feedback"))
+    state = StateTable(spark, str(tmp_path / "state"), schemas.schema("job_feedback"),
+                       ["user_id", "job_posting_id"], 8)
     rnd = random.Random(3)
     actions = [(f"u{rnd.randrange(3)}", f"j{rnd.randrange(3)}",
                 rnd.choice(["good", "bad", "skip"]), None, T0 + timedelta(minutes=rnd.randrange(99)),
@@ -135,8 +175,7 @@ def test_action_stream_with_late_actions(spark, tmp_path):
         df = spark.createDataFrame(actions[part * 30: part * 30 + 30], ddl)
         df.coalesce(1).write.mode("append").json(landing)
         streams.actions_stream(
-            spark, landing, ddl, log, state, ["user_id", "job_posting_id"], folds.feedback,
-            mark).awaitTermination()
+            spark, landing, ddl, log, state, folds.feedback, mark).awaitTermination()
     whole = folds.feedback(spark.createDataFrame(actions, ddl))
     assert len(state.versions()) == 3
     assert rows(state.read().select(*whole.columns)) == rows(whole)
