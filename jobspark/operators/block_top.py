@@ -9,6 +9,8 @@ that meet blocks of candidates in a co-grouped shuffle. Both ways are exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from math import ceil
 
 import pandas as pd
@@ -24,33 +26,46 @@ REQUEST_BYTES = 64 << 20
 CANDIDATE_ROWS = 20_000
 
 
-def measure(requests: DataFrame) -> tuple[int, int]:
-    """(rows, bytes) of the requests, measured on their JSON form."""
+@dataclass(frozen=True)
+class Asked:
+    """Requests with their measured size; ``local`` holds them when they are few."""
+
+    frame: DataFrame
+    rows: int
+    total: int
+    request_rows: int
+    request_bytes: int
+
+    @cached_property
+    def local(self) -> pd.DataFrame | None:
+        small = self.rows <= self.request_rows and self.total <= self.request_bytes
+        return self.frame.toPandas() if small else None
+
+    @property
+    def blocks(self) -> int:
+        return max(ceil(self.rows / self.request_rows), ceil(self.total / self.request_bytes))
+
+
+def measure(requests: DataFrame, request_rows: int = REQUEST_ROWS,
+            request_bytes: int = REQUEST_BYTES) -> Asked:
+    """Counts the requests and the bytes of their JSON form."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*requests.columns))))
     rows, total = requests.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return rows, total
+    return Asked(requests, rows, total, request_rows, request_bytes)
 
 
 def best_per_request(
-    candidates: DataFrame, requests: DataFrame, score: Score, cut: Cut,
-    schema: str, candidate_key: str, size: tuple[int, int] | None = None, *,
-    request_rows: int = REQUEST_ROWS, request_limit: int = REQUEST_BYTES,
-    candidate_rows: int = CANDIDATE_ROWS,
+    candidates: DataFrame, asked: Asked, score: Score, cut: Cut, schema: str,
+    candidate_key: str, candidate_rows: int = CANDIDATE_ROWS,
 ) -> DataFrame:
-    """Per task, the best rows of every request; cut them once more per request.
-
-    ``size`` is what :func:`measure` gave, when the caller has it.
-    """
-    rows, total = size or measure(requests)
-    if rows <= request_rows and total <= request_limit:
-        return _broadcast(candidates, requests, score, cut, schema)
-    blocks = max(ceil(rows / request_rows), ceil(total / request_limit))
-    return _cogrouped(candidates, requests, score, schema, candidate_key, blocks,
-                      candidate_rows)
+    """Per task, the best rows of every request; cut them once more per request."""
+    if asked.local is not None:
+        return _broadcast(candidates, asked.local, score, cut, schema)
+    return _cogrouped(candidates, asked, score, schema, candidate_key, candidate_rows)
 
 
 def _broadcast(candidates, requests, score, cut, schema) -> DataFrame:
-    shared = candidates.sparkSession.sparkContext.broadcast(requests.toPandas())
+    shared = candidates.sparkSession.sparkContext.broadcast(requests)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
@@ -64,8 +79,8 @@ def _broadcast(candidates, requests, score, cut, schema) -> DataFrame:
     return candidates.mapInPandas(run, schema)
 
 
-def _cogrouped(candidates, requests, score, schema, key, request_blocks,
-               candidate_rows) -> DataFrame:
+def _cogrouped(candidates, asked: Asked, score, schema, key, candidate_rows) -> DataFrame:
+    requests, request_blocks = asked.frame, asked.blocks
     candidate_blocks = max(1, ceil(candidates.count() / candidate_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = candidates.withColumn(

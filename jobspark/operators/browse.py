@@ -171,7 +171,8 @@ def _micros(ts) -> Column:
 
 
 def relevant_postings(profiles: DataFrame, postings: DataFrame, limit: int = 25,
-                      condition: Column | None = None, **limits) -> DataFrame:
+                      condition: Column | None = None,
+                      candidate_rows: int = block_top.CANDIDATE_ROWS, **limits) -> DataFrame:
     """The newest postings that suit each profile: (profile_id, rank, posting …).
 
     Profiles with equal preferences are looked up once.
@@ -196,8 +197,8 @@ def relevant_postings(profiles: DataFrame, postings: DataFrame, limit: int = 25,
         "remote", F.col("salary_max").cast("double").alias("salary_max"),
         _micros("posted_at").alias("posted"), _micros("synced_at").alias("synced"))
     found = block_top.best_per_request(
-        candidates, requests, _score(n), lambda best: _newest(best, n), _FOUND, "id",
-        **limits)
+        candidates, block_top.measure(requests, **limits), _score(n),
+        lambda best: _newest(best, n), _FOUND, "id", candidate_rows)
     top = ranked(found, ["request_id"],
                  [F.desc("posted"), F.desc("synced"), F.col("id")], n, "rank")
     return (

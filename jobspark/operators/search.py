@@ -81,13 +81,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _wanted(sources) -> list[str]:
+    return [] if sources is None else [s.lower() for s in sources if s]
+
+
 def _eligible(cand: pd.DataFrame, model, sources, remote_only, salary, location,
               probes) -> np.ndarray:
     ok = (cand["model_name"] == model).to_numpy()
     if probes is not None:
         ok &= cand["list_id"].isin(probes).to_numpy()
-    if sources is not None and len(sources):
-        ok &= cand["source"].isin([s.lower() for s in sources if s]).to_numpy()
+    wanted = _wanted(sources)
+    if wanted:
+        ok &= cand["source"].isin(wanted).to_numpy()
     if remote_only:
         ok &= np.fromiter((v is True or v is np.True_ for v in cand["remote"]), bool, len(cand))
     if salary is not None and not pd.isna(salary):
@@ -145,13 +150,35 @@ def _score(pool: int):
     return score
 
 
-def nearest_chunks(requests: DataFrame, chunks: DataFrame, postings: DataFrame, pool: int,
-                   *, fresh_only: bool = False, size: tuple[int, int] | None = None,
-                   **limits) -> DataFrame:
+def _admitted(asked: pd.DataFrame, chunks: DataFrame, postings: DataFrame):
+    """Drops what no request admits, so that it is neither read nor shuffled."""
+    if not len(asked):
+        return chunks, postings
+    models = sorted(asked["model_name"].dropna().unique())
+    if len(models) <= 100:
+        chunks = chunks.filter(F.col("model_name").isin(models))
+    named = [_wanted(x) for x in asked["sources"]]
+    if all(named):
+        every = sorted({s for x in named for s in x})
+        if len(every) <= 1000:
+            postings = postings.filter(F.col("source").isin(every))
+    if asked["remote_only"].fillna(False).astype(bool).all():
+        postings = postings.filter(F.col("remote"))
+    if asked["minimum_salary"].notna().all():
+        least = float(asked["minimum_salary"].min())
+        postings = postings.filter(F.col("salary_max") >= least)
+    return chunks, postings
+
+
+def nearest_chunks(asked: block_top.Asked, chunks: DataFrame, postings: DataFrame, pool: int,
+                   *, fresh_only: bool = False,
+                   candidate_rows: int = block_top.CANDIDATE_ROWS) -> DataFrame:
     """The ``pool`` nearest chunks of each request among the postings it admits.
 
     With ``fresh_only`` chunks of an older text of their posting are left out.
     """
+    if asked.local is not None:
+        chunks, postings = _admitted(asked.local, chunks, postings)
     keys = ["job_posting_id"] + (["content_hash"] if fresh_only else [])
     facts = postings.select(
         F.col("id").alias("job_posting_id"), "source", "remote",
@@ -162,8 +189,8 @@ def nearest_chunks(requests: DataFrame, chunks: DataFrame, postings: DataFrame,
         F.col("id").cast("string").alias("id"), "job_posting_id", "embedding",
         "model_name", "source", "remote", "salary_max", "location", listed)
     near = block_top.best_per_request(
-        candidates, requests, _score(pool), lambda best: _keep_nearest(best, pool), _NEAR,
-        "id", size, **limits)
+        candidates, asked, _score(pool), lambda best: _keep_nearest(best, pool), _NEAR, "id",
+        candidate_rows)
     return ranked(near, ["request_id"], [F.col("distance"), F.col("chunk_id")], pool,
                   "pool_rank")
 
@@ -174,7 +201,8 @@ RESULT_ROWS = 100_000
 
 def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k: int = 5,
            most: int = 25, pool: int | None = None, fresh_only: bool = False,
-           preview_chars: int = 500, **limits) -> DataFrame:
+           preview_chars: int = 500, candidate_rows: int = block_top.CANDIDATE_ROWS,
+           **limits) -> DataFrame:
     """The ``top_k`` postings nearest to each request, one row each, ranked.
 
     The nearest chunks are drawn first, then the best chunk of each posting counts,
@@ -183,10 +211,9 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
     k = top_k_of(top_k, most)
     if "probes" not in requests.columns:
         requests = requests.withColumn("probes", F.lit(None).cast("array<int>"))
-    requests = requests.select(*REQUEST_FIELDS)
-    size = block_top.measure(requests)
-    near = nearest_chunks(requests, chunks, postings, pool or pool_of(k),
-                          fresh_only=fresh_only, size=size, **limits)
+    asked = block_top.measure(requests.select(*REQUEST_FIELDS), **limits)
+    near = nearest_chunks(asked, chunks, postings, pool or pool_of(k),
+                          fresh_only=fresh_only, candidate_rows=candidate_rows)
     best = first_per_key(near, ["request_id", "job_posting_id"],
                          [F.col("distance"), F.col("chunk_id")])
     top = ranked(
@@ -195,7 +222,7 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
     ).select("request_id", "job_posting_id", "chunk_id", "base_rank",
              F.round("similarity", 6).alias("similarity"))
     # There are at most k results per counted request, so their size is known here.
-    small = F.broadcast if size[0] * k <= RESULT_ROWS else (lambda df: df)
+    small = F.broadcast if asked.rows * k <= RESULT_ROWS else (lambda df: df)
     shown = postings.select(
         F.col("id").alias("job_posting_id"), "source", "title", "company", "location",
         "remote", "salary_min", "salary_max", "salary_currency", "employment_type",

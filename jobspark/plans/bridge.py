@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..functions import text
 from ..sources import feeds
-from ..sources.tables import scan
+from ..sources.tables import scan, spread
 
 MODELS = ("model-0", "model-1")
 
@@ -46,7 +46,7 @@ def hours(n: Column) -> Column:
 
 
 def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     n = F.col("doc_id")
     web = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), n.cast("string"))
     return d.select(
@@ -316,7 +316,7 @@ def _created(n: Column) -> Column:
 
 
 def feed_a(spark: SparkSession, sf: str) -> DataFrame:
-    d, n = table(spark, sf, "documents"), F.col("doc_id")
+    d, n = spread(table(spark, sf, "documents"), "doc_id"), F.col("doc_id")
     result = F.struct(
         n.cast("string").alias("id"),
         F.when(n % 50 != 49, F.get(F.split("text", "\n"), F.lit(0))).alias("title"),
@@ -338,7 +338,7 @@ def feed_a(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_b(spark: SparkSession, sf: str) -> DataFrame:
-    d, n = table(spark, sf, "documents"), F.col("doc_id")
+    d, n = spread(table(spark, sf, "documents"), "doc_id"), F.col("doc_id")
     descriptor = F.struct(
         F.get(F.split("text", "\n"), F.lit(0)).alias("PositionTitle"),
         F.when(n % 4 != 0, F.col("text")).alias("QualificationSummary"),
@@ -374,7 +374,7 @@ def feed_b(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_c(spark: SparkSession, sf: str) -> DataFrame:
     """The web pages, as descriptions of an HTML feed."""
-    p, n = table(spark, sf, "pages"), F.col("page_id")
+    p, n = spread(table(spark, sf, "pages"), "page_id"), F.col("page_id")
     listing = F.struct(
         n.cast("string").alias("id"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("position"),

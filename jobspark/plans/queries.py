@@ -88,7 +88,7 @@ def normalize_source_c(spark, sf):
 
 @query
 def html_to_text(spark, sf):
-    pages = bridge.table(spark, sf, "pages")
+    pages = bridge.spread(bridge.table(spark, sf, "pages"), "page_id")
     body = text.html_text("html")
     return pages.select("page_id", body.alias("body")).select(
         "page_id", "body", text.words("body").alias("n_words"))
@@ -827,9 +827,9 @@ def refresh_stream(spark, sf):
         "landing", "synced_at").write.json(f"{home}/landing")
     streams.postings_stream(
         spark, f"{home}/landing", f"{home}/store", f"{home}/checkpoint",
-        embedding.hashing_embedder(64), "hashing-64", datetime(2024, 6, 1)
+        embedding.hashing_embedder(64), "hashing-64", datetime(2024, 6, 1), buckets=8
     ).awaitTermination()
-    store = refresh.Store(spark, f"{home}/store")
+    store = refresh.Store(spark, f"{home}/store", 8)
     made = store.table("job_posting_embeddings").read().groupBy("job_posting_id").agg(
         F.count("*").alias("chunks"))
     return store.table("job_postings").read().join(

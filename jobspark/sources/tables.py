@@ -21,6 +21,15 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, when the files at hand have fewer splits than there are cores.
+
+    For costly work per row on few or unsplittable files; large inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def bucket_of(keys: Iterable[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 

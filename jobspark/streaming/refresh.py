@@ -15,13 +15,14 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators import embedding, merge, prepare
 from ..plans import refresh
-from ..sources.tables import StateTable, touched_buckets, write_buckets
+from ..sources.tables import BUCKETS, StateTable, touched_buckets, write_buckets
 
 
 def postings_stream(spark: SparkSession, landing: str, store_path: str, checkpoint: str,
-                    embedder: embedding.Embedder, model: str, as_of: datetime) -> StreamingQuery:
+                    embedder: embedding.Embedder, model: str, as_of: datetime,
+                    buckets: int = BUCKETS) -> StreamingQuery:
     """Landed postings (JSON lines of the common fields) into postings and vectors."""
-    store = refresh.Store(spark, store_path)
+    store = refresh.Store(spark, store_path, buckets)
     schema = schemas.POSTING + ", ingest_seq BIGINT"
     landed = spark.readStream.schema(schema).json(landing)
 

@@ -112,10 +112,25 @@ def test_blocks_equal_broadcast(spark):
     whole = got(search.search(r, c, p, top_k=8))
     blocks = got(search.search(r, c, p, top_k=8, request_rows=2, candidate_rows=20))
     assert blocks == whole
-    by_size = got(search.search(r, c, p, top_k=8, request_limit=200, candidate_rows=50))
+    by_size = got(search.search(r, c, p, top_k=8, request_bytes=200, candidate_rows=50))
     assert by_size == whole
 
 
+def test_filters_common_to_all_requests(spark):
+    postings, chunks, _ = make(6)
+    dim = len(chunks[0][2])
+    asked = [("a", [1.0] * dim, "m", ["s1"], True, 60.0, None),
+             ("b", [-1.0] * dim, "m", ["S2", "s1"], True, 90.0, "new")]
+    r, c, p = frames(spark, postings, chunks, asked)
+    assert stable(got(search.search(r, c, p, top_k=5))) == stable(
+        brute(postings, chunks, asked, 50, 5))
+    assert search.search(r.limit(0), c, p).count() == 0
+    blank = [("a", [1.0] * dim, "m", [""], False, None, None)]
+    r, c, p = frames(spark, postings, chunks, blank)
+    assert stable(got(search.search(r, c, p))) == stable(brute(
+        postings, chunks, [("a", [1.0] * dim, "m", None, False, None, None)], 50, 5))
+
+
 def test_one_posting_may_fill_the_pool(spark):
     postings = [("s:1", "s", True, None, None), ("s:2", "s", True, None, None)]
     chunks = [(f"s:1#{i:02d}", "s:1", [1.0, 0.001 * i], "m", "h") for i in range(60)]
