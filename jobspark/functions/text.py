@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -169,6 +170,13 @@ _REFERENCE_OR_TEXT = (
 )
 
 
+# The standard's named references as one JSON literal, which Spark parses while planning.
+# Lookups go through the names in turn, so the short, common ones come first.
+_NAMED_REFERENCES = json.dumps({
+    "&" + name: char for name, char in sorted(
+        html5.items(), key=lambda x: (len(x[0]), x[0])) if name.endswith(";")})
+
+
 def strip_markup(html) -> Column:
     """Text nodes of an HTML text, parted by blanks; references still encoded."""
     t = F.regexp_replace(F.coalesce(_c(html), F.lit("")), _COMMENT, " ")
@@ -179,10 +187,7 @@ def strip_markup(html) -> Column:
 def unescape(text) -> Column:
     """Decode the character references of a text, each one once."""
     t = _c(text)
-    names = F.create_map(
-        *[F.lit(x) for name, char in sorted(html5.items()) if name.endswith(";")
-          for x in ("&" + name, char)]
-    )
+    names = F.from_json(F.lit(_NAMED_REFERENCES), "map<string,string>")
 
     def char_of(code: Column) -> Column:
         known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)

@@ -144,3 +144,8 @@ def profile_list(profiles: DataFrame) -> DataFrame:
         "resume_filename", F.col("resume_text").isNotNull().alias("has_resume"),
         F.length("resume_text").alias("resume_characters"),
         "is_default", "created_at", "updated_at")
+
+
+def profile_order() -> list[Column]:
+    """Default profiles first, then the oldest."""
+    return [F.desc("is_default"), F.col("created_at"), F.col("id")]

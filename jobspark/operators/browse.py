@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import domains
 from ..functions import text
-from . import block_top
+from . import block_top, board
 from .topn import first_per_key, ranked
 
 # ---- predicates -----------------------------------------------------------------
@@ -96,8 +96,7 @@ _ASCENDING = [True, False, False, True]
 
 def default_profiles(profiles: DataFrame) -> DataFrame:
     """One profile per user: the default one, else the oldest."""
-    return first_per_key(profiles, ["user_id"],
-                         [F.desc("is_default"), F.col("created_at"), F.col("id")])
+    return first_per_key(profiles, ["user_id"], board.profile_order())
 
 
 def _newest(found: pd.DataFrame, n: int) -> pd.DataFrame:

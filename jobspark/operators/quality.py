@@ -18,15 +18,20 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
 
 
 def orphan_counts(tables: Mapping[str, DataFrame], references: list[tuple]) -> DataFrame:
-    """(child, column, parent, orphans) for every reference between given tables."""
-    rows = [
-        orphans(tables[child].select(column), column, tables[parent], key)
-        .agg(F.count("*").alias("orphans"))
-        .select(F.lit(child).alias("child"), F.lit(column).alias("child_column"),
-                F.lit(parent).alias("parent"), "orphans")
-        for child, column, parent, key in references
-        if child in tables and parent in tables
-    ]
+    """(child, column, parent, orphans) for every reference between given tables.
+
+    Child rows are counted per value first; only the distinct values meet the parent.
+    """
+    rows = []
+    for child, column, parent, key in references:
+        if child not in tables or parent not in tables:
+            continue
+        values = tables[child].groupBy(column).agg(F.count("*").alias("_n"))
+        rows.append(
+            orphans(values, column, tables[parent], key)
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans"))
+            .select(F.lit(child).alias("child"), F.lit(column).alias("child_column"),
+                    F.lit(parent).alias("parent"), "orphans"))
     return reduce(DataFrame.unionByName, rows)
 
 

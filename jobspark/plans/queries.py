@@ -226,14 +226,7 @@ def unembedded(spark, sf):
 
 @query
 def coverage_left_join(spark, sf):
-    p = bridge.postings(spark, sf).select("id", "source")
-    e = bridge.chunks(spark, sf).select(
-        F.col("job_posting_id").alias("id"), F.col("id").alias("chunk_id"))
-    return p.join(e, "id", "left").groupBy("source").agg(
-        F.count_distinct("id").alias("total_postings"),
-        F.count_distinct(F.when(F.col("chunk_id").isNotNull(), F.col("id")))
-        .alias("embedded_postings"),
-        F.count("chunk_id").alias("total_chunks"))
+    return embedding.coverage(bridge.postings(spark, sf), bridge.chunks(spark, sf))
 
 
 @query
@@ -483,11 +476,11 @@ def saved_with_posting(spark, sf):
 
 @query
 def note_ownership(spark, sf):
-    accepted, refused = board.own_notes(
-        bridge.notes(spark, sf), bridge.applications(spark, sf))
+    counted = bridge.notes(spark, sf).groupBy("application_id", "user_id").agg(
+        F.count("*").alias("notes"))
+    accepted, refused = board.own_notes(counted, bridge.applications(spark, sf))
     return accepted.withColumn("accepted", F.lit(True)).unionByName(
-        refused.withColumn("accepted", F.lit(False))).groupBy(
-        "application_id", "user_id", "accepted").agg(F.count("*").alias("notes"))
+        refused.withColumn("accepted", F.lit(False)))
 
 
 # ---- folds -----------------------------------------------------------------------

@@ -27,9 +27,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def working_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder
-    is made.
+    Only a local session that names none (as in tests) gets a temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="run-")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
