@@ -73,6 +73,8 @@ def like_pattern(value: str) -> re.Pattern:
 
 def _stack(column) -> np.ndarray:
     rows = column.to_numpy()
+    if len({len(v) for v in rows}) > 1:
+        raise ValueError("Vectors differ in dimension.")
     return np.concatenate(rows).astype(np.float64).reshape(len(rows), -1)
 
 
@@ -185,7 +187,8 @@ def nearest_chunks(asked: block_top.Asked, chunks: DataFrame, postings: DataFram
         F.col("salary_max").cast("double").alias("salary_max"), "location",
         *(["content_hash"] if fresh_only else []))
     listed = "list_id" if "list_id" in chunks.columns else F.lit(None).cast("int").alias("list_id")
-    candidates = chunks.join(facts, keys, "inner").select(
+    filled = chunks.filter(F.col("embedding").isNotNull())
+    candidates = filled.join(facts, keys, "inner").select(
         F.col("id").cast("string").alias("id"), "job_posting_id", "embedding",
         "model_name", "source", "remote", "salary_max", "location", listed)
     near = block_top.best_per_request(

@@ -177,7 +177,7 @@ FEED_A = f"""a AS (SELECT 'adzuna:' || n AS id, 'adzuna' AS source, n::VARCHAR A
   contains(lower(concat_ws(' ', loc, title)), 'remote') AS remote,
   n_chars::DOUBLE AS salary_min, (n_chars * 2)::DOUBLE AS salary_max, 'USD' AS salary_currency,
   CASE WHEN n % 3 = 0 THEN 'full_time' ELSE 'permanent' END AS employment_type,
-  lang AS category, sha256({_clean('text')}) AS content_hash,
+  lang AS category, sha256({_clean('text')}) AS content_hash, {_clean('text')} AS body,
   'https://a.example.com/' || n AS apply_url, {_CREATED} AS posted_at,
   CASE WHEN coalesce(title, '') = '' THEN 'missing title'
     WHEN {_clean('text')} = '' THEN 'missing description' END AS reject_reason
@@ -195,7 +195,7 @@ FEED_B = f"""b AS (SELECT 'usajobs:' || n AS id, 'usajobs' AS source, n::VARCHAR
   CASE WHEN n % 5 <> 0 AND n % 7 <> 0 THEN n_chars::DOUBLE END AS salary_min,
   CASE WHEN n % 5 <> 0 THEN (n_chars * 3)::DOUBLE + 0.5 END AS salary_max,
   'USD' AS salary_currency, 'Full-time' AS employment_type, lang AS category,
-  sha256({_clean(_BODY_B)}) AS content_hash,
+  sha256({_clean(_BODY_B)}) AS content_hash, {_clean(_BODY_B)} AS body,
   CASE WHEN n % 2 = 0 THEN 'https://apply.example.com/' ELSE 'https://b.example.com/' END || n
     AS apply_url, {_CREATED} AS posted_at,
   CASE WHEN coalesce(title, '') = '' THEN 'missing title'
@@ -207,7 +207,7 @@ FEED_C = f"""c AS (SELECT 'remoteok:' || n AS id, 'remoteok' AS source, n::VARCH
   CASE WHEN n % 2 = 0 THEN 'Remote' ELSE 'Berlin' END AS "location", true AS remote,
   CASE WHEN n % 2 <> 0 THEN 50000.0::DOUBLE END AS salary_min, 90000.0::DOUBLE AS salary_max,
   'USD' AS salary_currency, NULL::VARCHAR AS employment_type,
-  regexp_extract(html, 'lang="([a-z]+)"', 1) AS category, sha256(body) AS content_hash,
+  regexp_extract(html, 'lang="([a-z]+)"', 1) AS category, sha256(body) AS content_hash, body,
   CASE WHEN n % 5 = 0 THEN url ELSE url || '?apply' END AS apply_url,
   CASE WHEN n % 3 = 0 THEN {_iso("make_timestamp((n * 3600 + 1700000000) * 1000000)")}
     ELSE {_CREATED} END AS posted_at,
@@ -685,4 +685,16 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
   AS chunks FROM postings LEFT JOIN (SELECT job_posting_id, count(*) AS n
     FROM {_chunked(_BODY, 1000, 150)} GROUP BY job_posting_id) ON job_posting_id = id
   WHERE length(title) > 0 AND length(description_text) >= 40"""
+    q["feedback_stream"] = q["feedback_fold"]
+    q["refresh_run"] = f"""WITH {FEED_A}, {FEED_B}, {FEED_C}, every AS (
+  SELECT id AS job_posting_id, source, content_hash, title, body, reject_reason FROM a UNION ALL
+  SELECT id, source, content_hash, title, body, reject_reason FROM b UNION ALL
+  SELECT id, source, content_hash, title, body, reject_reason FROM c),
+kept AS (SELECT * FROM every WHERE reject_reason IS NULL AND {_clean('title')} <> ''
+  AND length(body) >= 40),
+n AS (SELECT job_posting_id, count(*) AS n FROM {_chunked('SELECT * FROM kept', 1000, 150)}
+  GROUP BY job_posting_id)
+SELECT source, count(*) AS total_postings, count(n) AS embedded_postings,
+  sum(n)::BIGINT AS total_chunks, count(*) AS logged_postings
+  FROM kept LEFT JOIN n USING (job_posting_id) GROUP BY source"""
     return q

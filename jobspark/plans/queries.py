@@ -828,3 +828,57 @@ def refresh_stream(spark, sf):
     return store.table("job_postings").read().join(
         made, F.col("id") == F.col("job_posting_id"), "left").select(
         "id", "title", "content_hash", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query
+def feedback_stream(spark, sf):
+    """Feedback landed in three unordered files, folded by a stream batch by batch."""
+    from ..sources.tables import StateTable
+    from ..streaming import refresh as streams
+    home = session.working_dir(spark, "actions")
+    ddl = ("user_id STRING, job_posting_id STRING, feedback STRING, reason STRING, "
+           "ts TIMESTAMP, seq BIGINT")
+    bridge.feedback_actions(spark, sf).repartition(3, "seq").write.option(
+        "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{home}/landing")
+    state = StateTable(spark, f"{home}/state", schemas.schema("job_feedback"),
+                       schemas.KEYS["job_feedback"][1], 8)
+    streams.actions_stream(
+        spark, f"{home}/landing", ddl, f"{home}/log", state, folds.feedback,
+        f"{home}/checkpoint", files_per_batch=1).awaitTermination()
+    return state.read().withColumns({
+        c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
+
+
+PAGE = 100
+
+
+def _land(feed: DataFrame, wrap: Callable, path: str) -> None:
+    """Feed documents of up to a hundred postings, one per line."""
+    page = F.floor(F.col("ingest_seq") / PAGE)
+    (feed.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(
+        F.struct("ingest_seq", "raw")))["raw"].alias("items"))
+     .select(wrap(F.col("items")).alias("value")).write.text(path))
+
+
+@query
+def refresh_run(spark, sf):
+    """A whole run over the three landed feeds; what it stored, by source."""
+    from . import refresh
+    home = session.working_dir(spark, "run")
+    _land(bridge.feed_a(spark, sf), lambda x: F.to_json(F.struct(x.alias("results"))),
+          f"{home}/landing/a")
+    _land(bridge.feed_b(spark, sf), lambda x: F.to_json(F.struct(F.struct(
+        x.alias("SearchResultItems")).alias("SearchResult"))), f"{home}/landing/b")
+    _land(bridge.feed_c(spark, sf), F.to_json, f"{home}/landing/c")
+    paths = {name: f"{home}/landing/{part}" for name, part in zip(domains.SOURCES, "abc")}
+    refresh.run(
+        spark, f"{home}/store", paths, [{"keyword": ""}], embedding.hashing_embedder(64),
+        "hashing-64", limit_per_source=None, embed_limit=None, as_of=datetime(2024, 6, 1),
+        buckets=8, lines=True)
+    store = refresh.Store(spark, f"{home}/store", 8)
+    made = embedding.coverage(
+        store.table("job_postings").read(), store.table("job_posting_embeddings").read())
+    run = spark.read.parquet(f"{home}/store/pipeline_runs").filter("status = 'completed'")
+    return made.join(run.select(
+        F.explode(F.from_json("metrics", "rows_by_source MAP<STRING, BIGINT>")
+                  ["rows_by_source"]).alias("source", "logged_postings")), "source")

@@ -66,40 +66,55 @@ class StateTable:
         return [f.getPath() for f in (fs.globStatus(path) or [])]
 
     def versions(self) -> list[int]:
-        """Committed updates: the list of touched buckets is written last."""
+        """Committed updates: the index of an update is written last."""
         return sorted(int(p.getParent().getName().split("=")[1])
-                      for p in self._glob("touched=*/_SUCCESS"))
+                      for p in self._glob("index=*/_SUCCESS"))
 
-    def _folders(self, before: int | None, only: list[int] | None) -> list[str]:
-        """The newest committed folder of each bucket, where it has rows."""
+    def _index(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> update that wrote it last, for buckets that hold rows."""
         known = [v for v in self.versions() if before is None or v < before]
         if not known:
-            return []
-        newest = {
-            r["bucket"]: r["version"] for r in self.spark.read.schema("bucket INT, version INT")
-            .parquet(*[f"{self.path}/touched={v}" for v in known])
-            .groupBy("bucket").agg(F.max("version").alias("version")).collect()}
-        there = {(int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1]))
-                 for p in self._glob("version=*/bucket=*")}
-        wanted = newest if only is None else [b for b in only if b in newest]
-        return [f"{self.path}/version={newest[b]}/bucket={b}" for b in wanted
-                if (newest[b], b) in there]
+            return {}
+        newest = self.spark.read.schema("bucket INT, version INT").parquet(
+            f"{self.path}/index={known[-1]}")
+        return {r["bucket"]: r["version"] for r in newest.collect()}
 
     def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
         """The present state, or the one before an update; of some buckets if named."""
-        folders = self._folders(before, only)
+        folders = [f"{self.path}/version={v}/bucket={b}"
+                   for b, v in sorted(self._index(before).items()) if only is None or b in only]
         if not folders:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*folders)
 
     def _commit(self, df: DataFrame, touched: list[int], version: int) -> int:
+        folder = f"version={version}"
         write_buckets(df.select(*self.schema.fieldNames()), self.keys, self.buckets,
-                      f"{self.path}/version={version}")
+                      f"{self.path}/{folder}")
+        index = {b: v for b, v in self._index(version).items() if b not in touched}
+        for path in self._glob(f"{folder}/bucket=*"):
+            index[int(path.getName().split("=")[1])] = version
         self.spark.createDataFrame(
-            [(b, version) for b in touched], "bucket INT, version INT"
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/touched={version}")
+            sorted(index.items()), "bucket INT, version INT"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index={version}")
         return version
 
+    def vacuum(self, keep: int = 7) -> int:
+        """Deletes folders that none of the last ``keep`` states needs; how many."""
+        known = self.versions()
+        if len(known) <= keep:
+            return 0
+        needed = {(v, b) for old in known[-keep:] for b, v in self._index(old + 1).items()}
+        gone = [p for p in self._glob("version=*/bucket=*") if (
+            int(p.getParent().getName().split("=")[1]),
+            int(p.getName().split("=")[1])) not in needed
+            and int(p.getParent().getName().split("=")[1]) <= known[-1]]
+        gone += [p for p in self._glob("index=*")
+                 if int(p.getName().split("=")[1]) < known[-keep]]
+        for path in gone:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return len(gone)
+
     def next_version(self) -> int:
         return max(self.versions(), default=0) + 1
 

@@ -40,14 +40,15 @@ def postings_stream(spark: SparkSession, landing: str, store_path: str, checkpoi
 
 def actions_stream(spark: SparkSession, landing: str, action_schema: str, log_path: str,
                    state: StateTable, fold: Callable[[DataFrame], DataFrame],
-                   checkpoint: str) -> StreamingQuery:
+                   checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
     """Landed actions into a folded state table.
 
     Only keys with new actions are folded again, over their whole history, so late
     actions count as if they had come in time. Log and state are parted alike: a batch
     reads and rewrites only the buckets its keys fall into.
     """
-    landed = spark.readStream.schema(action_schema).json(landing)
+    landed = spark.readStream.schema(action_schema).option(
+        "maxFilesPerTrigger", files_per_batch).json(landing)
     keys, buckets = state.keys, state.buckets
 
     def batch(df: DataFrame, number: int) -> None:

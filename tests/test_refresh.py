@@ -111,6 +111,18 @@ def test_emptied_buckets_stay_empty(spark, tmp_path):
     assert table.read().count() == 0
 
 
+def test_vacuum_keeps_the_last_states(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), schemas.schema("skills"), ["id"], 2)
+    table.write(skill_rows(spark, "a", "b", "c", "d"))
+    for n in range(5):
+        one = skill_rows(spark, "a").withColumn("name", F.lit(f"n{n}"))
+        table.update(one, lambda old: merge.upsert(old, one, ["id"]))
+    before = rows(table.read()), rows(table.read(before=6))
+    assert table.vacuum(keep=2) > 0 and table.versions() == [5, 6]
+    assert (rows(table.read()), rows(table.read(before=6))) == before
+    assert table.vacuum(keep=2) == 0
+
+
 def test_uncommitted_updates_do_not_count(spark, tmp_path):
     table = StateTable(spark, str(tmp_path / "t"), schemas.schema("skills"), ["id"], 4)
     table.write(skill_rows(spark, "a"))
