@@ -48,8 +48,11 @@ def test_run_twice_and_then_change(spark, tmp_path):
         ("adzuna:1", T0 + timedelta(days=1)), ("adzuna:2", T0 + timedelta(days=1))]
 
     land(feed, [posting(1, "changed " + BODY), posting(4)])
+    (feed / "broken.json").write_text("{")
     third = refresh.run(spark, home, paths, QUERIES, EMBED, "m", as_of=T0 + timedelta(days=2))
     assert third["embedded_postings"] == 2
+    assert {(e["source"], e["documents"]) for e in third["source_errors"]} == {
+        ("adzuna", 1), ("usajobs", 1)}
     assert store.table("job_postings").read().count() == 3
     log = runlog.current(spark.read.parquet(home + "/pipeline_runs"))
     assert rows(log.groupBy("status").count()) == [("completed", 3)]
