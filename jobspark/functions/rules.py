@@ -10,12 +10,12 @@ from . import text
 
 
 def required(column: str) -> Column:
-    value = F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    value = text.strip(F.coalesce(F.col(column).cast("string"), F.lit("")))
     return F.when(value == "", F.lit(f"{column} is required."))
 
 
 def at_most(column: str, maximum: int) -> Column:
-    value = F.trim(F.col(column))
+    value = text.strip(F.col(column))
     return F.when(
         F.length(value) > maximum,
         F.lit(f"{column} must be {maximum:,} characters or fewer."),
@@ -31,7 +31,7 @@ def one_of(column: str, allowed: Iterable[str], *, optional: bool = False) -> Co
 
 
 def email(column: str) -> Column:
-    value = F.lower(F.trim(F.coalesce(F.col(column), F.lit(""))))
+    value = F.lower(text.strip(F.coalesce(F.col(column), F.lit(""))))
     fine = (
         F.contains(value, F.lit("@"))
         & ~F.startswith(value, F.lit("@"))
@@ -53,8 +53,8 @@ def iso_day(column: str) -> Column:
 
 
 def tidy(column: str) -> Column:
-    """Trimmed value; NULL when nothing is left."""
-    return F.nullif(F.trim(F.col(column)), F.lit("")).alias(column)
+    """Stripped value; NULL when nothing is left."""
+    return text.none_if_empty(text.strip(F.col(column))).alias(column)
 
 
 def check(df: DataFrame, rules: Iterable[Column]) -> DataFrame:

@@ -16,6 +16,12 @@ def clean_space(text) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(
+        _c(text), r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
+
+
 _BLANK, _SOLID = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
 
@@ -123,8 +129,8 @@ def to_number(text) -> Column:
 
 
 def clean_list(items, most: int = 20) -> Column:
-    """Trim the elements, drop blanks, keep the first ``most``."""
-    trimmed = F.transform(_c(items), lambda x: F.trim(x))
+    """Strip the elements, drop blanks, keep the first ``most``."""
+    trimmed = F.transform(_c(items), strip)
     return F.slice(F.filter(trimmed, lambda x: x != ""), 1, most)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import domains
+from ..functions import text
 
 WHEN = ("ts", "seq")
 
@@ -42,7 +43,8 @@ def users(actions: DataFrame, state: DataFrame | None = None) -> DataFrame:
     created_at.
     """
     log = actions.select(
-        F.lower(F.trim("email")).alias("email"), "display_name", *WHEN)
+        F.lower(text.strip("email")).alias("email"),
+        text.strip("display_name").alias("display_name"), *WHEN)
     folded = log.groupBy("email").agg(
         last_given("display_name").alias("new_name"), F.min("ts").alias("first_ts"))
     if state is None:
@@ -67,9 +69,11 @@ def bookmarks(actions: DataFrame, slice_: str = "hour") -> DataFrame:
     key = ["user_id", "job_posting_id"]
     inside = Window.partitionBy(*key, "_slice")
     gone = F.max(F.when(F.col("action") == "delete", _at())).over(inside)
-    log = actions.withColumn("_slice", F.date_trunc(slice_, "ts")).withColumn("_gone", gone)
+    log = actions.withColumns({
+        "note": text.none_if_empty(text.strip("note")),
+        "_slice": F.date_trunc(slice_, "ts")}).withColumn("_gone", gone)
     live = (F.col("action") == "save") & (F.col("_gone").isNull() | (_at() > F.col("_gone")))
-    noted = live & (F.coalesce("note", F.lit("")) != "")
+    noted = live & F.col("note").isNotNull()
     slices = log.groupBy(*key, "_slice").agg(
         F.max("_gone").alias("_gone"), F.count_if(live).alias("_saves"),
         last("note", noted).alias("note"), F.min(F.when(live, F.col("ts"))).alias("saved_at"))

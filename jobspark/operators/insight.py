@@ -38,6 +38,20 @@ def skill_gap(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
         F.array_contains("_owned", F.col("skill")).alias("present_in_resume"))
 
 
+def skill_gap_summary(gap: DataFrame, pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Per profile: postings analysed, skills missing and skills present."""
+    known = postings.select(F.col("id").alias("job_posting_id"))
+    looked_at = pairs.select("profile_id", "job_posting_id").distinct().join(
+        known, "job_posting_id", "left_semi").groupBy("profile_id").agg(
+        F.count("*").alias("jobs_analyzed"))
+    found = gap.groupBy("profile_id").agg(
+        F.count_if(~F.col("present_in_resume")).alias("missing_skills"),
+        F.count_if("present_in_resume").alias("present_skills"))
+    return looked_at.join(found, "profile_id", "left").select(
+        "profile_id", "jobs_analyzed", F.coalesce("missing_skills", F.lit(0))
+        .alias("missing_skills"), F.coalesce("present_skills", F.lit(0)).alias("present_skills"))
+
+
 def skill_gap_order() -> list[Column]:
     return [F.col("present_in_resume"), F.desc("jobs_mentioning"), F.col("skill")]
 

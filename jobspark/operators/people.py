@@ -52,11 +52,20 @@ def tidy_contacts(contacts: DataFrame) -> DataFrame:
 
 def feedback_rules() -> list[Column]:
     return [rules.required("job_posting_id"), rules.at_most("job_posting_id", 500),
-            F.when(~F.coalesce(F.lower(F.trim("feedback")).isin(*domains.FEEDBACK), F.lit(False)),
+            F.when(~F.coalesce(F.lower(text.strip("feedback")).isin(*domains.FEEDBACK), F.lit(False)),
                    F.lit("feedback must be good, bad, or skip.")),
             rules.at_most("reason", 2000)]
 
 
+def tidy_feedback(actions: DataFrame) -> DataFrame:
+    return actions.withColumns({
+        "feedback": F.lower(text.strip("feedback")), "reason": rules.tidy("reason")})
+
+
+def search_rules() -> list[Column]:
+    return [rules.required("query"), rules.at_most("query", 2000)]
+
+
 def stage_rules() -> list[Column]:
     return [rules.one_of("stage", domains.STAGES)]
 

@@ -566,6 +566,13 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
     q["skill_gap_scan"] = _skill_gap("contains({}, skill)")
     q["skill_gap_words"] = _skill_gap(
         r"list_contains(regexp_split_to_array({}, '[^\pL\pN\pM_]+'), skill)")
+    gap = _skill_gap("contains({}, skill)")
+    q["skill_gap_summary"] = f"""WITH g AS ({gap}), {APPS}, looked AS (SELECT profile_id,
+  count(DISTINCT job_posting_id) AS n FROM apps GROUP BY profile_id)
+SELECT l.profile_id, any_value(n) AS jobs_analyzed,
+  count(*) FILTER (NOT present_in_resume) AS missing_skills,
+  count(*) FILTER (present_in_resume) AS present_skills
+  FROM looked l LEFT JOIN g USING (profile_id) GROUP BY l.profile_id"""
     terms = ", ".join(f"('{t}')" for t in queries.TERMS)
     q["skill_mentions"] = f"""WITH {POSTINGS}, terms(skill) AS (VALUES {terms})
   SELECT skill, count(*) AS jobs_mentioning FROM postings, terms
@@ -657,6 +664,12 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
         "CASE WHEN floor(value) * 60 > 2000 THEN 'reason must be 2,000 characters or fewer.' END")
     q["feedback_validation"] = f"""SELECT {ferrors} AS errors, count(*) AS rows FROM events
   GROUP BY 1"""
+    serrors = _errors(
+        "CASE WHEN trim(text) = '' THEN 'query is required.' END",
+        "CASE WHEN length(trim(regexp_replace(text, '\\s+$', ''))) > 2000 "
+        "THEN 'query must be 2,000 characters or fewer.' END")
+    q["search_validation"] = f"""SELECT role, {serrors} AS errors, count(*) AS requests
+  FROM conversations GROUP BY 1, 2"""
     q["run_history"] = f"WITH {RUNS} SELECT * FROM runs ORDER BY started_at DESC, id LIMIT 20"
     q["latest_run"] = f"WITH {RUNS} SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 1"
     q["run_totals"] = f"""WITH {RUNS} SELECT status, count(*) AS runs,

@@ -565,6 +565,14 @@ def skill_gap_words(spark, sf):
         bridge.profiles(spark, sf), bridge.postings(spark, sf), TERMS, whole_words=True)
 
 
+@query
+def skill_gap_summary(spark, sf):
+    pairs = bridge.applications(spark, sf).select("profile_id", "job_posting_id")
+    p = bridge.postings(spark, sf)
+    gap = insight.skill_gap(pairs, bridge.profiles(spark, sf), p, TERMS)
+    return insight.skill_gap_summary(gap, pairs, p)
+
+
 @query
 def skill_mentions(spark, sf):
     """How many postings mention each term, zero left out."""
@@ -737,10 +745,19 @@ def feedback_validation(spark, sf):
             "purchase": " Good", "error": "BAD ", "view": "skip", "click": "maybe"})
         .alias("feedback"),
         F.repeat(F.lit("reason"), F.floor("value").cast("int") * 10).alias("reason"))
-    return rules.check(e, people.feedback_rules()).groupBy(
+    return rules.check(people.tidy_feedback(e), people.feedback_rules()).groupBy(
         F.array_join("errors", " ").alias("errors")).agg(F.count("*").alias("rows"))
 
 
+@query
+def search_validation(spark, sf):
+    """Search texts: the turns of the conversations."""
+    asked = bridge.table(spark, sf, "conversations").select(
+        "role", F.col("text").alias("query"))
+    return rules.check(asked, people.search_rules()).groupBy(
+        "role", F.array_join("errors", " ").alias("errors")).agg(F.count("*").alias("requests"))
+
+
 # ---- runs ------------------------------------------------------------------------
 
 @query

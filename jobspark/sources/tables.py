@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -94,9 +95,8 @@ class StateTable:
         index = {b: v for b, v in self._index(version).items() if b not in touched}
         for path in self._glob(f"{folder}/bucket=*"):
             index[int(path.getName().split("=")[1])] = version
-        self.spark.createDataFrame(
-            sorted(index.items()), "bucket INT, version INT"
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index={version}")
+        table = pd.DataFrame(sorted(index.items()), columns=["bucket", "version"], dtype="int32")
+        self.spark.createDataFrame(table, "bucket INT, version INT").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index={version}")
         return version
 
     def vacuum(self, keep: int = 7) -> int:

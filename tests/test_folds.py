@@ -42,16 +42,16 @@ def test_bookmarks(spark, seed, slice_):
     rnd, base = log(seed)
     actions = [dict(user_id=u, job_posting_id=j, ts=t, seq=s,
                     action=rnd.choice(["save", "save", "delete"]),
-                    note=rnd.choice([None, "", f"n{s}"])) for u, j, t, s in base]
+                    note=rnd.choice([None, "", "\t ", f"n{s}"])) for u, j, t, s in base]
     state = {}
     for a in replay(actions):
         key = (a["user_id"], a["job_posting_id"])
         if a["action"] == "delete":
             state.pop(key, None)
         elif key in state:
-            state[key] = (a["note"] or state[key][0], state[key][1])
+            state[key] = ((a["note"] or "").strip() or state[key][0], state[key][1])
         else:
-            state[key] = (a["note"] or None, a["ts"])
+            state[key] = ((a["note"] or "").strip() or None, a["ts"])
     got = folds.bookmarks(frame(spark, actions,
         "user_id string, job_posting_id string, action string, note string, ts timestamp, "
         "seq int"), slice_)

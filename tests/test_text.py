@@ -27,6 +27,11 @@ def test_clean_space_equals_split_and_join(spark):
     assert one(spark, text.clean_space("x"), None) is None
 
 
+def test_strip(spark):
+    values = SPACES + ["\n\ta b\u00a0", "\u2003"]
+    assert many(spark, text.strip("x"), values) == [v.strip() for v in values]
+
+
 ALPHABET = st.text(alphabet="ab \t  \x1c\u0085é", max_size=30)
 
 
