@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 
 import __spark_entry__ as contract
 import check
@@ -54,3 +57,23 @@ def test_scans_read_only_what_is_used(spark):
     assert "ReadSchema: struct<o_orderpriority:string>" in text
     slim = plan(contract.queries()["model_coverage"](spark, SF))
     assert "embedding" not in "".join(re.findall("ReadSchema: [^\n]*", slim))
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """A session started elsewhere, whose workers cannot import the package."""
+    script = tmp_path / "other.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {check.ROOT!r})
+import __spark_entry__ as contract
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").getOrCreate())
+for name in ("semantic_search_topk", "relevant_postings_per_profile"):
+    assert contract.queries()[name](spark, {SF!r}).count() > 0
+print("fine")
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip() == "fine", done.stderr[-2000:]
