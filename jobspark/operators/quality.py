@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -18,21 +19,32 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
 
 
 def orphan_counts(tables: Mapping[str, DataFrame], references: list[tuple]) -> DataFrame:
-    """(child, column, parent, orphans) for every reference between given tables.
+    """(child, child_column, parent, orphans) for every reference between given tables.
 
-    Child rows are counted per value first; only the distinct values meet the parent.
+    Every table is read once for all its references. Child rows are counted per value
+    first; only the distinct values meet the parents' keys.
     """
-    rows = []
-    for child, column, parent, key in references:
-        if child not in tables or parent not in tables:
-            continue
-        values = tables[child].groupBy(column).agg(F.count("*").alias("_n"))
-        rows.append(
-            orphans(values, column, tables[parent], key)
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans"))
-            .select(F.lit(child).alias("child"), F.lit(column).alias("child_column"),
-                    F.lit(parent).alias("parent"), "orphans"))
-    return reduce(DataFrame.unionByName, rows)
+    known = [r for r in references if r[0] in tables and r[2] in tables]
+    targets = sorted({(parent, key) for _, _, parent, key in known})
+    values = []
+    for child in sorted({r[0] for r in known}):
+        pairs = F.array(*[
+            F.struct(F.lit(i).alias("ref"), F.lit(targets.index((parent, key))).alias("target"),
+                     F.col(column).cast("string").alias("value"))
+            for i, (name, column, parent, key) in enumerate(known) if name == child])
+        values.append(tables[child].select(F.explode(pairs).alias("p")).select("p.*"))
+    counted = reduce(DataFrame.unionAll, values).filter("value IS NOT NULL").groupBy(
+        "ref", "target", "value").agg(F.count("*").alias("n"))
+    keys = reduce(DataFrame.unionAll, [
+        tables[parent].select(F.lit(i).alias("target"), F.col(key).cast("string").alias("value"))
+        for i, (parent, key) in enumerate(targets)])
+    lost = counted.join(keys, ["target", "value"], "left_anti").groupBy("ref").agg(
+        F.sum("n").alias("n"))
+    listed = next(iter(tables.values())).sparkSession.createDataFrame(pd.DataFrame(
+        [(i, *r[:3]) for i, r in enumerate(known)],
+        columns=["ref", "child", "child_column", "parent"]))
+    return listed.join(lost, "ref", "left").select(
+        "child", "child_column", "parent", F.coalesce("n", F.lit(0)).alias("orphans"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

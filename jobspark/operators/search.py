@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -198,8 +199,9 @@ def nearest_chunks(asked: block_top.Asked, chunks: DataFrame, postings: DataFram
                   "pool_rank")
 
 
-# Results of at most this many rows meet the big tables as a broadcast.
-RESULT_ROWS = 100_000
+# Results of at most this many rows meet the big tables as a broadcast. They hold ids and,
+# for the second join, a chunk of text: no more than a few kilobytes each.
+RESULT_ROWS = 20_000
 
 
 def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k: int = 5,
@@ -226,16 +228,15 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
              F.round("similarity", 6).alias("similarity"))
     # There are at most k results per counted request, so their size is known here.
     small = F.broadcast if asked.rows * k <= RESULT_ROWS else (lambda df: df)
+    if "chunk_text" in chunks.columns:
+        texts = chunks.select(F.col("id").cast("string").alias("chunk_id"), "chunk_text")
+        top = small(top).join(texts, "chunk_id")
     shown = postings.select(
         F.col("id").alias("job_posting_id"), "source", "title", "company", "location",
         "remote", "salary_min", "salary_max", "salary_currency", "employment_type",
         "category", text.preview("description_text", preview_chars).alias(
             "description_preview"), "apply_url", "posted_at")
-    found = small(top).join(shown, "job_posting_id")
-    if "chunk_text" not in chunks.columns:
-        return found
-    texts = chunks.select(F.col("id").cast("string").alias("chunk_id"), "chunk_text")
-    return small(found).join(texts, "chunk_id")
+    return small(top).join(shown, "job_posting_id")
 
 
 def rerank(results: DataFrame, feedback: DataFrame, user_col: str = "user_id", *,
@@ -281,12 +282,11 @@ def with_list(chunks: DataFrame, model: KMeansModel) -> DataFrame:
 
 def with_probes(requests: DataFrame, model: KMeansModel, probes: int) -> DataFrame:
     """Requests with the ``probes`` lists whose centres are nearest."""
-    centres = F.array(*[
-        F.struct(F.lit(i).alias("list_id"), F.array(*map(F.lit, map(float, c))).alias("c"))
-        for i, c in enumerate(model.clusterCenters())
-    ])
-    nearest = F.array_sort(F.transform(centres, lambda x: F.struct(
-        vectors.cosine_distance("vector", x["c"]).alias("d"), x["list_id"].alias("list_id"))))
+    centres = F.from_json(
+        F.lit(json.dumps([list(map(float, c)) for c in model.clusterCenters()])),
+        "array<array<double>>")
+    nearest = F.array_sort(F.transform(centres, lambda c, i: F.struct(
+        vectors.cosine_distance("vector", c).alias("d"), i.alias("list_id"))))
     return requests.withColumn(
         "probes", F.transform(F.slice(nearest, 1, probes), lambda x: x["list_id"]))
 

@@ -317,6 +317,12 @@ def sql() -> dict[str, str]:
     q["normalize_source_a"] = f"WITH {FEED_A} SELECT {_NORMALIZED} FROM a"
     q["normalize_source_b"] = f"WITH {FEED_B} SELECT {_NORMALIZED} FROM b"
     q["normalize_source_c"] = f"WITH {FEED_C} SELECT {_NORMALIZED} FROM c"
+    q["typed_postings"] = f"""WITH {RAW} SELECT id, source, external_id, title,
+  NULL::VARCHAR AS company, "location", remote::VARCHAR AS remote, salary_min, salary_max,
+  salary_currency, employment_type, category, sha256(description_text) AS description_text,
+  apply_url, {_iso('posted_at')} AS posted_at, '{{"n":' || ingest_seq || ',"at":{{"source":"'
+  || source || '"' || coalesce(',"location":"' || "location" || '"', '') || '}}}}' AS payload_json
+  FROM raw"""
     q["html_to_text"] = f"""SELECT page_id, body, CASE WHEN body = '' THEN 0
   ELSE len(string_split(body, ' ')) END::INTEGER AS n_words
   FROM (SELECT page_id, {_html('html')} AS body FROM pages)"""

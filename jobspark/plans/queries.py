@@ -86,6 +86,16 @@ def normalize_source_c(spark, sf):
     return _normalized(feeds.normalize_c(bridge.feed_c(spark, sf)))
 
 
+@query
+def typed_postings(spark, sf):
+    rows = bridge.raw_postings(spark, sf).drop("payload_json", "company").withColumns({
+        "salary_min": F.col("salary_min").cast("string"),
+        "payload": F.struct(F.col("ingest_seq").alias("n"), F.struct("source", "location")
+                            .alias("at"))})
+    typed = _as_text(_iso(feeds.typed(rows), "posted_at"), "remote")
+    return typed.withColumn("description_text", text.content_hash("description_text"))
+
+
 @query
 def html_to_text(spark, sf):
     pages = bridge.spread(bridge.table(spark, sf, "pages"), "page_id")

@@ -22,13 +22,17 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
     return df.select(*columns) if columns else df
 
 
+FEW_SPLITS = 32
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores, when the files at hand have fewer splits than there are cores.
+    """Rows over all cores, when the files at hand have only a few splits.
 
-    For costly work per row on few or unsplittable files; large inputs stay as they are.
+    For costly work per row on small or unsplittable files. Inputs of more splits (of
+    128 MB as a rule) stay as they are: moving them would cost more than it gives.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits >= min(cores, FEW_SPLITS) else df.repartition(cores, key)
 
 
 def bucket_of(keys: Iterable[str], buckets: int) -> Column:

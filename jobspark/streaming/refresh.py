@@ -20,17 +20,19 @@ from ..sources.tables import BUCKETS, StateTable, touched_buckets, write_buckets
 
 def postings_stream(spark: SparkSession, landing: str, store_path: str, checkpoint: str,
                     embedder: embedding.Embedder, model: str, as_of: datetime,
-                    buckets: int = BUCKETS) -> StreamingQuery:
+                    buckets: int = BUCKETS, files_per_batch: int = 1000) -> StreamingQuery:
     """Landed postings (JSON lines of the common fields) into postings and vectors."""
     store = refresh.Store(spark, store_path, buckets)
     schema = schemas.POSTING + ", ingest_seq BIGINT"
-    landed = spark.readStream.schema(schema).json(landing)
+    landed = spark.readStream.schema(schema).option(
+        "maxFilesPerTrigger", files_per_batch).json(landing)
 
     def batch(df: DataFrame, number: int) -> None:
         version = number + 1
         ready = store.staged("batch", prepare.prepare(df, ["ingest_seq"]))
         refresh.sync_postings(store, ready, as_of, version)
         refresh.embed_pending(store, embedder, model, as_of, version=version)
+        store.drop_staged()
 
     return (
         landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -38,6 +38,7 @@ def test_run_twice_and_then_change(spark, tmp_path):
     assert (first["embedded_postings"], first["written_chunks"]) == (2, 2)
     assert [e["source"] for e in first["source_errors"]] == ["usajobs"]
     store = refresh.Store(spark, home)
+    assert not list((tmp_path / "store" / "_staged").glob("*"))
     before = rows(store.table("job_posting_embeddings").read())
 
     again = refresh.run(spark, home, paths, QUERIES, EMBED, "m", as_of=T0 + timedelta(days=1))
