@@ -95,9 +95,13 @@ _ORDER = ["request_id", "posted", "synced", "id"]
 _ASCENDING = [True, False, False, True]
 
 
-def default_profiles(profiles: DataFrame) -> DataFrame:
-    """One profile per user: the default one, else the oldest."""
-    return first_per_key(profiles, ["user_id"], board.profile_order())
+def default_profiles(profiles: DataFrame, required: bool = False) -> DataFrame:
+    """One profile per user: the default one, else the oldest.
+
+    When ``required``, users without a default profile have none, as in browsing.
+    """
+    chosen = profiles.filter("is_default") if required else profiles
+    return first_per_key(chosen, ["user_id"], board.profile_order())
 
 
 def _newest(found: pd.DataFrame, n: int) -> pd.DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import domains
 from ..functions import text, vectors
 from . import block_top
+from .embedding import Embedder
 from .topn import first_per_key, ranked
 
 # vector: array of numbers, sources: array of strings or NULL for all.
@@ -58,6 +59,17 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     )
 
 
+def embedded(requests: DataFrame, embedder: Embedder, model: str) -> DataFrame:
+    """Requests with the vector of their ``search_text``, to be compared with the chunks
+    of the same model. Missing filter columns admit everything."""
+    vectored = embedder(requests, "search_text").withColumns({
+        "vector": F.col("embedding").cast("array<double>"), "model_name": F.lit(model)})
+    absent = {"sources": "array<string>", "remote_only": "boolean", "minimum_salary": "double",
+              "location": "string"}
+    return vectored.drop("embedding").withColumns({
+        c: F.lit(None).cast(kind) for c, kind in absent.items() if c not in requests.columns})
+
+
 def like_pattern(value: str) -> re.Pattern:
     """``%value%`` of a case-insensitive LIKE; % and _ inside keep their meaning."""
     out, escaped = [], False
@@ -165,7 +177,7 @@ def _admitted(asked: pd.DataFrame, chunks: DataFrame, postings: DataFrame):
         every = sorted({s for x in named for s in x})
         if len(every) <= 1000:
             postings = postings.filter(F.col("source").isin(every))
-    if asked["remote_only"].fillna(False).astype(bool).all():
+    if (asked["remote_only"] == True).all():  # noqa: E712
         postings = postings.filter(F.col("remote"))
     if asked["minimum_salary"].notna().all():
         least = float(asked["minimum_salary"].min())

@@ -52,7 +52,7 @@ def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         F.concat("source", F.lit(":"), n.cast("string")).alias("id"),
         "source", n.cast("string").alias("external_id"),
-        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.upper("source").alias("company"),
         F.when(F.col("lang") != "es", F.col("lang")).alias("location"),
         pick(F.col("lang"), {"en": True, "es": F.lit(None).cast("boolean")}, False)
@@ -319,7 +319,7 @@ def feed_a(spark: SparkSession, sf: str) -> DataFrame:
     d, n = spread(table(spark, sf, "documents"), "doc_id"), F.col("doc_id")
     result = F.struct(
         n.cast("string").alias("id"),
-        F.when(n % 50 != 49, F.get(F.split("text", "\n"), F.lit(0))).alias("title"),
+        F.when(n % 50 != 49, F.substring_index("text", "\n", 1)).alias("title"),
         F.col("text").alias("description"),
         F.struct(F.when(n % 3 == 0, F.lit("Remote, DE")).otherwise(F.col("lang"))
                  .alias("display_name")).alias("location"),
@@ -340,7 +340,7 @@ def feed_a(spark: SparkSession, sf: str) -> DataFrame:
 def feed_b(spark: SparkSession, sf: str) -> DataFrame:
     d, n = spread(table(spark, sf, "documents"), "doc_id"), F.col("doc_id")
     descriptor = F.struct(
-        F.get(F.split("text", "\n"), F.lit(0)).alias("PositionTitle"),
+        F.substring_index("text", "\n", 1).alias("PositionTitle"),
         F.when(n % 4 != 0, F.col("text")).alias("QualificationSummary"),
         F.when(n % 3 != 0, F.lit("")).otherwise(F.col("source")).alias("OrganizationName"),
         F.lit("Department").alias("DepartmentName"),

@@ -179,7 +179,8 @@ def browse_preferences(spark, sf):
 @query
 def relevant_postings_per_profile(spark, sf):
     found = browse.relevant_postings(
-        browse.default_profiles(bridge.profiles(spark, sf)), bridge.postings(spark, sf), 25)
+        browse.default_profiles(bridge.profiles(spark, sf), required=True),
+        bridge.postings(spark, sf), 25)
     return _as_text(found, "remote").select(
         "profile_id", "rank", "id", "location", "remote", "salary_max", "posted_at")
 
@@ -319,6 +320,19 @@ def semantic_search_topk(spark, sf):
         "source", "remote", "salary_max", "location", "description_preview")
 
 
+@query
+def text_search(spark, sf):
+    """The benchmark's texts as searches over the chunks of all postings."""
+    embed, model = embedding.hashing_embedder(256), "hashing-256"
+    p = bridge.postings(spark, sf)
+    stored = embedding.embed_postings(p, embed, model, bridge.as_of("2024-06-03"))
+    asked = bridge.table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("request_id"),
+        text.clean_space("text").alias("search_text"))
+    found = search.search(search.embedded(asked, embed, model), stored, p, top_k=5)
+    return found.select("request_id", "base_rank", "job_posting_id", "chunk_id", "similarity")
+
+
 @query
 def approximate_search(spark, sf):
     """What lists of near vectors find of the exact results."""

@@ -118,3 +118,4 @@ def test_default_profile(spark):
          ("p5", "u2", False, 9)], "id string, user_id string, is_default boolean, created_at int")
     assert rows(browse.default_profiles(df).select("user_id", "id")) == [
         ("u1", "p3"), ("u2", "p4")]
+    assert rows(browse.default_profiles(df, required=True).select("id")) == [("p3",)]

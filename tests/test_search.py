@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from jobspark.operators import search
+from jobspark.operators import embedding, search
 
 PLACES = ["Berlin", "New York, NY", "York_100%", None, "new york"]
 
@@ -212,3 +212,46 @@ def test_approximate_search_finds_most(spark):
     some = search.approximate_search(r, listed, p, model, probes=3, top_k=5)
     score = search.recall(some, exact).agg(F.avg("recall")).first()[0]
     assert 0.4 <= score <= 1.0
+
+
+def test_text_search_equals_brute_force(spark):
+    words = "spark table query join shuffle key bucket stream window skew".split()
+    rnd = random.Random(8)
+    texts = {f"s:{i:02d}": " ".join(rnd.choice(words) for _ in range(rnd.randrange(5, 400)))
+             for i in range(25)}
+    asked = {f"r{i}": " ".join(rnd.sample(words, 3)) for i in range(4)}
+    _, _, p = frames(spark, [(k, "s", True, None, None) for k in texts], [("x", "s:00", [1.0], "m",
+                                                                          "h")], [])
+    body = spark.createDataFrame(list(texts.items()), "id string, body string")
+    p = p.drop("description_text").join(body, "id").withColumnRenamed("body", "description_text")
+    embed = embedding.hashing_embedder(4096)
+    stored = embedding.embed_postings(p, embed, "m", F.lit(None).cast("timestamp"), size=300,
+                                      overlap=30)
+    requests = spark.createDataFrame(list(asked.items()), "request_id string, search_text string")
+    found = got(search.search(search.embedded(requests, embed, "m"), stored, p, top_k=5))
+
+    def counts(text):
+        return np.array([text.split().count(w) for w in words], float)
+
+    want = []
+    for rid, text in asked.items():
+        near = []
+        for pid, whole in texts.items():
+            at, index = 0, 0
+            while True:
+                piece = whole[at: at + 300]
+                a, b = counts(text), counts(piece)
+                cut = np.array([w for w in piece.split()])
+                other = [w for w in cut if w not in words]
+                size = np.sqrt(b @ b + sum(other.count(w) ** 2 for w in set(other)))
+                near.append((round(1 - float(a @ b) / (np.linalg.norm(a) * size), 5),
+                             f"{pid}#{index}", pid))
+                if at + 300 >= len(whole):
+                    break
+                at, index = at + 270, index + 1
+        best = {}
+        for d, cid, pid in sorted(near)[:50]:
+            best.setdefault(pid, d)
+        want += [(rid, n, round(1 - d, 5)) for n, d in enumerate(sorted(best.values())[:5], 1)]
+    assert [(r, n) for r, n, *_ in found] == [(r, n) for r, n, _ in sorted(want)]
+    assert [s for *_, s in found] == pytest.approx([s for *_, s in sorted(want)], abs=1e-4)
