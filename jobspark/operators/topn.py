@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Up to this n Spark itself keeps only n rows per key and task before it shuffles
 # (WindowGroupLimit); above it the first pass below does.
@@ -17,7 +17,7 @@ def ranked(df: DataFrame, keys: list, order: list[Column], n: int,
     rows never meets in one task: rows are cut to ``n`` per key before the shuffle,
     or, for large ``n``, per key and hash slice first.
     """
-    limit = int(SparkSession.getActiveSession().conf.get(GROUP_LIMIT_CONF, "1000"))
+    limit = int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000"))
     if n > limit:
         slice_ = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
         part = Window.partitionBy(*keys, slice_).orderBy(*order)

@@ -11,7 +11,7 @@ from .. import domains, schemas, session
 from ..functions import rules, text, vectors
 from ..operators import (
     board, browse, chunking, embedding, folds, insight, merge, people, prepare, quality,
-    runlog, search, topn,
+    runlog, search,
 )
 from ..sources import feeds
 from . import bridge

@@ -56,7 +56,8 @@ def write_buckets(df: DataFrame, keys: Iterable[str], buckets: int, path: str) -
 class StateTable:
     """A keyed state table below one shared path.
 
-    ``buckets`` should grow with the table: an update rewrites whole buckets.
+    ``buckets`` should grow with the table: an update rewrites whole buckets. One writer
+    at a time; any number of readers.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str],
@@ -99,7 +100,8 @@ class StateTable:
         index = {b: v for b, v in self._index(version).items() if b not in touched}
         for path in self._glob(f"{folder}/bucket=*"):
             index[int(path.getName().split("=")[1])] = version
-        table = pd.DataFrame(sorted(index.items()), columns=["bucket", "version"], dtype="int32")
+        table = pd.DataFrame(
+            sorted(index.items()), columns=["bucket", "version"], dtype="int32")
         self.spark.createDataFrame(table, "bucket INT, version INT").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index={version}")
         return version
 
