@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import re
 
@@ -9,9 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .. import domains
+from .. import domains, session
 from ..functions import text, vectors
 from . import block_top
 from .embedding import Embedder
@@ -22,7 +23,8 @@ from .topn import first_per_key, ranked
 REQUEST_FIELDS = ["request_id", "vector", "model_name", "sources", "remote_only",
                   "minimum_salary", "location", "probes"]
 _FILTERS = REQUEST_FIELDS[2:]
-_NEAR = "request_id STRING, chunk_id STRING, job_posting_id STRING, distance DOUBLE"
+_NEAR = ("request_id STRING, chunk_id STRING, job_posting_id STRING, content_hash STRING, "
+         "distance DOUBLE")
 _CELLS = 4_000_000  # numbers in one distance block
 
 
@@ -128,11 +130,13 @@ def _keep_nearest(near: pd.DataFrame, pool: int) -> pd.DataFrame:
 
 def _score(pool: int):
     def score(cand: pd.DataFrame, req: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["request_id", "chunk_id", "job_posting_id", "distance"])
+        empty = pd.DataFrame(columns=["request_id", "chunk_id", "job_posting_id",
+                                      "content_hash", "distance"])
         if not len(cand) or not len(req):
             return empty
         vectors = _unit(_stack(cand["embedding"]))
-        ids, owners = cand["id"].to_numpy(), cand["job_posting_id"].to_numpy()
+        ids, owners, hashes = (
+            cand[c].to_numpy() for c in ("id", "job_posting_id", "content_hash"))
         found = []
         # Requests that share their filters share one mask and one matrix product.
         keys = [tuple(tuple(v) if isinstance(v, (list, np.ndarray)) else v for v in row)
@@ -150,15 +154,16 @@ def _score(pool: int):
                 part = members[at: at + width]
                 wanted = _unit(_stack(req["vector"].iloc[part]))
                 distance = 1.0 - vectors[rows] @ wanted.T
+                distance[np.isnan(distance)] = np.inf  # a vector of zeros is near nothing
+                near = np.isfinite(distance)
                 if len(rows) > pool:
-                    last = np.partition(distance, pool - 1, axis=0)[pool - 1]
-                    i, j = np.nonzero(distance <= last)
-                else:
-                    i, j = np.nonzero(~np.isnan(distance))
+                    near &= distance <= np.partition(distance, pool - 1, axis=0)[pool - 1]
+                i, j = np.nonzero(near)
                 names = req["request_id"].to_numpy()[part]
                 found.append(_keep_nearest(pd.DataFrame({
                     "request_id": names[j], "chunk_id": ids[rows[i]],
-                    "job_posting_id": owners[rows[i]], "distance": distance[i, j],
+                    "job_posting_id": owners[rows[i]], "content_hash": hashes[rows[i]],
+                    "distance": distance[i, j],
                 }), pool))
         return pd.concat(found, ignore_index=True) if found else empty
 
@@ -185,12 +190,39 @@ def _admitted(asked: pd.DataFrame, chunks: DataFrame, postings: DataFrame):
     return chunks, postings
 
 
+def _or_null(df: DataFrame, column: str, kind: str) -> Column:
+    there = F.col(column) if column in df.columns else F.lit(None)
+    return there.cast(kind).alias(column)
+
+
+_FACTS = {"source": "string", "remote": "boolean", "salary_max": "double", "location": "string"}
+
+
+def _draw(asked: block_top.Asked, candidates: DataFrame, pool: int, candidate_rows: int):
+    """The ``pool`` nearest of the candidate chunks; facts they lack are NULL."""
+    rows = candidates.filter(F.col("embedding").isNotNull()).select(
+        F.col("id").cast("string").alias("id"), "job_posting_id", "embedding", "model_name",
+        _or_null(candidates, "content_hash", "string"), _or_null(candidates, "list_id", "int"),
+        *[_or_null(candidates, c, kind) for c, kind in _FACTS.items()])
+    near = block_top.best_per_request(
+        rows, asked, _score(pool), lambda best: _keep_nearest(best, pool), _NEAR, "id",
+        candidate_rows)
+    return ranked(near, ["request_id"], [F.col("distance"), F.col("chunk_id")], pool,
+                  "pool_rank")
+
+
+# Above this many postings their facts are no safe broadcast, and joining them to the
+# vectors first would move all vectors.
+LATE_ROWS = 100_000
+
+
 def nearest_chunks(asked: block_top.Asked, chunks: DataFrame, postings: DataFrame, pool: int,
-                   *, fresh_only: bool = False,
+                   *, fresh_only: bool = False, late: bool | None = None,
                    candidate_rows: int = block_top.CANDIDATE_ROWS) -> DataFrame:
     """The ``pool`` nearest chunks of each request among the postings it admits.
 
-    With ``fresh_only`` chunks of an older text of their posting are left out.
+    With ``fresh_only`` chunks of an older text of their posting are left out. ``late``
+    says whether filters are applied after a first draw; by default many postings decide.
     """
     if asked.local is not None:
         chunks, postings = _admitted(asked.local, chunks, postings)
@@ -199,16 +231,63 @@ def nearest_chunks(asked: block_top.Asked, chunks: DataFrame, postings: DataFram
         F.col("id").alias("job_posting_id"), "source", "remote",
         F.col("salary_max").cast("double").alias("salary_max"), "location",
         *(["content_hash"] if fresh_only else []))
-    listed = "list_id" if "list_id" in chunks.columns else F.lit(None).cast("int").alias("list_id")
-    filled = chunks.filter(F.col("embedding").isNotNull())
-    candidates = filled.join(facts, keys, "inner").select(
-        F.col("id").cast("string").alias("id"), "job_posting_id", "embedding",
-        "model_name", "source", "remote", "salary_max", "location", listed)
-    near = block_top.best_per_request(
-        candidates, asked, _score(pool), lambda best: _keep_nearest(best, pool), _NEAR, "id",
-        candidate_rows)
-    return ranked(near, ["request_id"], [F.col("distance"), F.col("chunk_id")], pool,
-                  "pool_rank")
+    if late is None:
+        late = facts.count() > LATE_ROWS
+    if late:
+        return _late(asked, chunks, facts, keys, pool, candidate_rows)
+    return _draw(asked, chunks.drop(*_FACTS).join(facts, keys), pool, candidate_rows)
+
+
+def _meets_filters() -> Column:
+    """The filters of a request, on rows that hold them and the posting's facts."""
+    named = F.filter(F.transform("sources", lambda s: F.lower(s)), lambda s: s != "")
+    place = text.strip("asked_location")
+    return (
+        (F.coalesce(F.size(named), F.lit(0)) <= 0) | F.array_contains(named, F.col("source"))
+    ) & (~F.coalesce("remote_only", F.lit(False)) | F.col("remote")) & (
+        F.col("minimum_salary").isNull() | (F.col("salary_max") >= F.col("minimum_salary"))
+    ) & ((F.coalesce("asked_location", F.lit("")) == "") | F.ilike(
+        "location", F.concat(F.lit("%"), place, F.lit("%"))))
+
+
+def _late(asked: block_top.Asked, chunks: DataFrame, facts: DataFrame, keys: list[str],
+          pool: int, candidate_rows: int, more: int = 4) -> DataFrame:
+    """Draws ``more`` times the pool without looking at postings, then filters.
+
+    Only the few drawn chunks meet their postings, so no vector is moved. The draw is
+    exact for requests that still have a full pool, or whose draw took all there is; the
+    others are drawn again with the filters applied first.
+    """
+    spark, size = chunks.sparkSession, pool * more
+    open_filters = asked.frame.withColumns({
+        "sources": F.lit(None).cast("array<string>"), "remote_only": F.lit(False),
+        "minimum_salary": F.lit(None).cast("double"), "location": F.lit(None).cast("string")})
+    drawn = _stored(spark, "drawn", _draw(
+        dataclasses.replace(asked, frame=open_filters), chunks.drop(*_FACTS), size,
+        candidate_rows).drop("pool_rank"))
+    filters = asked.frame.select(
+        "request_id", "sources", "remote_only", "minimum_salary",
+        F.col("location").alias("asked_location"))
+    fits = _stored(spark, "fits", drawn.join(facts, keys).join(filters, "request_id").filter(
+        _meets_filters()).select(*drawn.columns))
+    count = lambda df, name: df.groupBy("request_id").agg(F.count("*").alias(name))
+    short = count(drawn, "taken").join(count(fits, "left"), "request_id", "left").filter(
+        (F.col("taken") >= size) & (F.coalesce("left", F.lit(0)) < pool)).select("request_id")
+    done = ranked(fits.join(short, "request_id", "left_anti"), ["request_id"],
+                  [F.col("distance"), F.col("chunk_id")], pool, "pool_rank")
+    again = block_top.measure(asked.frame.join(short, "request_id", "left_semi"),
+                              asked.request_rows, asked.request_bytes)
+    if not again.rows:
+        return done
+    return done.unionByName(_draw(
+        again, chunks.drop(*_FACTS).join(facts, keys), pool, candidate_rows).select(
+        *done.columns))
+
+
+def _stored(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    path = session.working_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 # Results of at most this many rows meet the big tables as a broadcast. They hold ids and,
@@ -218,8 +297,8 @@ RESULT_ROWS = 20_000
 
 def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k: int = 5,
            most: int = 25, pool: int | None = None, fresh_only: bool = False,
-           preview_chars: int = 500, candidate_rows: int = block_top.CANDIDATE_ROWS,
-           **limits) -> DataFrame:
+           preview_chars: int = 500, late: bool | None = None,
+           candidate_rows: int = block_top.CANDIDATE_ROWS, **limits) -> DataFrame:
     """The ``top_k`` postings nearest to each request, one row each, ranked.
 
     The nearest chunks are drawn first, then the best chunk of each posting counts,
@@ -230,7 +309,7 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
         requests = requests.withColumn("probes", F.lit(None).cast("array<int>"))
     asked = block_top.measure(requests.select(*REQUEST_FIELDS), **limits)
     near = nearest_chunks(asked, chunks, postings, pool or pool_of(k),
-                          fresh_only=fresh_only, candidate_rows=candidate_rows)
+                          fresh_only=fresh_only, late=late, candidate_rows=candidate_rows)
     best = first_per_key(near, ["request_id", "job_posting_id"],
                          [F.col("distance"), F.col("chunk_id")])
     top = ranked(

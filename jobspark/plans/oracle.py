@@ -436,6 +436,8 @@ SELECT p.id AS profile_id, h.rank::INTEGER AS rank, h.id, h."location", h.remote
     AS chunk_text, t.similarity, p.source, p.remote::VARCHAR AS remote, p.salary_max,
   p."location", left(p.description_text, 500) AS description_preview
   FROM top t JOIN postings p ON p.id = t.job_posting_id"""
+    q["semantic_search_late"] = f"""WITH {_search(100, 10)} SELECT request_id,
+  base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
     q["semantic_search_fresh"] = f"""WITH {_search(200, 20, True)} SELECT request_id,
   base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
     q["feedback_rerank"] = f"""WITH {_search(100, 10)}, {FEEDBACK}, moved AS (

@@ -320,6 +320,15 @@ def semantic_search_topk(spark, sf):
         "source", "remote", "salary_max", "location", "description_preview")
 
 
+@query
+def semantic_search_late(spark, sf):
+    """The same search with the filters applied after a first draw."""
+    found = search.search(
+        bridge.requests(spark, sf), bridge.chunks(spark, sf), bridge.postings(spark, sf),
+        top_k=10, late=True)
+    return found.select("request_id", "base_rank", "job_posting_id", "chunk_id", "similarity")
+
+
 @query
 def text_search(spark, sf):
     """The benchmark's texts as searches over the chunks of all postings."""

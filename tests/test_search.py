@@ -98,11 +98,12 @@ def stable(found):
 
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("fresh", [False, True])
-def test_equals_brute_force(spark, seed, fresh):
+@pytest.mark.parametrize("late", [False, True])
+def test_equals_brute_force(spark, seed, fresh, late):
     data = make(seed)
     r, c, p = frames(spark, *data)
     want = brute(*data, pool=50, k=5, fresh=fresh)
-    found = got(search.search(r, c, p, top_k=5, fresh_only=fresh))
+    found = got(search.search(r, c, p, top_k=5, fresh_only=fresh, late=late))
     assert stable(found) == stable(want)
     assert not any(x[0] == "r6" for x in found)
 
@@ -131,6 +132,24 @@ def test_filters_common_to_all_requests(spark):
         postings, chunks, [("a", [1.0] * dim, "m", None, False, None, None)], 50, 5))
 
 
+@pytest.mark.parametrize("pool", [1, 3, 10])
+def test_late_filters_draw_again_where_too_few_are_left(spark, pool):
+    r, c, p = frames(spark, *make(4, n=200))
+    direct = got(search.search(r, c, p, top_k=5, pool=pool, late=False))
+    assert got(search.search(r, c, p, top_k=5, pool=pool, late=True)) == direct
+    assert got(search.search(r, c, p, top_k=5, pool=pool, late=True, request_rows=2,
+                             candidate_rows=30)) == direct
+
+
+def test_vectors_of_zeros_are_near_nothing(spark):
+    postings = [(f"s:{i:02d}", "s", True, None, None) for i in range(80)]
+    chunks = [(f"{x[0]}#0", x[0], [1.0, float(i)] if i < 20 else [0.0, 0.0], "m", "h")
+              for i, x in enumerate(postings)]
+    r, c, p = frames(spark, postings, chunks, [
+        ("r", [1.0, 0.0], "m", None, False, None, None)])
+    assert len(got(search.search(r, c, p, top_k=25))) == 20
+
+
 def test_one_posting_may_fill_the_pool(spark):
     postings = [("s:1", "s", True, None, None), ("s:2", "s", True, None, None)]
     chunks = [(f"s:1#{i:02d}", "s:1", [1.0, 0.001 * i], "m", "h") for i in range(60)]
