@@ -43,6 +43,7 @@ def plan(df):
 def test_plans_have_no_cross_join(spark, name):
     text = plan(contract.queries()[name](spark, SF))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
+    assert not re.search("BatchEvalPython|ArrowEvalPython", text)
 
 
 @pytest.mark.parametrize("name", [

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from jobspark.operators import embedding, search
+from jobspark.operators import block_top, embedding, search
 
 PLACES = ["Berlin", "New York, NY", "York_100%", None, "new york"]
 
@@ -141,6 +141,16 @@ def test_late_filters_draw_again_where_too_few_are_left(spark, pool):
                              candidate_rows=30)) == direct
 
 
+def test_first_draw_moves_no_vector(spark, tmp_path):
+    r, c, p = frames(spark, *make(4))
+    c.write.parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = block_top.measure(r.withColumn("probes", F.lit(None).cast("array<int>")))
+    plan = search._draw(asked, stored, 10, 1000)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("MapInPandas", 1)[1]
+    assert "Exchange" not in below and "Join" not in below
+
+
 def test_vectors_of_zeros_are_near_nothing(spark):
     postings = [(f"s:{i:02d}", "s", True, None, None) for i in range(80)]
     chunks = [(f"{x[0]}#0", x[0], [1.0, float(i)] if i < 20 else [0.0, 0.0], "m", "h")
