@@ -167,10 +167,14 @@ def iso_text(ts) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-# Elements whose text is not page text, and markup that carries none.
-_HIDDEN = r"(?is)<(script|style|template|rt|rp)\b[^>]*>.*?</\1\s*>"
-_COMMENT = r"(?s)<!--.*?-->"
-_TAG = r"(?s)</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<![^>]*+>|<\?[^>]*+>"
+# Elements whose text is not page text, and markup that carries none. What is never closed
+# runs to the end of the text, so that no start is tried in vain and time stays linear.
+_HIDDEN = r"(?is)<(script|style|template|rt|rp)\b[^>]*+(?:>|\z).*?(?:</\1\s*+>|\z)"
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_TAG = (
+    r"(?s)</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"
+    r"|<![^>]*+(?:>|\z)|<\?[^>]*+(?:>|\z)"
+)
 _REFERENCE_OR_TEXT = (
     r"&(?:#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 )

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from conftest import rows
@@ -66,6 +67,9 @@ HTML = [
     ("<!DOCTYPE html><html><body>t</body></html>", "t"),
     ("<ul><li>one</li><li>two</li></ul>", "one two"),
     ("<template><p>hid</p></template>seen", "seen"),
+    ("kept<!-- never closed <b>lost</b>", "kept"),
+    ("kept<script>var never = 'closed';", "kept"),
+    ("kept <a href='never closed", "kept"),
     ("", ""), (None, ""),
 ]
 
@@ -75,6 +79,18 @@ def test_html_text(spark, source, expected):
     assert one(spark, text.html_text("x"), source) == expected
 
 
+@pytest.mark.parametrize("unit", [
+    "<!--", "<a ", '<a "', "<script>", "<script ", "<!", "< ", "&", "&amp;", " ", "<b>", '<a b="x" ',
+    "<template>", "</", "please mention the word "])
+def test_hostile_texts_take_linear_time(spark, unit):
+    df = spark.createDataFrame([(unit * 60_000,)], "x string")
+    start = time.perf_counter()
+    df.select(text.cut_from(text.html_text("x"), "please mention the word")).collect()
+    df.select(text.cleaned_at_least("x", 40), text.strip("x"), text.words(
+        text.clean_space("x"))).collect()
+    assert time.perf_counter() - start < 10
+
+
 def test_unescape_agrees_with_standard_library(spark):
     values = ["&eacute;&Uuml;&euro;", "&amp;amp;", "&#8364; &hellip;", "plain", "&", "&;"]
     assert many(spark, text.unescape("x"), values) == [html.unescape(v) for v in values]
