@@ -81,6 +81,19 @@ def schema_differences(df: DataFrame, expected: StructType) -> DataFrame:
         rows, "column_name string, expected_type string, actual_type string")
 
 
+def conformance(df: DataFrame, expected: StructType) -> DataFrame:
+    """(column_name, expected_type, actual_type, missing_rows) of every expected column,
+    in one pass; an absent column misses in every row."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = expected.fieldNames()
+    one = df.agg(*[
+        (F.count_if(F.col(c).isNull()) if c in have else F.count("*")).alias(c) for c in names])
+    types = df.sparkSession.createDataFrame(pd.DataFrame(
+        [(f.name, f.dataType.simpleString(), have.get(f.name, "absent")) for f in expected],
+        columns=["column_name", "expected_type", "actual_type"]))
+    return types.join(one.unpivot([], names, "column_name", "missing_rows"), "column_name")
+
+
 def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, row_count) of every table."""
     rows = [df.agg(F.count("*").alias("row_count"))

@@ -626,6 +626,19 @@ SELECT l.profile_id, any_value(n) AS jobs_analyzed,
     q["missing_values"] = f"WITH {POSTINGS} " + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) - count(\"{c}\") AS missing_rows FROM postings"
         for c in cols)
+    absent = "(SELECT count(*) FROM apps)"
+    kinds = {"match_score": "double", "created_at": "timestamp", "is_stale": "boolean",
+             "stale_flagged_at": "timestamp", "stage_updated_at": "timestamp",
+             "applied_at": "timestamp"}
+    here = ["id", "user_id", "profile_id", "job_posting_id", "stage", "stage_updated_at",
+            "applied_at"]
+    gone = ["match_score", "match_reasoning", "notes", "created_at", "is_stale",
+            "stale_flagged_at"]
+    q["schema_conformance"] = f"WITH {APPS} " + " UNION ALL ".join(
+        [f"SELECT '{c}' AS column_name, '{kinds.get(c, 'string')}' AS expected_type, "
+         f"'{'timestamp_ntz' if c in kinds else 'string'}' AS actual_type, "
+         f"count(*) - count({c}) AS missing_rows FROM apps" for c in here]
+        + [f"SELECT '{c}', '{kinds.get(c, 'string')}', 'absent', {absent}" for c in gone])
     q["table_inventory"] = " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (
             "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

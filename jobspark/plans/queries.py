@@ -686,6 +686,12 @@ def missing_values(spark, sf):
         ["id", "title", "location", "remote", "salary_max", "apply_url", "posted_at"])
 
 
+@query
+def schema_conformance(spark, sf):
+    return quality.conformance(
+        bridge.applications(spark, sf), schemas.schema("applications"))
+
+
 @query
 def table_inventory(spark, sf):
     return quality.inventory({
