@@ -97,9 +97,10 @@ def applications(actions: DataFrame) -> DataFrame:
     """
     key = ["user_id", "job_posting_id"]
     staged = F.col("stage").isNotNull()
-    tracked_for = ~staged & (F.coalesce("profile_id", F.lit("")) != "")
+    tracked_for = ~staged & F.col("profile_id").isNotNull()
     first_ts = F.min("ts")
-    return actions.groupBy(*key).agg(
+    log = actions.withColumn("profile_id", text.none_if_empty("profile_id"))
+    return log.groupBy(*key).agg(
         F.coalesce(last("profile_id", tracked_for), F.min_by("profile_id", _at()))
         .alias("profile_id"),
         F.coalesce(last("stage", staged), F.lit(domains.STAGES[0])).alias("stage"),

@@ -134,7 +134,6 @@ def _score(pool: int):
                                       "content_hash", "distance"])
         if not len(cand) or not len(req):
             return empty
-        vectors = _unit(_stack(cand["embedding"]))
         ids, owners, hashes = (
             cand[c].to_numpy() for c in ("id", "job_posting_id", "content_hash"))
         found = []
@@ -145,15 +144,23 @@ def _score(pool: int):
         for pos, key in enumerate(keys):
             key = tuple(None if isinstance(v, float) and np.isnan(v) else v for v in key)
             groups.setdefault(key, []).append(pos)
+        by_model: dict = {}
         for key, members in groups.items():
-            rows = np.flatnonzero(_eligible(cand, *key))
-            if not len(rows):
+            model = key[0]
+            if model not in by_model:  # models may differ in dimension
+                at = np.flatnonzero((cand["model_name"] == model).to_numpy())
+                unit = _unit(_stack(cand["embedding"].iloc[at])) if len(at) else None
+                by_model[model] = at, unit
+            at, unit = by_model[model]
+            kept = np.flatnonzero(_eligible(cand, *key)[at])
+            if not len(kept):
                 continue
+            rows, near_to = at[kept], unit if len(kept) == len(at) else unit[kept]
             width = max(1, _CELLS // len(rows))
-            for at in range(0, len(members), width):
-                part = members[at: at + width]
+            for first in range(0, len(members), width):
+                part = members[first: first + width]
                 wanted = _unit(_stack(req["vector"].iloc[part]))
-                distance = 1.0 - vectors[rows] @ wanted.T
+                distance = 1.0 - near_to @ wanted.T
                 distance[np.isnan(distance)] = np.inf  # a vector of zeros is near nothing
                 near = np.isfinite(distance)
                 if len(rows) > pool:

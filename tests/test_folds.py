@@ -64,13 +64,13 @@ def test_applications(spark, seed):
     rnd, base = log(seed)
     actions = [dict(user_id=u, job_posting_id=j, ts=t, seq=s,
                     stage=rnd.choice([None, *domains.STAGES]),
-                    profile_id=rnd.choice([None, f"p{s}"])) for u, j, t, s in base]
+                    profile_id=rnd.choice([None, "", f"p{s}"])) for u, j, t, s in base]
     state = {}
     for a in replay(actions):
         key = (a["user_id"], a["job_posting_id"])
         row = state.get(key)
         if row is None:
-            row = state[key] = dict(stage=a["stage"] or "saved", profile=a["profile_id"],
+            row = state[key] = dict(stage=a["stage"] or "saved", profile=a["profile_id"] or None,
                                     updated=a["ts"], applied=None, created=a["ts"])
         elif a["stage"] is None:
             row["profile"] = a["profile_id"] or row["profile"]

@@ -151,6 +151,20 @@ def test_first_draw_moves_no_vector(spark, tmp_path):
     assert "Exchange" not in below and "Join" not in below
 
 
+def test_models_of_different_dimension(spark):
+    postings = [("s:1", "s", True, None, None), ("s:2", "s", True, None, None)]
+    chunks = [("s:1#0", "s:1", [1.0, 0.0], "m", "h"), ("s:2#0", "s:2", [0.0, 1.0, 0.0], "n", "h")]
+    r, c, p = frames(spark, postings, chunks, [
+        ("a", [1.0, 0.0], "m", None, False, None, None),
+        ("b", [0.0, 1.0, 0.0], "n", None, False, None, None)])
+    assert got(search.search(r, c.coalesce(1), p)) == [
+        ("a", 1, "s:1", "s:1#0", 1.0), ("b", 1, "s:2", "s:2#0", 1.0)]
+    r, c, p = frames(spark, postings, chunks, [
+        ("a", [1.0, 0.0, 0.0], "m", None, False, None, None)])
+    with pytest.raises(Exception, match="matmul|dimension"):
+        search.search(r, c, p).collect()
+
+
 def test_vectors_of_zeros_are_near_nothing(spark):
     postings = [(f"s:{i:02d}", "s", True, None, None) for i in range(80)]
     chunks = [(f"{x[0]}#0", x[0], [1.0, float(i)] if i < 20 else [0.0, 0.0], "m", "h")
