@@ -9,8 +9,11 @@ patterns. Patterns are joined back by rank: the pieces of a length are numbered
 
 from __future__ import annotations
 
+import os
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,14 @@ from . import common
 
 SIZE = 2048
 END = 1
-CACHE = 400_000  # words whose ids a task keeps
+CACHE = 700_000  # words whose ids a task keeps from one group of texts to the next
+TOGETHER = 1 << 20  # characters of texts that are looked up as one group
 
 Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, with a cache by word.
+    """Ids of whole texts as uint32 bytes (little-endian machines), with a cache by word.
 
     The vocabulary's pre-tokeniser starts a new unit at each single space, so a text may be
     cut before such spaces without changing its ids. Texts with runs of spaces or with the
@@ -37,33 +41,60 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["  ", *map(re.escape, self.special)]))
         self.known: dict[str, bytes] = {}
-
-    def _fill(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
+        self.parts: dict[str, bytes] = {}
+
+    def _units(self, word: str) -> list[str]:
+        """Parts of a word whose ids can be joined: at single line ends, and before a tail of
+        punctuation that follows a letter or number."""
+        lines = word.split("\n")
+        if any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
+            return [word]
+        units = []
+        for i, line in enumerate(lines):
+            core = line.rstrip(string.punctuation)
+            units += ["\n"] if i else []
+            units += [core, line[len(core):]] if core and core[-1].isalnum() else [line]
+        return units
+
+    def _fill(self, words: set[str]) -> None:
+        if len(self.known) > CACHE:
             self.known.clear()
-        for word, one in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(one.ids, "<u4").tobytes()
+            self.parts.clear()
+        words -= self.known.keys()
+        units = {w: self._units(w) for w in words}
+        fresh = list({u for some in units.values() for u in some} - self.parts.keys())
+        for unit, one in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.parts[unit] = array("I", one.ids).tobytes()
+        for word, some in units.items():
+            self.known[word] = b"".join(map(self.parts.__getitem__, some))
+
+    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        split = [None if "\0" in t or self.whole.search(t) else t.replace(" ", "\0 ").split("\0")
+                 for t in texts]
+        self._fill(set().union(*(words for words in split if words)))
+        for text, words in zip(texts, split):
+            if words is None:
+                one = self.tokenizer.encode(text, add_special_tokens=False)
+                yield array("I", one.ids).tobytes()
+            else:
+                yield b"".join(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        some, size = [], 0
         for text in texts:
-            if self.whole.search(text):
-                one = self.tokenizer.encode(text, add_special_tokens=False)
-                yield np.array(one.ids, "<u4").tobytes()
-                continue
-            words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self._fill(list({w for w in words if w not in self.known}))
-                if any(w not in self.known for w in words):  # the cache was cleared
-                    self._fill(list(set(words)))
-                yield b"".join(map(self.known.__getitem__, words))
+            some.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from self._some(some)
+                some, size = [], 0
+        yield from self._some(some)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -73,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     names = ["start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([END], "<u4").tobytes()
+        encoder, end = Encoder(tokenizer), array("I", [END]).tobytes()
         for batch in batches:
             rows, out = [], []
             texts = pc.fill_null(batch.column(1), "").to_pylist()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, packing, simhash_dedup
+from . import common, language_cnn, packing, secret_scan, simhash_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,30 @@ def op4_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def remainder(id_col: str, divisor: int):
+    """crc32 of the id as text, modulo ``divisor``: the folds of the classifiers."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
+
+
+@query
+def op5_language_cnn(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_cnn.train(docs.filter(remainder("doc_id", 4) != 2))
+    return language_cnn.identify(docs, model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan.scan(common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("found")
+
+
+@query
+def op8_warc(spark, sf_dir):
+    pages = common.table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archive(pages, common.shared_dir(spark, "warc"))
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
