@@ -10,8 +10,6 @@ patterns. Patterns are joined back by rank: the pieces of a length are numbered
 from __future__ import annotations
 
 import os
-import re
-import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,9 +33,9 @@ Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 class Encoder:
     """Ids of whole texts as uint32 bytes (little-endian machines), with a cache by word.
 
-    The vocabulary's pre-tokeniser starts a new unit at each single space, so a text may be
-    cut before such spaces without changing its ids. Texts with runs of spaces or with the
-    text of a special token are encoded whole.
+    The vocabulary's pre-tokeniser starts a new unit at a single space, unless white space
+    follows it, so a text may be cut before its spaces without changing its ids. Other texts,
+    and those with the text of a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -45,46 +43,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["  ", *map(re.escape, self.special)]))
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _units(self, word: str) -> list[str]:
-        """Parts of a word whose ids can be joined: at single line ends, and before a tail of
-        punctuation that follows a letter or number."""
-        lines = word.split("\n")
-        if any(not x or x[-1].isspace() or (i and x[0].isspace()) for i, x in enumerate(lines)):
-            return [word]
-        units = []
-        for i, line in enumerate(lines):
-            core = line.rstrip(string.punctuation)
-            units += ["\n"] if i else []
-            units += [core, line[len(core):]] if core and core[-1].isalnum() else [line]
-        return units
+        self.whole = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # byte-level: a character for each byte
+        self.known: dict[str, bytes | None] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _fill(self, words: set[str]) -> None:
+        """Encodes new words as one text and cuts its ids by the bytes they stand for."""
         if len(self.known) > CACHE:
             self.known.clear()
-            self.parts.clear()
-        words -= self.known.keys()
-        units = {w: self._units(w) for w in words}
-        fresh = list({u for some in units.values() for u in some} - self.parts.keys())
-        for unit, one in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.parts[unit] = array("I", one.ids).tobytes()
-        for word, some in units.items():
-            self.known[word] = b"".join(map(self.parts.__getitem__, some))
+        inner = []
+        for word in words:
+            if word not in self.known:
+                if word[:1] != " ":
+                    self.known[word] = self._ids(word)
+                elif word == " " or word[1].isspace():
+                    self.known[word] = None  # its text is encoded whole
+                else:
+                    inner.append(word)
+        if not inner:
+            return
+        ids = self._ids("".join(inner))
+        end = np.cumsum(self.n_bytes[np.frombuffer(ids, np.uint32)])
+        stop = np.cumsum(np.fromiter(map(len, map(str.encode, inner)), np.int64, len(inner)))
+        cut = np.searchsorted(end, stop)
+        if (end[cut] != stop).any():
+            raise ValueError("the vocabulary has units across a space")
+        cut = [0, *((cut + 1) * 4).tolist()]
+        self.known.update((w, ids[i:j]) for w, i, j in zip(inner, cut, cut[1:]))
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if "\0" in t or self.whole.search(t) else t.replace(" ", "\0 ").split("\0")
+        split = [None if any(x in t for x in self.whole) else t.replace(" ", "\0 ").split("\0")
                  for t in texts]
         self._fill(set().union(*(words for words in split if words)))
         for text, words in zip(texts, split):
-            if words is None:
-                one = self.tokenizer.encode(text, add_special_tokens=False)
-                yield array("I", one.ids).tobytes()
-            else:
+            try:
                 yield b"".join(map(self.known.__getitem__, words))
+            except TypeError:
+                yield self._ids(text)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         some, size = [], 0
