@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, language_cnn, packing, secret_scan, simhash_dedup, warc
+from . import common, decontamination, embedding_dedup, language_cnn, packing, secret_scan, simhash_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,15 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontamination.matches(common.table(spark, sf_dir, "documents", "doc_id", "text"),
+                                   common.table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLE["op1_decontamination"] = decontamination.ORACLE_SQL
+
+
 @query
 def op4_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -53,6 +62,12 @@ def op8_warc(spark, sf_dir):
     return warc.archive(pages, common.shared_dir(spark, "warc"))
 
 
+@query
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(
+        common.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
