@@ -234,10 +234,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 # The same by brute force: all windows that begin and end with a shingle of the item.
 ORACLE_SQL = """
 WITH doc_words AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
   FROM documents
 ), item_words AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
   FROM benchmark
 ), doc_shingles AS (
   SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, w FROM doc_words
