@@ -148,18 +148,19 @@ def simhash(content: str) -> Column:
 
 def _blocks(near: bool) -> Column:
     """Keys of a fingerprint's blocks; of all values near to them too."""
-    keys = []
-    for b, (start, bits) in enumerate(BLOCKS):
-        value = F.shiftrightunsigned(F.col("fp"), start).bitwiseAND(F.lit((1 << bits) - 1))
-        key = value.bitwiseOR(F.lit(b << 13)).cast("int")
-        if not near:
-            keys.append(F.array(key))
-            continue
+
+    def neighbours(key: Column, bits: int) -> Column:
         masks = [sum(1 << i for i in some) for r in range(RADIUS // len(BLOCKS) + 1)
                  for some in combinations(range(bits), r)]
         # The masks travel as text: thousands of literals would make a long plan.
         constant = F.transform(F.split(F.lit(" ".join(map(str, masks))), " "), lambda m: m.cast("int"))
-        keys.append(F.transform(constant, lambda m, key=key: key.bitwiseXOR(m)))
+        return F.transform(constant, lambda m: key.bitwiseXOR(m))
+
+    keys = []
+    for b, (start, bits) in enumerate(BLOCKS):
+        value = F.shiftrightunsigned(F.col("fp"), start).bitwiseAND(F.lit((1 << bits) - 1))
+        key = value.bitwiseOR(F.lit(b << 13)).cast("int")
+        keys.append(neighbours(key, bits) if near else F.array(key))
     return F.concat(*keys)
 
 
@@ -186,7 +187,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     parts = common.checkpoint(items(benchmark, item_col, item_text_col))
     found = common.checkpoint(zones(docs, parts, id_col, text_col))
-    contents = common.checkpoint(found.select("content").distinct().select(
+    # Few rows that each make many windows: dealt out before, in a number AQE leaves alone.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contents = common.checkpoint(found.select("content").distinct().repartition(tasks).select(
         F.monotonically_increasing_id().alias("zone"), "content"))
 
     need = F.ceil(F.lit(SHARED) * F.col("n") - 1e-9).cast("int")
@@ -200,7 +203,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     probes = prints.select("zone", "n", "s", "fp", F.explode(_blocks(False)).alias("key"))
     index = parts.select("item", "part", "n", simhash("content").alias("fp")).select(
         "item", "part", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(True)).alias("key"))
-    near = probes.join(index, (probes["key"] == index["key"]) & (probes["n"] == index["n"]) & (
+    # Both sides are estimated far too small, as they are exploded: never broadcast.
+    near = probes.hint("merge").join(index, (probes["key"] == index["key"]) & (probes["n"] == index["n"]) & (
         F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)).select(
         "zone", probes["n"], "s", "item", "part").distinct()
 
@@ -258,8 +262,8 @@ WITH doc_words AS (
   GROUP BY ALL
 ), scored AS (
   SELECT doc_id, item_id, first, n, sum(least(k, c)) AS m, max(last) - first + 1 AS size
-  FROM windows GROUP BY ALL
+  FROM windows GROUP BY doc_id, item_id, first, n
 )
 SELECT doc_id, item_id, round(max(m / (n + size - m)), 6) AS similarity
-FROM scored GROUP BY ALL HAVING max(m / (n + size - m)) >= 0.8 - 1e-9
+FROM scored GROUP BY doc_id, item_id HAVING max(m / (n + size - m)) >= 0.8 - 1e-9
 """
