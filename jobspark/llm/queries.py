@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontamination, embedding_dedup, language_cnn, packing, secret_scan, simhash_dedup, warc
+from . import common, decontamination, embedding_dedup, language_cnn, packing, quality_mil, secret_scan, simhash_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(id_col: str, divisor: int) -> Column:
+    """crc32 of the id as text, modulo ``divisor``: the folds of the classifiers."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
+
+
 @query
 def op1_decontamination(spark, sf_dir):
     return decontamination.matches(common.table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -34,13 +39,17 @@ ORACLE["op1_decontamination"] = decontamination.ORACLE_SQL
 
 
 @query
-def op4_simhash_dedup(spark, sf_dir):
-    return simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+def op3_quality_mil(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality_mil.train(docs, labels.filter(remainder("doc_id", 5) != 0))
+    return quality_mil.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-def remainder(id_col: str, divisor: int):
-    """crc32 of the id as text, modulo ``divisor``: the folds of the classifiers."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
+@query
+def op4_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 @query
