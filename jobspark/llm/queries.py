@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import common, decontamination, embedding_dedup, language_cnn, packing, quality_mil, secret_scan, simhash_dedup, warc
+from . import (
+    common, decontamination, embedding_dedup, html_wrappers, language_cnn, packing, quality_mil,
+    secret_scan, simhash_dedup, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +41,11 @@ def op1_decontamination(spark, sf_dir):
 ORACLE["op1_decontamination"] = decontamination.ORACLE_SQL
 
 
+@query
+def op2_html_wrappers(spark, sf_dir):
+    return html_wrappers.extract(common.table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op3_quality_mil(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
