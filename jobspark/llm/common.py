@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +30,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node that has a link; a component is named by its
     smallest node.

@@ -78,7 +78,6 @@ def parse(page: str) -> Node:
     root: Node = ["", []]
     stack: list[tuple[str, Node]] = [("", root)]
     muted = 0  # depth in the stack from which everything is aside
-    links = 0
     at = 0
     pieces: list[str] = []
 
