@@ -76,6 +76,11 @@ def variants(fp: str = "fp") -> Column:
     return F.array(*keys)
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Within the radius. The count of bits of a signed number would be that of its size."""
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS
+
+
 def _forest(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that connect whatever is connected within the radius inside the group."""
     left = fps
@@ -83,7 +88,7 @@ def _forest(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             one = frontier.pop()
-            near = np.bitwise_count(left ^ one) <= RADIUS
+            near = _near(left, one)
             if near.any():
                 found, left = left[near], left[~near]
                 yield np.full(len(found), one), found
@@ -101,7 +106,7 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(ka[k:] == ka[:-k])
         if not len(at):
             break
-        at = at[np.bitwise_count(a[at] ^ a[at + k]) <= RADIUS]
+        at = at[_near(a[at], a[at + k])]
         found.append((a[at], a[at + k]))
     for i in np.flatnonzero(size > SMALL):
         found += _forest(fps[edge[i]:edge[i + 1]])
