@@ -33,8 +33,9 @@ RADIUS = 19
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 PART = 500  # shingles of an item at most; longer items are cut into equal parts
 BITMAP = 1 << 16  # longs of 64 bits
-# Two bags with this similarity share this part of the larger one at least.
-SHARED = 2 * LEAST / (1 + LEAST)
+# A window has at most as many shingles as the item, n. If the two are similar enough, it has
+# LEAST * n of the item's at least, and at most this part of n that are not the item's.
+FOREIGN = (1 - LEAST) / (1 + LEAST)
 
 
 def words(text: str | Column) -> Column:
@@ -98,8 +99,8 @@ def zones(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> Data
     if sizes[0] is None:
         return docs.select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.array(
             F.lit(0).cast("bigint")).alias("content")).limit(0)
-    least = math.ceil(SHARED * sizes[0] - 1e-9)
-    gap = math.floor((1 - SHARED) * sizes[1] + 1e-9) + 1
+    least = math.ceil(LEAST * sizes[0] - 1e-9)
+    gap = math.floor(FOREIGN * sizes[1] + 1e-9) + 1
 
     def held(h: Column) -> Column:
         return F.call_function("shiftrightunsigned", F.get(F.col("bits"), _place(h)), _bit(h)).bitwiseAND(F.lit(1)) == 1
@@ -192,7 +193,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     contents = common.checkpoint(found.select("content").distinct().repartition(tasks).select(
         F.monotonically_increasing_id().alias("zone"), "content"))
 
-    need = F.ceil(F.lit(SHARED) * F.col("n") - 1e-9).cast("int")
+    need = F.ceil(F.lit(LEAST) * F.col("n") - 1e-9).cast("int")
     sized = contents.select("zone", "content", F.explode(
         parts.agg(F.array_sort(F.collect_set("n"))).scalar()).alias("n")).filter(
         F.size("content") >= need)

@@ -71,7 +71,7 @@ def test_fingerprints_and_groups_equal_brute_force(spark):
     fps = [simple_fingerprint(t) for t in texts]
     assert [got[i]["fingerprint"] for i in range(len(texts))] == [f"{x:016x}" for x in fps]
     assert [got[i]["component_id"] for i in range(len(texts))] == simple_groups(fps)
-    assert got[len(texts) - 5]["fingerprint"] == "0" * 16 or True
+    assert [fps[i] for i in range(-7, -4)] == [0, 0, 0]
 
 
 @pytest.mark.parametrize("n", [5, 400])
