@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 LEAST = 0.93
-TILE = 1024
+TILE = 2048
 STEPS = (4, 12, 28)  # leading dimensions after which products are bounded
 SLACK = 1e-9
 DIMENSIONS = 8  # vector lengths that get axes of their own; others keep theirs
@@ -118,14 +118,14 @@ def spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = low
 
 
-def _compare(group: pd.DataFrame, least: float) -> pd.DataFrame:
+def _compare(group: pd.DataFrame, basis: dict[int, np.ndarray], least: float) -> pd.DataFrame:
     """Links of one pair of tiles: links counted per vector, and edges that connect them."""
     group = group.sort_values(["tile", "node"], ignore_index=True)
     same = group["a"].iloc[0] == group["b"].iloc[0]
     first = (group["tile"] == group["a"]).to_numpy()
     pick = [np.flatnonzero(first), np.flatnonzero(first if same else ~first)]
-    turned = np.stack(group["turned"].to_numpy())
     given = unit(np.stack(group["vec"].to_numpy()))
+    turned = given @ basis.get(given.shape[1], np.eye(given.shape[1]))
     links = near(turned[pick[0]], turned[pick[1]], given[pick[0]], given[pick[1]], least)
     if same:
         np.fill_diagonal(links, False)
@@ -144,21 +144,16 @@ def _compare(group: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def tiles(distinct: DataFrame, basis: dict[int, np.ndarray], size: int = TILE) -> DataFrame:
-    """``(label, d, node, n, vec, turned, x, tile)``: tiles of at most ``size`` vectors of one
-    label and dimension, in the order of the first axis."""
-    fields = "label, d, node, n, vec"
+    """``(label, d, node, n, vec, x, tile)``: tiles of at most ``size`` vectors of one label
+    and dimension, in the order of their place ``x`` on the first axis."""
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned: list = [None] * batch.num_rows
+            x = np.zeros(batch.num_rows)
             for d, (at, rows) in _stacked(batch.column(4)).items():
-                rows = unit(rows) @ basis.get(d, np.eye(d))
-                for i, row in zip(at.tolist(), rows):
-                    turned[i] = row
+                x[at] = unit(rows) @ basis.get(d, np.eye(d))[:, 0]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([r[0] for r in turned], pa.float64()),
-                 pa.array([r.tolist() for r in turned], pa.list_(pa.float64()))],
-                [*batch.schema.names, "x", "turned"])
+                [*batch.columns, pa.array(x)], [*batch.schema.names, "x"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order; a tile ends when it is full or the label or dimension is."""
@@ -177,9 +172,9 @@ def tiles(distinct: DataFrame, basis: dict[int, np.ndarray], size: int = TILE) -
                 [*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "tile"])
 
     label = distinct.schema["label"].dataType.simpleString()
-    kinds = f"label {label}, d int, node bigint, n bigint, vec array<double>, x double, turned array<double>"
+    kinds = f"label {label}, d int, node bigint, n bigint, vec array<double>, x double"
     return (
-        distinct.select(*fields.split(", ")).mapInArrow(turn, kinds)
+        distinct.select("label", "d", "node", "n", "vec").mapInArrow(turn, kinds)
         .repartitionByRange("label", "d", "x").sortWithinPartitions("label", "d", "x", "node")
         .mapInArrow(number, f"{kinds}, tile bigint")
     )
@@ -200,7 +195,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     distinct = common.checkpoint(rows.groupBy("label", "vec").agg(
         F.count("*").alias("n"), F.min("vec_id").alias("least")).select(
         F.monotonically_increasing_id().alias("node"), "label", F.size("vec").alias("d"), "vec", "n", "least"))
-    tiled = common.checkpoint(tiles(distinct, axes(distinct)))
+    basis = axes(distinct)
+    tiled = common.checkpoint(tiles(distinct, basis))
     spans = tiled.groupBy("label", "d", "tile").agg(
         F.min("x").alias("low"), F.max("x").alias("high"))
     reach = math.sqrt(2 - 2 * least) + SLACK  # how far linked vectors lie apart on an axis
@@ -211,9 +207,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.col("a.tile").alias("a"), F.col("b.tile").alias("b")))
     used = pairs.select(F.col("a").alias("tile"), "a", "b").union(
         pairs.filter("a <> b").select(F.col("b").alias("tile"), "a", "b"))
-    met = tiled.select("tile", "node", "n", "vec", "turned").join(used, "tile")
+    met = tiled.select("tile", "node", "n", "vec").join(used, "tile")
     found = common.checkpoint(met.groupBy("a", "b").applyInPandas(
-        lambda group: _compare(group, least), "node bigint, links bigint, other bigint"))
+        lambda group: _compare(group, basis, least), "node bigint, links bigint, other bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = common.components(found.select("node", "other"), "node", "other")
     named = distinct.select("node", "label", "vec", "n", "least").join(links, "node", "left").join(
