@@ -125,7 +125,9 @@ def flag(text) -> Column:
 
 
 def to_number(text) -> Column:
-    return _c(text).try_cast("double")
+    """Text of a number, else NULL; a cast alone also takes Java's suffixes (``1d``, ``1f``)."""
+    return F.when(~F.regexp_like(_c(text), F.lit(r"(?i)[0-9.][df]\s*$")),
+                  _c(text).try_cast("double"))
 
 
 def clean_list(items, most: int = 20) -> Column:
@@ -135,8 +137,8 @@ def clean_list(items, most: int = 20) -> Column:
 
 
 _ISO = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    r"^(?:\d{8}|\d{4}-\d{2}-\d{2}"
+    r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?)?)$"
 )
 _ISO_ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 
@@ -144,9 +146,12 @@ _ISO_ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 def parse_iso(text) -> Column:
     """ISO-8601 text to an instant; text without an offset is UTC; else NULL.
 
+    Days may lack their hyphens and times their minutes.
     The zone is made explicit, so the session time zone does not matter.
     """
     t = F.regexp_replace(_c(text), ",", ".")
+    t = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    t = F.regexp_replace(t, r"^(.{10}[T ]\d{2})(Z|[+-]|$)", "$1:00$2")
     t = F.regexp_replace(t, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
     t = F.regexp_replace(t, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
     zoned = (
@@ -169,28 +174,35 @@ def iso_text(ts) -> Column:
 
 # Elements whose text is not page text, and markup that carries none. What is never closed
 # runs to the end of the text, so that no start is tried in vain and time stays linear.
-_HIDDEN = r"(?is)<(script|style|template|rt|rp)\b[^>]*+(?:>|\z).*?(?:</\1\s*+>|\z)"
-_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+# One pattern for both, as either may hold the start of the other: the leftmost counts.
+_HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    r"|<(script|style|template|rt|rp)\b[^>]*+(?:>|\z).*?(?:</\1\s*+>|\z)"
+)
 _TAG = (
     r"(?s)</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"
     r"|<![^>]*+(?:>|\z)|<\?[^>]*+(?:>|\z)"
 )
+# Names that the standard also reads without a semicolon, longer ones first.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 _REFERENCE_OR_TEXT = (
-    r"&(?:#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+    r"&(?:#[xX][0-9A-Fa-f]{1,6};?|#[0-9]{1,7};?|[A-Za-z][A-Za-z0-9]*;|(?:" + _OPEN_NAMES + r"))|[^&]+|&"
 )
+# Numbers that stand for characters of an older code page.
+_OLD_NUMBERS = {n: bytes([n]).decode("cp1252") for n in range(128, 160)
+                if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 # The standard's named references as one JSON literal, which Spark parses while planning.
 # Lookups go through the names in turn, so the short, common ones come first.
 _NAMED_REFERENCES = json.dumps({
     "&" + name: char for name, char in sorted(
-        html5.items(), key=lambda x: (len(x[0]), x[0])) if name.endswith(";")})
+        html5.items(), key=lambda x: (len(x[0]), x[0]))})
 
 
 def strip_markup(html) -> Column:
     """Text nodes of an HTML text, parted by blanks; references still encoded."""
-    t = F.regexp_replace(F.coalesce(_c(html), F.lit("")), _COMMENT, " ")
-    t = F.regexp_replace(t, _HIDDEN, " ")
+    t = F.regexp_replace(F.coalesce(_c(html), F.lit("")), _HIDDEN, " ")
     return F.regexp_replace(t, _TAG, " ")
 
 
@@ -202,7 +214,14 @@ def unescape(text) -> Column:
     def char_of(code: Column) -> Column:
         known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         hexed = F.lpad(F.hex(F.when(known, code)), 8, "0")
-        return F.decode(F.unhex(hexed), "UTF-32")
+        old = F.try_element_at(
+            F.create_map(*[F.lit(x) for pair in _OLD_NUMBERS.items() for x in pair]), code.cast("int"))
+        return F.coalesce(old, F.decode(F.unhex(hexed), "UTF-32"))
+
+    def opened(piece: Column) -> Column:
+        """A name that holds a shorter one known without semicolon."""
+        start = F.regexp_extract(piece, f"^&(?:{_OPEN_NAMES})", 0)
+        return F.concat(F.try_element_at(names, start), F.substr(piece, F.length(start) + 1))
 
     def decoded(piece: Column) -> Column:
         digits = F.substring(piece, 4, 6)
@@ -212,7 +231,7 @@ def unescape(text) -> Column:
                   char_of(F.conv(F.regexp_replace(digits, ";", ""), 16, 10).cast("long")))
             .when(F.startswith(piece, F.lit("&#")),
                   char_of(F.regexp_replace(piece, "[&#;]", "").try_cast("long")))
-            .otherwise(F.try_element_at(names, piece)),
+            .otherwise(F.coalesce(F.try_element_at(names, piece), opened(piece))),
             piece,
         )
 

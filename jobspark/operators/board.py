@@ -84,7 +84,7 @@ def stale_report(apps: DataFrame, users: DataFrame, postings: DataFrame, as_of:
                  days: int = domains.STALE_DAYS) -> DataFrame:
     """Stale applications with the days since their last update."""
     owner = users.select(F.col("id").alias("user_id"), "email")
-    n = domains.clamp(days, 1, 365)
+    n = max(1, int(days))
     return (
         apps.filter(folds.stale(as_of, n)).join(owner, "user_id")
         .join(posting_facts(postings, ["title", "company"]), "job_posting_id")

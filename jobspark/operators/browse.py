@@ -84,7 +84,7 @@ def shown(postings: DataFrame, preview_chars: int = 300) -> DataFrame:
 
 def browse(postings: DataFrame, condition: Column, limit: int = 25) -> DataFrame:
     """The newest postings that meet a condition."""
-    n = domains.clamp(limit, 1, 200)
+    n = max(1, int(limit))
     return shown(postings.filter(condition).orderBy(*newest_first()).limit(n))
 
 
@@ -180,7 +180,7 @@ def relevant_postings(profiles: DataFrame, postings: DataFrame, limit: int = 25,
 
     Profiles with equal preferences are looked up once.
     """
-    n = domains.clamp(limit, 1, 200)
+    n = max(1, int(limit))
     lowered = lambda c: F.transform(
         F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
     preferences = profiles.select(

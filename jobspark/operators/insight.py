@@ -123,10 +123,11 @@ def listing_risk(postings: DataFrame, tokens: dict[str, str] | None = None,
 
 
 def match_context(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
-                  resume_chars: int = 8000) -> DataFrame:
+                  resume_chars: int = 8000, posting_chars: int | None = None) -> DataFrame:
     """Profile and posting facts for each wanted (user_id, job_posting_id).
 
-    ``profiles`` holds one profile per user.
+    ``profiles`` holds one profile per user. Texts are cut before they are joined, so that
+    what a caller does not need is not copied for every pair.
     """
     p = profiles.select(
         "user_id", F.col("id").alias("profile_id"), "label", "target_roles",
@@ -134,12 +135,18 @@ def match_context(pairs: DataFrame, profiles: DataFrame, postings: DataFrame,
         text.preview("resume_text", resume_chars).alias("resume_text"))
     j = postings.select(
         F.col("id").alias("job_posting_id"), "title", "company", "location", "remote",
-        "salary_min", "salary_max", "description_text", "apply_url")
+        "salary_min", "salary_max", "description_text" if posting_chars is None
+        else text.preview("description_text", posting_chars).alias("description_text"),
+        F.length("description_text").alias("description_chars"), "apply_url")
     return pairs.select("user_id", "job_posting_id").distinct().join(p, "user_id").join(
         j, "job_posting_id")
 
 
-def prompts(context: DataFrame, format: str = "cover_letter", most: int = 6000) -> DataFrame:
+PROMPT_CHARS = 6000  # of each text in a prompt
+
+
+def prompts(context: DataFrame, format: str = "cover_letter",
+            most: int = PROMPT_CHARS) -> DataFrame:
     """The text that a writing model would be given for each pair."""
     if format not in ("cover_letter", "resume_bullet"):
         raise ValueError("format must be cover_letter or resume_bullet.")

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import domains, session
 from ..functions import text, vectors
@@ -28,13 +28,14 @@ _NEAR = ("request_id STRING, chunk_id STRING, job_posting_id STRING, content_has
 _CELLS = 4_000_000  # numbers in one distance block
 
 
-def top_k_of(requested: int, most: int = 25) -> int:
-    return domains.clamp(requested, 1, most)
+def top_k_of(requested: int, most: int | None = None) -> int:
+    """At least one, and at most ``most`` where a caller names such a bound."""
+    return max(1, int(requested if most is None else min(requested, most)))
 
 
 def pool_of(top_k: int) -> int:
     """Chunks drawn before duplicates of a posting fall away."""
-    return min(max(top_k * 10, 50), 250)
+    return max(top_k * 10, 50)
 
 
 def with_defaults(requests: DataFrame) -> DataFrame:
@@ -297,13 +298,8 @@ def _stored(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-# Results of at most this many rows meet the big tables as a broadcast. They hold ids and,
-# for the second join, a chunk of text: no more than a few kilobytes each.
-RESULT_ROWS = 20_000
-
-
 def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k: int = 5,
-           most: int = 25, pool: int | None = None, fresh_only: bool = False,
+           most: int | None = None, pool: int | None = None, fresh_only: bool = False,
            preview_chars: int = 500, late: bool | None = None,
            candidate_rows: int = block_top.CANDIDATE_ROWS, **limits) -> DataFrame:
     """The ``top_k`` postings nearest to each request, one row each, ranked.
@@ -324,17 +320,15 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
         ["request_id"], [F.desc("similarity"), F.col("job_posting_id")], k, "base_rank"
     ).select("request_id", "job_posting_id", "chunk_id", "base_rank",
              F.round("similarity", 6).alias("similarity"))
-    # There are at most k results per counted request, so their size is known here.
-    small = F.broadcast if asked.rows * k <= RESULT_ROWS else (lambda df: df)
     if "chunk_text" in chunks.columns:
         texts = chunks.select(F.col("id").cast("string").alias("chunk_id"), "chunk_text")
-        top = small(top).join(texts, "chunk_id")
+        top = top.join(texts, "chunk_id")
     shown = postings.select(
         F.col("id").alias("job_posting_id"), "source", "title", "company", "location",
         "remote", "salary_min", "salary_max", "salary_currency", "employment_type",
         "category", text.preview("description_text", preview_chars).alias(
             "description_preview"), "apply_url", "posted_at")
-    return small(top).join(shown, "job_posting_id")
+    return top.join(shown, "job_posting_id")
 
 
 def rerank(results: DataFrame, feedback: DataFrame, user_col: str = "user_id", *,
@@ -355,10 +349,8 @@ def rerank(results: DataFrame, feedback: DataFrame, user_col: str = "user_id", *
         .withColumn("similarity", F.round(F.greatest(
             F.lit(low), F.least(F.lit(high), base + F.col("feedback_adjustment"))), 6))
     )
-    # At most top_k rows per request, so this window is small for every key.
-    k = 1000
-    return ranked(moved, ["request_id"],
-                  [F.desc("similarity"), F.col("base_rank")], k, "rank")
+    order = Window.partitionBy("request_id").orderBy(F.desc("similarity"), F.col("base_rank"))
+    return moved.withColumn("rank", F.row_number().over(order))
 
 
 # ---- approximate search -------------------------------------------------------------

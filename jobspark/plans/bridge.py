@@ -180,7 +180,11 @@ STAGE_OF = {
     "1-URGENT": "interviewing", "2-HIGH": "applied", "3-MEDIUM": "saved",
     "4-NOT SPECIFIED": "rejected", "5-LOW": "offer",
 }
-DOCUMENTS_AT_ANY_SCALE = 200
+
+
+def documents(spark: SparkSession, sf: str) -> int:
+    """Number of postings, which orders are spread over."""
+    return max(1, table(spark, sf, "documents", "doc_id").count())
 
 
 def applications(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +194,7 @@ def applications(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("a"), key).alias("id"),
         F.col("o_custkey").cast("string").alias("user_id"),
         F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("profile_id"),
-        posting_id(F.col("o_orderkey") % DOCUMENTS_AT_ANY_SCALE).alias("job_posting_id"),
+        posting_id(F.col("o_orderkey") % documents(spark, sf)).alias("job_posting_id"),
         pick(F.col("o_orderpriority"), STAGE_OF).alias("stage"),
         F.col("o_orderdate").alias("stage_updated_at"),
         F.when(F.col("o_orderpriority") == "2-HIGH", F.col("o_orderdate")).alias("applied_at"),
@@ -271,7 +275,7 @@ def posting_skills(spark: SparkSession, sf: str) -> DataFrame:
     i = table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
     p = table(spark, sf, "part", "p_partkey", "p_brand")
     return i.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        posting_id(F.col("l_orderkey") % DOCUMENTS_AT_ANY_SCALE).alias("job_posting_id"),
+        posting_id(F.col("l_orderkey") % documents(spark, sf)).alias("job_posting_id"),
         F.col("p_brand").alias("skill_id")).distinct()
 
 

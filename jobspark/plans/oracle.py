@@ -87,7 +87,7 @@ USERS = """users AS (SELECT c_custkey::VARCHAR AS id, lower(c_name) || '@example
   c_name AS display_name, TIMESTAMP '2023-01-01' AS created_at FROM customer)"""
 
 APPS = f"""apps AS (SELECT 'a' || o_orderkey AS id, o_custkey::VARCHAR AS user_id,
-  'p' || o_custkey AS profile_id, {_pid('o_orderkey % 200')} AS job_posting_id,
+  'p' || o_custkey AS profile_id, {_pid('o_orderkey % (SELECT count(*) FROM documents)')} AS job_posting_id,
   {_case('o_orderpriority', {k: repr(v) for k, v in bridge.STAGE_OF.items()})} AS stage,
   o_orderdate AS stage_updated_at,
   CASE WHEN o_orderpriority = '2-HIGH' THEN o_orderdate END AS applied_at FROM orders)"""
@@ -128,7 +128,7 @@ bookmarks AS (SELECT sha256(user_id || '|' || job_posting_id) AS id, user_id, jo
     ORDER BY coalesce(note, '') <> '' DESC, ts DESC, seq DESC) AS rn FROM kept)
   GROUP BY user_id, job_posting_id)"""
 
-SKILLS = f"""pskill AS (SELECT DISTINCT {_pid('l_orderkey % 200')} AS job_posting_id,
+SKILLS = f"""pskill AS (SELECT DISTINCT {_pid('l_orderkey % (SELECT count(*) FROM documents)')} AS job_posting_id,
   p_brand AS skill_id FROM lineitem JOIN part ON l_partkey = p_partkey),
 oskill AS (SELECT DISTINCT 'p' || o_custkey AS profile_id, p_brand AS skill_id
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
@@ -473,7 +473,7 @@ SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY similarit
   JOIN postings p ON p.id = a.job_posting_id)"""
     q["job_match_context"] = context + """ SELECT user_id, job_posting_id, profile_id, label,
   array_to_string(target_roles, ',') AS target_roles, remote_preference, profile_salary_min,
-  left(resume_text, 10) AS resume_text, title, company, "location", remote::VARCHAR AS remote,
+  left(resume_text, 8000) AS resume_text, title, company, "location", remote::VARCHAR AS remote,
   salary_min, salary_max,
   length(description_text)::INTEGER AS n_chars, apply_url FROM ctx"""
     q["grounded_prompts"] = context + """, made AS (SELECT user_id, job_posting_id,

@@ -400,19 +400,21 @@ def _pairs(spark, sf) -> DataFrame:
 @query
 def job_match_context(spark, sf):
     found = insight.match_context(
-        _pairs(spark, sf), bridge.profiles(spark, sf), bridge.postings(spark, sf), 10)
+        _pairs(spark, sf), bridge.profiles(spark, sf), bridge.postings(spark, sf),
+        posting_chars=0)
     return _as_text(found, "remote").select(
         "user_id", "job_posting_id", "profile_id", "label",
         F.array_join("target_roles", ",").alias("target_roles"), "remote_preference",
         "profile_salary_min", "resume_text", "title", "company", "location", "remote",
-        "salary_min", "salary_max", F.length("description_text").alias("n_chars"),
+        "salary_min", "salary_max", F.col("description_chars").alias("n_chars"),
         "apply_url")
 
 
 @query
 def grounded_prompts(spark, sf):
     context = insight.match_context(
-        _pairs(spark, sf), bridge.profiles(spark, sf), bridge.postings(spark, sf))
+        _pairs(spark, sf), bridge.profiles(spark, sf), bridge.postings(spark, sf),
+        insight.PROMPT_CHARS, insight.PROMPT_CHARS)
     made = insight.prompts(context, "resume_bullet")
     return made.select(
         "user_id", "job_posting_id", "format", F.length("prompt").alias("n_chars"),

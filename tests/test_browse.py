@@ -109,7 +109,8 @@ def test_newest_first_with_missing_dates_last(spark):
     data, df = postings(spark)
     got = [r["id"] for r in browse.browse(df, F.lit(True), 1000).collect()]
     order = sorted(data, key=lambda x: (x[6] is None, -(x[6] or 0), -x[7], x[0]))
-    assert got == [x[0] for x in order[:200]]
+    assert got == [x[0] for x in order]
+    assert [r["id"] for r in browse.browse(df, F.lit(True), 200).collect()] == got[:200]
 
 
 def test_default_profile(spark):

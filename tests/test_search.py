@@ -195,12 +195,14 @@ def test_equal_vectors_are_cut_by_id(spark):
 
 def test_result_columns_and_limits(spark):
     r, c, p = frames(spark, *make(1))
-    df = search.search(r, c, p, top_k=1000)
+    every = search.search(r, c, p, top_k=1000)
+    assert every.groupBy("request_id").count().agg(F.max("count")).first()[0] > 25
+    df = search.search(r, c, p, top_k=1000, most=25)
     assert df.groupBy("request_id").count().agg(F.max("count")).first()[0] <= 25
     first = df.first()
     assert len(first["description_preview"]) == 500 and first["chunk_text"] == first["chunk_id"]
-    assert (search.pool_of(1), search.pool_of(20), search.pool_of(25)) == (50, 200, 250)
-    assert (search.top_k_of(0), search.top_k_of(99), search.top_k_of(99, 20)) == (1, 25, 20)
+    assert (search.pool_of(1), search.pool_of(20), search.pool_of(25), search.pool_of(60)) == (50, 200, 250, 600)
+    assert (search.top_k_of(0), search.top_k_of(99), search.top_k_of(99, 20)) == (1, 99, 20)
 
 
 def test_like_keeps_wildcards():
@@ -211,6 +213,15 @@ def test_like_keeps_wildcards():
     assert not search.like_pattern("100\\%").fullmatch("is 100 it")
 
 
+def test_rerank_keeps_every_result(spark):
+    found = spark.range(1500).select(
+        F.lit("r").alias("request_id"), F.lit("u").alias("user_id"), F.col("id").cast("string").alias("job_posting_id"),
+        F.lit(0.5).alias("similarity"), F.col("id").alias("base_rank"))
+    none = spark.createDataFrame([], "user_id string, job_posting_id string, feedback string")
+    got = search.rerank(found, none)
+    assert got.count() == 1500 and got.agg(F.max("rank")).first()[0] == 1500
+
+
 def test_rerank(spark):
     found = spark.createDataFrame(
         [("r", "u", "a", 1, 0.98), ("r", "u", "b", 2, 0.97), ("r", "u", "c", 3, 0.96),

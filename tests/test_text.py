@@ -91,8 +91,22 @@ def test_hostile_texts_take_linear_time(spark, unit):
     assert time.perf_counter() - start < 10
 
 
+def test_comments_and_scripts_may_hold_each_other(spark):
+    values = ["<p>a</p><script>if(a<!--b){}</script><p>tail</p>", "a<!-- <script> -->b<style>x</style>c"]
+    assert many(spark, text.html_text("x"), values) == ["a tail", "a b c"]
+
+
+def test_numbers_and_days_of_other_forms(spark):
+    assert many(spark, text.to_number("x"), ["1d", "1f", "2.D ", "1e3", "-.5"]) == [None, None, None, 1000.0, -0.5]
+    days = ["20240101", "2024-01-01T10", "2024-01-01T10+02:00", "2024010", "20241301"]
+    assert many(spark, text.iso_text(text.parse_iso("x")), days) == [
+        "2024-01-01T00:00:00.000000", "2024-01-01T10:00:00.000000", "2024-01-01T08:00:00.000000", None, None]
+
+
 def test_unescape_agrees_with_standard_library(spark):
-    values = ["&eacute;&Uuml;&euro;", "&amp;amp;", "&#8364; &hellip;", "plain", "&", "&;"]
+    values = ["&eacute;&Uuml;&euro;", "&amp;amp;", "&#8364; &hellip;", "plain", "&", "&;",
+              "&copy 2024", "&copyright", "&notit;", "&#150;&#128;&#x93;", "&#65 &#x42.", "&nosuch;",
+              "&notin; &not", "a&ampb"]
     assert many(spark, text.unescape("x"), values) == [html.unescape(v) for v in values]
 
 
