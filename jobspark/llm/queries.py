@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    common, decontamination, embedding_dedup, html_wrappers, language_cnn, packing, quality_mil,
-    secret_scan, simhash_dedup, warc,
+    common, decontamination, embedding_dedup, html_wrappers, language_cnn, packing, pseudonyms,
+    quality_mil, secret_scan, simhash_dedup, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,15 @@ def op5_language_cnn(spark, sf_dir):
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+# Pseudonyms can be linked only by who holds the key; a run of one's own takes a secret one.
+KEY = "example key of the registered query"
+
+
+@query
+def op6_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymise(common.table(spark, sf_dir, "documents", "doc_id", "text"), KEY)
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.scan(common.table(spark, sf_dir, "documents", "doc_id", "text")).drop("found")
