@@ -9,11 +9,13 @@ whatever the data; equal texts are one fingerprint before that.
 
 Inside a group that meets, only a spanning forest of the links is kept: a fingerprint that
 is reached is never compared again, so dense groups cost about their size, not its square.
+Large groups are parted once more: the bits in which they vary are dealt into ``RADIUS + 1``
+blocks. Two fingerprints that link agree in a block, so only those that do are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,7 @@ SEED = 42
 RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 SMALL = 16
+LARGE = 1 << 14  # fingerprints of a group that are compared without parting it
 
 
 def simhash(text: bytes | None) -> int:
@@ -95,11 +98,20 @@ def _forest(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 frontier.extend(found)
 
 
-def _links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    """Verified links among rows sorted by key."""
+def _parted(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for a large group, over those that agree in one of ``RADIUS + 1`` blocks."""
+    varying = int(np.bitwise_or.reduce((fps ^ fps[0]).view(np.uint64)))
+    bits = [b for b in range(64) if varying >> b & 1]
+    for k in range(RADIUS + 1):
+        block = fps.view(np.uint64) & np.uint64(sum(1 << b for b in bits[k::RADIUS + 1]))
+        order = np.argsort(block, kind="stable")
+        yield from _compared(block[order], fps[order], _forest)
+
+
+def _compared(keys: np.ndarray, fps: np.ndarray, large: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified links among rows sorted by key; ``large`` takes the groups of over ``LARGE``."""
     edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     size = np.diff(edge)
-    found = []
     small = np.repeat(size <= SMALL, size)
     a, ka = fps[small], keys[small]
     for k in range(1, min(SMALL, size.max(initial=0))):
@@ -107,9 +119,14 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         if not len(at):
             break
         at = at[_near(a[at], a[at + k])]
-        found.append((a[at], a[at + k]))
+        yield a[at], a[at + k]
     for i in np.flatnonzero(size > SMALL):
-        found += _forest(fps[edge[i]:edge[i + 1]])
+        yield from (large if size[i] > LARGE else _forest)(fps[edge[i]:edge[i + 1]])
+
+
+def _links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    """Verified links among rows sorted by key."""
+    found = list(_compared(keys, fps, _parted))
     pairs = np.array([np.concatenate([x[i] for x in found]) if found else [] for i in (0, 1)],
                      np.int64).T
     pairs = np.unique(np.sort(pairs, axis=1), axis=0)
