@@ -38,7 +38,12 @@ NEAR = 32  # code points between the sensitive word and the string
 AROUND = 400  # code points of context on either side
 LEAST_NOVEL = 12
 NOVELTY = 0.85  # marginal bytes for each byte of the string
+# Digits of base 16 hold half a byte each, and long ones are compressed towards that.
+NOVELTY_HEX = 0.6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
+HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
+# Lower case of A-Z alone keeps every place.
+LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 VARIED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 
 # Identifiers and values that code usually has around secrets.
@@ -85,10 +90,9 @@ class Scanner:
         return (whole - without) / (end - start)
 
     def novel(self, text: str, low: str, known: list[Span]) -> list[Span]:
-        same = len(low) == len(text)  # else lower case has shifted the places
         found: dict[int, Span] = {}
         for word in SENSITIVE:
-            at = low.find(word) if same else -1
+            at = low.find(word)
             while at >= 0:
                 stop = at + len(word)
                 for near in CANDIDATE.finditer(text, stop, stop + NEAR + LEAST_NOVEL):
@@ -98,7 +102,8 @@ class Scanner:
                     if (start not in found and end - start >= LEAST_NOVEL
                             and VARIED.match(string)
                             and not any(a < end and start < b for _, a, b in known)
-                            and self.marginal(text, start, end) >= NOVELTY):
+                            and self.marginal(text, start, end) >= (
+                                NOVELTY_HEX if HEX_DIGITS.fullmatch(string) else NOVELTY)):
                         found[start] = (NOVEL, start, end)
                 at = low.find(word, stop)
         return list(found.values())
@@ -106,6 +111,8 @@ class Scanner:
     def scan(self, text: str) -> tuple[list[Span], list[Span]]:
         """Pattern spans and novel spans, each by start and kind; places in code points."""
         low = text.lower()
+        if len(low) != len(text):  # some letters have a longer lower case
+            low = text.translate(LOWER)
         base = self.base(text, low)
         order = (*KINDS, NOVEL)
         key = lambda s: (s[1], order.index(s[0]))

@@ -7,6 +7,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -95,6 +96,33 @@ def test_links_of_dense_and_chained_fingerprints(spark, n):
             assert (a == b) == (want[i] == want[j])
 
 
+def test_large_groups_parted_by_blocks_lose_no_link(monkeypatch):
+    """Mostly far apart, pairs, a chain and a ball, all in one group that meets."""
+    rng = random.Random(8)
+
+    def changed(x, n):
+        return x ^ sum(1 << b for b in rng.sample(range(64), n))
+
+    fps = {rng.getrandbits(64) for _ in range(900)}
+    fps |= {changed(x, rng.randint(1, 5)) for x in rng.sample(sorted(fps), 60)}
+    ball = rng.getrandbits(64)
+    fps |= {changed(ball, rng.randint(1, 6)) for _ in range(200)}
+    for _ in range(15):
+        ball = changed(ball, 4)
+        fps.add(ball)
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash_dedup, "LARGE", 512)
+    keys = np.zeros(len(fps), np.int64)
+    batch = simhash_dedup._links(keys, np.array(fps, np.uint64).view(np.int64))
+    place = {x: i for i, x in enumerate(fps)}
+    label = list(range(len(fps)))
+    for a, b in zip(*(c.to_numpy().view(np.uint64).tolist() for c in batch.columns)):
+        assert (a ^ b).bit_count() <= 4
+        i, j = sorted((label[place[a]], label[place[b]]))
+        label = [i if x == j else x for x in label]
+    assert label == simple_groups(fps)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash_dedup.near_duplicates(empty).collect() == []
@@ -226,6 +254,20 @@ def test_novel_strings_in_sensitive_contexts():
     assert secret_scan.masked("ab token=123456 cd", [("assign", 3, 15), ("hex", 9, 15)]) == "ab [secret] cd"
 
 
+def test_novel_strings_beside_letters_with_a_longer_lower_case():
+    key = "qX7pL2vN9sRt4WzK8mBc1YdF"
+    text = f"İİİ Authorization: BEARER {key}"
+    assert secret_scan.Scanner().scan(text)[1] == [("novel", text.index(key), len(text))]
+
+
+def test_long_digits_of_base_16_are_novel():
+    rng = random.Random(3)
+    for _ in range(20):
+        key = "".join(rng.choice("0123456789ABCDEF") for _ in range(64))
+        assert secret_scan.Scanner().scan(f"Authorization: Bearer {key}")[1] == [("novel", 22, 86)]
+    assert secret_scan.Scanner().scan("token of " + "0123456789ABCDEF" * 4)[1] == []
+
+
 def test_long_repeated_context_is_linear():
     assert secret_scan.Scanner().scan("token " * 50_000)[0] == []
 
