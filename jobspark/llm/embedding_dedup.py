@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from . import common
 
@@ -31,9 +32,14 @@ DIMENSIONS = 8  # vector lengths that get axes of their own; others keep theirs
 
 
 def checked(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``(vec_id, label, vec, usable)``: label and vector not NULL, finite, not all zero."""
+    """``(vec_id, label, vec, usable)``: label and vector not NULL, finite, not all zero.
+
+    Floats stay floats, half as much to move, until they are compared in double precision.
+    """
+    given = vectors.schema[vector_col].dataType.elementType
+    kind = "float" if isinstance(given, FloatType) else "double"
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.transform(
-        vector_col, lambda x: x.cast("double")).alias("vec"))
+        vector_col, lambda x: x.cast(kind)).alias("vec"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))
     fine = F.col("label").isNotNull() & ~odd & F.exists("vec", lambda x: x != 0)
     return rows.withColumn("usable", F.coalesce(fine, F.lit(False)))
@@ -41,6 +47,7 @@ def checked(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled by the largest entry first, so that nothing overflows."""
+    rows = np.asarray(rows, np.float64)
     rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
@@ -172,7 +179,8 @@ def tiles(distinct: DataFrame, basis: dict[int, np.ndarray], size: int = TILE) -
                 [*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "tile"])
 
     label = distinct.schema["label"].dataType.simpleString()
-    kinds = f"label {label}, d int, node bigint, n bigint, vec array<double>, x double"
+    vec = distinct.schema["vec"].dataType.simpleString()
+    kinds = f"label {label}, d int, node bigint, n bigint, vec {vec}, x double"
     return (
         distinct.select("label", "d", "node", "n", "vec").mapInArrow(turn, kinds)
         .repartitionByRange("label", "d", "x").sortWithinPartitions("label", "d", "x", "node")
@@ -212,12 +220,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         lambda group: _compare(group, basis, least), "node bigint, links bigint, other bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = common.components(found.select("node", "other"), "node", "other")
-    named = distinct.select("node", "label", "vec", "n", "least").join(links, "node", "left").join(
+    # Vectors move once to learn their rows' nodes; all else is joined without them.
+    named = distinct.select("node", "n", "least").join(links, "node", "left").join(
         linked, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_vector = named.join(smallest, "root").select(
-        "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    good = rows.join(by_vector, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    by_node = named.join(smallest, "root").select(
+        "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    members = rows.join(distinct.select("node", "label", "vec"), ["label", "vec"]).select("vec_id", "node")
+    good = members.join(by_node, "node").select("vec_id", "n_links", "component_id")
     alone = every.filter("not usable").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(alone).select(

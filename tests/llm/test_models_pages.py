@@ -229,6 +229,16 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_floats_are_compared_in_double_precision(spark):
+    rng = np.random.default_rng(4)
+    center = rng.normal(size=(4, 24))
+    given = (center[rng.integers(0, 4, 120)] + rng.choice([0.1, 0.27], 120)[:, None] * rng.normal(size=(120, 24))).astype(np.float32)
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(given)] + [(500, [float(x) for x in given[0]], 0), (501, [-0.0] * 24, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(simple_links(rows))
+
+
 def test_bounds_lose_no_link():
     rng = np.random.default_rng(5)
     for d in (3, 16, 64):
