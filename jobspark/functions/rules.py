@@ -68,3 +68,9 @@ def valid(checked: DataFrame) -> DataFrame:
 
 def rejected(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("errors") > 0)
+
+
+def append(checked: DataFrame, accepted: str, refused: str) -> None:
+    """Appends valid rows to one Parquet table, rejected ones with their reasons to another."""
+    valid(checked).write.mode("append").parquet(accepted)
+    rejected(checked).write.mode("append").parquet(refused)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import domains
 from . import folds
+from .topn import ranked
 
 POSTING_FACTS = ["title", "company", "location", "remote", "apply_url"]
 
@@ -94,6 +95,11 @@ def stale_report(apps: DataFrame, users: DataFrame, postings: DataFrame, as_of:
     )
 
 
+def oldest_stale(report: DataFrame, n: int) -> DataFrame:
+    """Each user's ``n`` stale applications that wait longest, with their rank."""
+    return ranked(report, ["email"], [F.col("stage_updated_at"), F.col("id")], n)
+
+
 def stage_funnel(apps: DataFrame) -> DataFrame:
     return apps.groupBy("stage").agg(F.count("*").alias("applications")).withColumn(
         "stage_rank", stage_rank())

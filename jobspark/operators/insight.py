@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import domains
 from ..functions import text
@@ -56,6 +56,12 @@ def skill_gap_order() -> list[Column]:
     return [F.col("present_in_resume"), F.desc("jobs_mentioning"), F.col("skill")]
 
 
+def skill_gap_ranked(gap: DataFrame) -> DataFrame:
+    """Every skill of a profile's gap with its rank: missing ones first, frequent ones first."""
+    return gap.withColumn("rank", F.row_number().over(
+        Window.partitionBy("profile_id").orderBy(*skill_gap_order())))
+
+
 def missing_skills(required: DataFrame, owned: DataFrame) -> DataFrame:
     """(profile_id, skill_id) that postings of a profile ask for and it lacks."""
     return required.select("profile_id", "skill_id").distinct().join(

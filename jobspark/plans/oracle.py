@@ -519,6 +519,9 @@ SELECT user_id, coalesce(saved_stage, 0) AS saved_stage, coalesce(applied_stage,
   (DATE '1998-01-01' - a.stage_updated_at::DATE)::INTEGER AS days_without_update
   FROM apps a JOIN users u ON u.id = a.user_id JOIN postings p ON p.id = a.job_posting_id
   WHERE a.stage = 'applied' AND a.stage_updated_at < TIMESTAMP '1998-01-01' - INTERVAL 14 DAY"""
+    q["stale_oldest_first"] = f"""SELECT id, email, stage_updated_at, row_number() OVER (
+  PARTITION BY email ORDER BY stage_updated_at, id) AS rank FROM ({q["stale_applications"]})
+  QUALIFY rank <= 5"""
     q["stale_flag_refresh"] = f"""WITH {APPS}, f AS (SELECT *, stage = 'applied'
   AND stage_updated_at < TIMESTAMP '1998-01-01' - INTERVAL 14 DAY AS is_stale FROM apps)
 SELECT id, stage, stage_updated_at, is_stale, CASE WHEN is_stale THEN
@@ -574,6 +577,8 @@ SELECT id, category, sha256(CASE WHEN category IN ('de', 'en') AND length(new) >
     q["skill_gap_scan"] = _skill_gap("contains({}, skill)")
     q["skill_gap_words"] = _skill_gap(
         r"list_contains(regexp_split_to_array({}, '[^\pL\pN\pM_]+'), skill)")
+    q["skill_gap_ranked"] = f"""SELECT *, row_number() OVER (PARTITION BY profile_id
+  ORDER BY present_in_resume, jobs_mentioning DESC, skill) AS rank FROM ({q["skill_gap_scan"]})"""
     gap = _skill_gap("contains({}, skill)")
     q["skill_gap_summary"] = f"""WITH g AS ({gap}), {APPS}, looked AS (SELECT profile_id,
   count(DISTINCT job_posting_id) AS n FROM apps GROUP BY profile_id)
@@ -678,6 +683,32 @@ SELECT l.profile_id, any_value(n) AS jobs_analyzed,
         "CASE WHEN l_linenumber IN (5, 7) THEN 'follow_up_date must use YYYY-MM-DD.' END")
     q["note_validation"] = f"""SELECT {nerrors} AS errors, count(*) AS notes FROM lineitem
   GROUP BY 1"""
+    kerrors = _errors(
+        "CASE WHEN l_returnflag = 'N' THEN 'note is required.' END",
+        "CASE WHEN l_linenumber = 3 THEN 'interview_type must be one of: "
+        "phone_screen, technical, onsite, behavioral, other' END",
+        "CASE WHEN l_linenumber = 5 THEN 'follow_up_date must use YYYY-MM-DD.' END")
+    q["note_sink"] = f"""SELECT l_orderkey AS application_id, l_linenumber AS seq,
+  CASE WHEN l_returnflag = 'N' THEN '  ' ELSE 'a note' END AS note,
+  CASE l_linenumber WHEN 1 THEN 'phone_screen' WHEN 3 THEN 'lunch' END AS interview_type,
+  CASE WHEN l_linenumber = 5 THEN 'tomorrow' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS follow_up_date,
+  {kerrors} AS errors FROM lineitem"""
+    rerrors = _errors(
+        "CASE WHEN n % 11 = 0 THEN 'filename is required.' END",
+        "CASE WHEN n % 11 <> 0 AND 5 * (n % 60 + 1) > 255 "
+        "THEN 'filename must be 255 characters or fewer.' END",
+        "CASE WHEN n % 13 = 0 OR coalesce(body, '') = '' THEN 'resume_text is required.' END",
+        "CASE WHEN n % 13 <> 0 AND length(body) > 250000 "
+        "THEN 'resume_text must be 250,000 characters or fewer.' END")
+    q["resume_validation"] = f"""SELECT n AS resume_id, {rerrors} AS errors FROM (
+  SELECT doc_id AS n, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body
+  FROM documents)"""
+    berrors = _errors(
+        "CASE WHEN event_id % 9 = 0 THEN 'job_posting_id is required.' END",
+        "CASE WHEN event_id % 9 <> 0 AND 7 * (event_id % 80 + 1) > 500 "
+        "THEN 'job_posting_id must be 500 characters or fewer.' END",
+        "CASE WHEN 5 * (event_id % 1100) - 1 > 5000 THEN 'note must be 5,000 characters or fewer.' END")
+    q["bookmark_validation"] = f"SELECT event_id AS bookmark_id, {berrors} AS errors FROM events"
     ferrors = _errors(
         "CASE WHEN value > 30 THEN 'job_posting_id is required.' END",
         "CASE WHEN event_type IN ('click', 'signup') THEN "
@@ -715,6 +746,8 @@ SELECT l.profile_id, any_value(n) AS jobs_analyzed,
     AS day FROM orders"""
     q["vector_distances"] = f"""WITH {REQUESTS} SELECT vec_id, round(1 - {_DOT}, 6) AS distance
   FROM embeddings e JOIN requests r USING (label)"""
+    q["vector_text"] = """SELECT vec_id, '[' || array_to_string(list_transform(embedding,
+  lambda x: printf('%.9g', x::DOUBLE)), ',') || ']' AS vector FROM embeddings"""
     q["refresh_stream"] = f"""WITH {POSTINGS} SELECT id, title, content_hash, coalesce(n, 0)
   AS chunks FROM postings LEFT JOIN (SELECT job_posting_id, count(*) AS n
     FROM {_chunked(_BODY, 1000, 150)} GROUP BY job_posting_id) ON job_posting_id = id

@@ -480,6 +480,13 @@ def stale_applications(spark, sf):
         bridge.as_of(AS_OF))
 
 
+@query
+def stale_oldest_first(spark, sf):
+    """The five applications of each user that wait longest."""
+    return board.oldest_stale(stale_applications(spark, sf), 5).select(
+        "id", "email", "stage_updated_at", "rank")
+
+
 @query
 def stale_flag_refresh(spark, sf):
     earlier = bridge.applications(spark, sf).withColumns({
@@ -593,6 +600,11 @@ def skill_gap_scan(spark, sf):
         bridge.profiles(spark, sf), bridge.postings(spark, sf), TERMS)
 
 
+@query
+def skill_gap_ranked(spark, sf):
+    return insight.skill_gap_ranked(skill_gap_scan(spark, sf))
+
+
 @query
 def skill_gap_words(spark, sf):
     return insight.skill_gap(
@@ -777,6 +789,46 @@ def note_validation(spark, sf):
         F.array_join("errors", " ").alias("errors")).agg(F.count("*").alias("notes"))
 
 
+@query
+def note_sink(spark, sf):
+    """Notes appended to a table where they are valid, and kept with their reasons where not."""
+    made = bridge.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate",
+                        "l_returnflag").select(
+        F.col("l_orderkey").alias("application_id"), F.col("l_linenumber").alias("seq"),
+        F.when(F.col("l_returnflag") == "N", "  ").otherwise("a note").alias("note"),
+        bridge.pick(F.col("l_linenumber"), {1: "phone_screen", 3: "lunch"}).alias("interview_type"),
+        F.when(F.col("l_linenumber") == 5, "tomorrow").otherwise(
+            F.date_format("l_shipdate", "yyyy-MM-dd")).alias("follow_up_date"))
+    accepted, refused = (session.working_dir(spark, x) for x in ("notes", "refused-notes"))
+    rules.append(rules.check(made, people.note_rules()), accepted, refused)
+    good = spark.read.parquet(accepted).withColumn("errors", F.lit(""))
+    bad = spark.read.parquet(refused).withColumn("errors", F.array_join("errors", " "))
+    return good.unionByName(bad)
+
+
+@query
+def resume_validation(spark, sf):
+    """Documents as resumes, with names of growing length."""
+    n = F.col("doc_id")
+    made = bridge.table(spark, sf, "documents").select(
+        n.alias("resume_id"),
+        F.when(n % 11 == 0, " ").otherwise(F.repeat(F.lit("name."), (n % 60).cast("int") + 1))
+        .alias("filename"), F.when(n % 13 != 0, F.col("text")).alias("resume_text"))
+    return rules.check(made, people.resume_rules()).select(
+        "resume_id", F.array_join("errors", " ").alias("errors"))
+
+
+@query
+def bookmark_validation(spark, sf):
+    n = F.col("event_id")
+    made = bridge.table(spark, sf, "events").select(
+        n.alias("bookmark_id"),
+        F.when(n % 9 == 0, "").otherwise(F.repeat(F.lit("posting"), (n % 80).cast("int") + 1))
+        .alias("job_posting_id"), F.repeat(F.lit("keep "), (n % 1100).cast("int")).alias("note"))
+    return rules.check(made, people.bookmark_rules()).select(
+        "bookmark_id", F.array_join("errors", " ").alias("errors"))
+
+
 @query
 def feedback_validation(spark, sf):
     e = bridge.actions(spark, sf).select(
@@ -867,6 +919,13 @@ def vector_distances(spark, sf):
         "vec_id", F.round(vectors.cosine_distance("embedding", "vector"), 6).alias("distance"))
 
 
+@query
+def vector_text(spark, sf):
+    """Every vector in its text form."""
+    return bridge.table(spark, sf, "embeddings").select(
+        "vec_id", vectors.literal("embedding").alias("vector"))
+
+
 @query
 def refresh_stream(spark, sf):
     """Postings landed as JSON, refreshed by a stream; the stored postings."""
