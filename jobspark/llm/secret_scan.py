@@ -3,14 +3,19 @@
 Besides the pattern kinds, a string in a sensitive context (a word such as "secret" or
 "bearer" shortly before it) is measured by its marginal compressed size: zstandard, primed
 with a dictionary of usual identifiers, compresses the text around the string without and
-with it. A string that costs nearly all its bytes repeats nothing of the code around it nor
-of usual names, and is reported as ``novel``.
+with it, and with random strings of the same length and alphabet in its place. A string that
+costs nearly what those cost repeats nothing of the code around it nor of usual names, and is
+reported as ``novel``. Occurrences of the string that follow a sensitive word too are no part
+of the text around it. A private key goes on over the lines of its block.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import random
 import re
+import string as letters
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,14 +42,21 @@ SENSITIVE = (
 NEAR = 32  # code points between the sensitive word and the string
 AROUND = 400  # code points of context on either side
 LEAST_NOVEL = 12
-NOVELTY = 0.85  # marginal bytes for each byte of the string
-# Digits of base 16 hold half a byte each, and long ones are compressed towards that.
-NOVELTY_HEX = 0.6
+NOVELTY = 0.9  # of what a random string costs, less
+SPARE = 2  # bytes that short matches may save in a random string
+DRAWS, ENOUGH = 4, 1000  # random strings, or so many characters of them
+LEAST_PIECE = 20  # of a string with dots, such as the parts of a signed token
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
 HEX_DIGITS = re.compile(r"[0-9A-Fa-f]+")
 # Lower case of A-Z alone keeps every place.
 LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 VARIED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+# A private key: its first line, and the lines after it, broken or with written-out breaks.
+PRIVATE = re.compile(r"private[ _-]?key", re.IGNORECASE)
+BREAK = re.compile(r"""(?:\\[rn]|[\s"',>#*|]|\+(?=[\s"']))+""")
+ARMOUR = re.compile(
+    rf"private key[ A-Z]*-{{5}}(?:{BREAK.pattern}[A-Za-z-]+:[^\n\\]*(?=\n|\\[rn]))*{BREAK.pattern}", re.IGNORECASE)
+LINE = re.compile(r"[A-Za-z0-9+/=_]+(?:-[A-Za-z0-9+/=_]+)*")
 
 # Identifiers and values that code usually has around secrets.
 USUAL = " ".join(SENSITIVE) + (
@@ -60,6 +72,17 @@ USUAL = " ".join(SENSITIVE) + (
 )
 
 Span = tuple[str, int, int]
+DIGITS_16 = (letters.digits + "abcdef", letters.digits + "ABCDEF", letters.hexdigits)
+CLASSES = (letters.ascii_lowercase, letters.ascii_uppercase, letters.digits)
+
+
+def alphabet(string: str) -> str:
+    """What a random string like this one is drawn from: base 16, or the classes of
+    characters that it has, and its other characters."""
+    if HEX_DIGITS.fullmatch(string):
+        return next(x for x in DIGITS_16 if set(string) <= set(x))
+    used = set(string)
+    return "".join(x for x in CLASSES if used & set(x)) + "".join(sorted(used.difference(*CLASSES)))
 
 
 class Scanner:
@@ -82,31 +105,114 @@ class Scanner:
         spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
         return spans
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that the string adds to its context, for each of its bytes."""
-        before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
-        without = len(self.compressor.compress((before + after).encode()))
-        whole = len(self.compressor.compress((before + after + text[start:end]).encode()))
-        return (whole - without) / (end - start)
+    def context(self, text: str, low: str, start: int, end: int) -> str:
+        """The text around a string, without its equals that follow a sensitive word."""
+        string = text[start:end]
+        out = []
+        for first, last in ((max(0, start - AROUND), start), (end, min(end + AROUND, len(text)))):
+            at = first
+            # Equals that the ends of the context cut count too.
+            reach = (max(0, first - len(string)), start) if last == start else (end, last + len(string))
+            equal = text.find(string, *reach)
+            while 0 <= equal < last:
+                before = low[max(0, equal - NEAR - LEAST_NOVEL):equal]
+                if any(word in before for word in SENSITIVE):
+                    out.append(text[at:max(at, equal)])
+                    at = max(at, equal + len(string))
+                equal = text.find(string, equal + len(string), reach[1])
+            out.append(text[at:last])
+        return "".join(out)
+
+    def size(self, text: str) -> int:
+        return len(self.compressor.compress(text.encode()))
+
+    def is_novel(self, string: str, around: str) -> bool:
+        """Whether the string adds about as many compressed bytes as a random one."""
+        if len(string) < LEAST_NOVEL or not VARIED.match(string):
+            return False
+        without = self.size(around)
+        own = self.size(around + string) - without
+        draw = random.Random(len(string))
+        draws = max(1, min(DRAWS, ENOUGH // len(string)))
+        chars = alphabet(string)
+        cost = sum(self.size(around + "".join(draw.choices(chars, k=len(string)))) - without
+                   for _ in range(draws)) / draws
+        return own >= NOVELTY * cost - SPARE
+
+    def lines(self, text: str, begin: int, armour: bool) -> tuple[int, list[str]]:
+        """End and lines of a private key that begins there. Behind the first line of an
+        armour whatever stands in lines of its own belongs to it; else lines are as long as
+        the first one, but for the last."""
+        out: list[str] = []
+        stop = place = begin
+        while line := LINE.match(text, place):
+            one, gap = line[0], BREAK.match(text, line.end())
+            broken = gap is not None and ("\n" in gap[0] or "\\n" in gap[0])
+            closed = text.startswith("-----", gap.end() if gap else line.end())
+            last = not armour and bool(out) and len(one) < len(out[0])
+            if out and not (closed or broken or len(one) == len(out[0]) or last):
+                break
+            if not armour and out and len(one) > len(out[0]) or last and not (
+                    closed or VARIED.match(one) or one.endswith("=")):
+                break
+            out.append(one)
+            stop = line.end()
+            if closed or last or not broken:
+                break
+            place = gap.end()
+        return stop, out
+
+    def private(self, text: str, word: re.Match) -> tuple[list[str], int, int] | None:
+        """Lines, start and end of the key after a private-key word."""
+        if armour := ARMOUR.match(text, word.start()):
+            stop, lines = self.lines(text, armour.end(), True)
+            return (lines, armour.end(), stop) if lines else None
+        for near in CANDIDATE.finditer(text, word.end(), word.end() + NEAR + LEAST_NOVEL):
+            begin = near.start() + len(near[0]) - len(near[0].lstrip("=.~_-"))
+            stop, lines = self.lines(text, begin, False)
+            if len(lines) > 1:
+                return lines, begin, stop
+        return None
 
     def novel(self, text: str, low: str, known: list[Span]) -> list[Span]:
-        found: dict[int, Span] = {}
+        found: list[Span] = []
+        taken: list[tuple[int, int]] = []  # places of what is found, sorted
+        measured: set[int] = set()
+
+        def take(start: int, end: int, strings: list[str]) -> None:
+            around = self.context(text, low, start, end)
+            if any(self.is_novel(x, around) for x in strings):
+                found.append((NOVEL, start, end))
+                bisect.insort(taken, (start, end))
+
+        def covered(start: int) -> bool:
+            at = bisect.bisect(taken, (start, len(text)))
+            return at > 0 and start < taken[at - 1][1]
+
+        for word in PRIVATE.finditer(text):
+            key = None if covered(word.start()) else self.private(text, word)
+            if key and key[1] not in measured:
+                measured.add(key[1])
+                # Some kinds of keys begin with fixed lines: one novel line is enough.
+                take(key[1], key[2], ["".join(key[0]), *key[0]])
+        measured.clear()  # a single line may be novel where the lines are not
         for word in SENSITIVE:
             at = low.find(word)
             while at >= 0:
                 stop = at + len(word)
                 for near in CANDIDATE.finditer(text, stop, stop + NEAR + LEAST_NOVEL):
                     start = near.start()
+                    if start in measured or covered(start):
+                        continue
+                    measured.add(start)
                     string = CANDIDATE.match(text, start)[0].rstrip(".")
                     end = start + len(string)
-                    if (start not in found and end - start >= LEAST_NOVEL
-                            and VARIED.match(string)
-                            and not any(a < end and start < b for _, a, b in known)
-                            and self.marginal(text, start, end) >= (
-                                NOVELTY_HEX if HEX_DIGITS.fullmatch(string) else NOVELTY)):
-                        found[start] = (NOVEL, start, end)
+                    if len(string) >= LEAST_NOVEL and VARIED.match(string) and not any(
+                            a < end and start < b for _, a, b in known):
+                        parts = [x for x in string.split(".") if LEAST_PIECE <= len(x) < len(string)]
+                        take(start, end, [string, *parts])
                 at = low.find(word, stop)
-        return list(found.values())
+        return found
 
     def scan(self, text: str) -> tuple[list[Span], list[Span]]:
         """Pattern spans and novel spans, each by start and kind; places in code points."""

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import zlib
 from array import array
 
@@ -268,6 +269,37 @@ def test_long_digits_of_base_16_are_novel():
     assert secret_scan.Scanner().scan("token of " + "0123456789ABCDEF" * 4)[1] == []
 
 
+def test_random_strings_of_any_length_and_alphabet_are_novel():
+    rng, scanner = random.Random(9), secret_scan.Scanner()
+    code = "".join(f"    self.value_{i} = config.get('setting{i}', default={i * 7})\n" for i in range(12))
+    for around in ("", code, prose(rng, 80)):
+        for chars in ("abcdefghijklmnopqrstuvwxyz0123456789", string.ascii_letters + string.digits + "+/", "0123456789ABCDEF"):
+            for n in (32, 100, 400, 2000):
+                missed = 0
+                for _ in range(10):
+                    key = "a1"[: 2 * (chars[0] == "a")] + "".join(rng.choice(chars) for _ in range(n))
+                    text = f"{around}\nAuthorization: Bearer {key}\n{around}"
+                    missed += key in secret_scan.masked(text, scanner.scan(text)[1])
+                assert missed <= 1
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    lines = "\n".join(f"GET /{i} Authorization: Bearer {key}" for i in range(12))
+    assert key not in secret_scan.masked(lines, scanner.scan(lines)[1])
+
+
+def test_private_keys_are_masked_over_all_lines():
+    rng, scanner = random.Random(10), secret_scan.Scanner()
+    lines = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(64)) for _ in range(20)] + ["+q3A=="]
+    fixed = ["A" * 64, *lines[:2]]
+    for some in (lines, fixed):
+        for gap in ("\n", "\r\n", "\\n", '",\n  "'):
+            text = gap.join(["a -----BEGIN RSA PRIVATE KEY-----", *some, "-----END RSA PRIVATE KEY----- b"])
+            got = secret_scan.masked(text, scanner.scan(text)[1])
+            assert not any(x in got for x in some) and got.endswith("-----END RSA PRIVATE KEY----- b")
+    text = "\n".join(["the private key is", *lines, "and so on"])
+    assert secret_scan.masked(text, scanner.scan(text)[1]) == "the private key is\n[secret]\nand so on"
+    assert scanner.scan("private key:\nsome words\nin some lines\n")[1] == []
+
+
 def test_long_repeated_context_is_linear():
     assert secret_scan.Scanner().scan("token " * 50_000)[0] == []
 
