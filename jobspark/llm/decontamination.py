@@ -231,9 +231,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, without those of contaminated ids."""
-    bad = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs``, with all their columns, without contaminated documents: all rows
+    of an id are one document, rows without id are documents of their own."""
+    # The verdict depends on the text alone, so rows without id are known by its digest.
+    key = common.unused("key", docs.columns)
+    text, none = F.col(text_col).cast("string"), F.col(id_col).isNull()
+    keyed = docs.withColumn(key, F.when(none, F.struct(F.lit(None).cast(docs.schema[id_col].dataType).alias(
+        "id"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("digest"))).otherwise(
+            F.struct(F.col(id_col).alias("id"), F.lit("").alias("digest"))))
+    bad = matches(keyed, benchmark, key, text_col).select(
+        F.col(f"{key}.id").alias("_bad"), F.col(f"{key}.digest").alias("_digest")).distinct()
+    return keyed.join(bad, F.col(f"{key}.id").eqNullSafe(bad["_bad"]) & (
+        F.col(f"{key}.digest") == bad["_digest"]), "left_anti").select(*docs.columns)
 
 
 # The same by brute force: all windows that begin and end with a shingle of the item.

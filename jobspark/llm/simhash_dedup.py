@@ -163,13 +163,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """``(fp, root, component_id)`` of each fingerprint of ``(id, fp)``; one root a group."""
+    """``(fp, least, root, component_id)`` of each fingerprint of ``(id, fp)``: its smallest
+    id, one root a group and the smallest id of the group."""
     groups = fps.groupBy("fp").agg(F.min("id").alias("least"))
     linked = common.components(links(groups.select("fp")))
     named = groups.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    return named.join(least, "root").select("fp", "least", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are ignored. An empty table gives an empty result.
     """
     fps = common.checkpoint(fingerprints(docs, id_col, text_col))
-    return fps.join(classes(fps).drop("root"), "fp").select(
+    return fps.join(classes(fps).drop("root", "least"), "fp").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -189,22 +190,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that come first in their group.
 
-    That is the row with the smallest id; any one of rows that repeat it; any one of a group
-    in which no row has an id.
+    That is the row with the smallest id, or without one if no row of the group has any; of
+    several such rows that with the smallest fingerprint; any one of rows with the same.
+    Different texts under one id, or without id, each count in their own group.
     """
-    found = common.checkpoint(classes(common.checkpoint(fingerprints(docs, id_col, text_col))))
-    first = found.select(F.col("component_id").alias("first")).filter("first is not null").distinct()
-    kept = docs.join(first, docs[id_col] == first["first"], "left_semi").dropDuplicates([id_col])
-    fp, root = (common.unused(name, docs.columns) for name in ("fp", "root"))
+    found = classes(common.checkpoint(fingerprints(docs, id_col, text_col)))
+    fp, root, first = (common.unused(name, docs.columns) for name in ("fp", "root", "first"))
+    chosen = common.checkpoint(found.filter(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min("fp").alias(fp), F.min("component_id").alias(first)).withColumnRenamed("root", root))
     at = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            texts = batch.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([simhash(x) for x in texts], pa.int64())], [*batch.schema.names, fp])
 
-    nameless = docs.filter(F.col(id_col).isNull()).mapInArrow(
-        add, StructType([*docs.schema.fields, StructField(fp, LongType())]))
-    alone = found.filter("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
-    return kept.union(nameless.join(alone, fp).dropDuplicates([root]).select(*docs.columns))
+    marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    return marked.join(chosen, (marked[fp] == chosen[fp]) & marked[id_col].eqNullSafe(chosen[first])).dropDuplicates(
+        [root]).select(*docs.columns)

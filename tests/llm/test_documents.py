@@ -202,6 +202,25 @@ def test_matches_of_empty_tables_and_nulls(spark):
     assert decontamination.remove_contaminated(docs, items.filter("false")).count() == 3
 
 
+def test_clean_rows_without_id_stay(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(None, "x one two three four five six seven y"), (None, "clean text"), (None, "clean text"),
+                                  (None, None), (3, "one two three four five six seven"), (4, "other")], "doc_id bigint, text string")
+    got = decontamination.remove_contaminated(docs, items)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(None, "clean text"), (None, "clean text"), (None, None), (4, "other")], key=str)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, b), (7, b), (8, a), (9, c), (None, c), (None, prose(rng, 40)), (9, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted(map(tuple, simhash_dedup.keep_first(docs).collect()), key=str)
+    assert got == sorted([(7, a), (7, b), (9, c), rows[6]], key=str)
+
+
 def test_window_fingerprints_are_majorities(spark):
     rng = random.Random(2)
     sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 8, 55, 500)]
