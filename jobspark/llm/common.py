@@ -30,6 +30,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written to a fresh shared folder and read back: computed once, cut off from its lineage."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unused(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores before it until no column has it."""
     taken = {x.lower() for x in taken}

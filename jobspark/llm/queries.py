@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    common, decontamination, embedding_dedup, html_wrappers, language_cnn, packing, pseudonyms,
-    quality_mil, secret_scan, simhash_dedup, warc,
+    common, decontamination, embedding_dedup, html_wrappers, language_cnn, merkle, packing,
+    pseudonyms, quality_mil, secret_scan, simhash_dedup, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,11 @@ def op9_embedding_dedup(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    return merkle.audit(common.table(spark, sf_dir, "documents", *merkle.FIELDS))
+
+
+ORACLE["op11_merkle"] = merkle.ORACLE_SQL
