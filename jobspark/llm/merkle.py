@@ -148,6 +148,8 @@ def paths(kept: list[DataFrame], above: DataFrame, *carried: str) -> DataFrame:
             F.slice(F.array(*[step(k, i) for k in range(STRIDE)]), F.lit(1), F.col("climb")).alias("own")))
         groups = subtrees(table, *extra).select("tree", F.col("g").alias("pos"), own.alias("nodes"))
         groups = groups.join(down.drop("digest", *carried), ["tree", "pos"])
+        if level + 1 < len(kept) - 1:
+            down = common.written(down, "merkle-paths")  # a level at a time keeps plans small
         # No group is empty; the outer form keeps Spark from testing the whole expression for it.
         down = groups.select("tree", F.explode_outer("nodes").alias("x"), "path", "root", *outer).select(
             "tree", "x.pos", "x.digest", *[f"x.{c}" for c in extra],

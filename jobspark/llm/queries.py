@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    common, decontamination, embedding_dedup, html_wrappers, language_cnn, merkle, packing,
-    pseudonyms, quality_mil, secret_scan, simhash_dedup, warc,
+    common, conversation_repair, decontamination, embedding_dedup, html_wrappers, language_cnn,
+    merkle, packing, pseudonyms, quality_mil, secret_scan, simhash_dedup, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,12 @@ def op11_merkle(spark, sf_dir):
 
 
 ORACLE["op11_merkle"] = merkle.ORACLE_SQL
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.report(
+        common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+ORACLE["op13_conversation_repair"] = conversation_repair.ORACLE_SQL
