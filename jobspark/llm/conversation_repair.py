@@ -438,20 +438,20 @@ best AS (
   FROM walk w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
   WHERE w.i = coalesce(c.n, 0)),
 told AS (
-  SELECT conv_id, audit, 1 AS at, 0::BIGINT AS i, '' AS last, NULL::VARCHAR AS told FROM best
+  SELECT conv_id, audit, 1 AS step, 0::BIGINT AS i, '' AS last, NULL::VARCHAR AS told FROM best
   UNION ALL
-  SELECT t.conv_id, t.audit, t.at + 1, CASE e WHEN 'I' THEN t.i ELSE t.i + 1 END,
+  SELECT t.conv_id, t.audit, t.step + 1, CASE e WHEN 'I' THEN t.i ELSE t.i + 1 END,
          CASE WHEN e = 'D' THEN t.last WHEN e = 'K' THEN m.ini WHEN t.last = 'u' THEN 'a' ELSE 'u' END,
          CASE WHEN e = 'D' THEN t.told
               ELSE coalesce(t.told || chr(10), '') ||
                    CASE WHEN e = 'K' THEN m.role WHEN t.last = 'u' THEN 'assistant' ELSE 'user' END || ':' ||
                    CASE e WHEN 'I' THEN '' ELSE m.text END END
-  FROM (SELECT *, substr(audit, at, 1) AS e FROM told WHERE at <= length(audit)) t
+  FROM (SELECT *, substr(audit, step, 1) AS e FROM told WHERE step <= length(audit)) t
   LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.i = t.i + 1)
 SELECT b.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank,
        coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
        coalesce(c.illegal, 0) AS illegal, b.cost, b.audit,
        sha256(coalesce(t.told, '')) AS repaired_sha256
 FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
-JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.at = length(b.audit) + 1
+JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.step = length(b.audit) + 1
 """
