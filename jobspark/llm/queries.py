@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
     common, conversation_repair, decontamination, embedding_dedup, html_wrappers, language_cnn,
-    merkle, packing, pseudonyms, quality_mil, secret_scan, simhash_dedup, warc,
+    merkle, packing, pseudonyms, quality_mil, secret_scan, simhash_dedup,
+    suffix_dedup, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +108,11 @@ def op11_merkle(spark, sf_dir):
 ORACLE["op11_merkle"] = merkle.ORACLE_SQL
 
 
+@query
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.report(
