@@ -6,7 +6,8 @@ shard's pieces are laid end to end in the order of (document, start); its suffix
 from the sorted leftmost-smaller substrings, the permuted common prefixes tell which strings are
 equal, and of equal ones all but the first are repeats. Bytes that a repeat covers are removed.
 
-Equal pieces of a batch are merged before they are shuffled. A gram whose different pieces exceed
+Equal pieces of a lot are merged before they are shuffled, the others packed into blocks by the
+task they go to. A gram whose different pieces exceed
 a shard is not solved in place: its pieces are cut anew by longer grams and dealt out again, at
 last by whole strings, of which no two different ones share a gram. So no group is collected
 beyond a shard, and none is cut off.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
@@ -33,7 +35,10 @@ SHARD = 1 << 21  # bytes of pieces in one suffix array
 TOGETHER = 1 << 20  # bytes of texts that are cut at once
 FEW = 512  # symbols up to which a whole bucket is induced at once
 
-PIECES = "core long, id long, tie long, start long, stop long, data binary"
+BLOCK = 1 << 25  # bytes of pieces that a task holds until they are packed by where they go
+
+PACKED = "bucket int, id long, tie long, start long, stop long, block binary"
+PIECES = "core long, id long, tie long, start long, stop long, at int, data binary"
 Piece = tuple[tuple, int, bytes]  # (key of the document, start, bytes)
 
 
@@ -199,20 +204,21 @@ def repeats(pieces: list[Piece], width: int = WIDTH) -> Iterator[tuple[tuple, in
 # Pieces ------------------------------------------------------------------------------
 
 def grams(text: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every gram."""
+    """A 64-bit hash of every gram along the last axis."""
     h, held = text.astype(np.uint64) + np.uint64(1), 1
     factor = 0x9E3779B97F4A7C15
     while held < size:
         more = min(held, size - held)
-        h = h[:len(h) - more] * np.uint64(factor) + h[more:]
+        h = h[..., :h.shape[-1] - more] * np.uint64(factor) + h[..., more:]
         held, factor = held + more, factor * factor + 2 & (1 << 64) - 1 | 1
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def cut(texts: list[bytes], size: int, width: int = WIDTH) -> Iterator[tuple[int, int, int, int]]:
-    """``(text, from, to, core)`` of runs of strings whose first least gram is the same one."""
+def cut(texts: list[bytes], size: int, width: int = WIDTH) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(text, from, to, place, core)`` of runs of strings whose first least gram is the same one;
+    it stands at ``place`` in the run and has the hash ``core``."""
     text = np.frombuffer(b"".join(texts), np.uint8)
     if len(text) < width:
         return
@@ -235,84 +241,179 @@ def cut(texts: list[bytes], size: int, width: int = WIDTH) -> Iterator[tuple[int
     owner = which[starts]
     shift = (ends - [len(t) for t in texts])[owner]
     yield from zip(owner.tolist(), (starts - shift).tolist(), (stops - shift + width - 1).tolist(),
-                   h[at[starts]].view(np.int64).tolist())
+                   (at[starts] - starts).tolist(), h[at[starts]].view(np.int64).tolist())
 
 
 def _key(doc: int | None, tie: int) -> tuple:
     return doc is not None, doc or 0, tie
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    columns = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                      ["core", "id", "tie", "start", "stop", "data"])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_LONGS = [(name, pa.int64()) for name in ("id", "tie", "start", "stop")]
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), *_LONGS, ("block", pa.binary())])
+PIECES_ARROW = pa.schema([("core", pa.int64()), *_LONGS, ("at", pa.int32()), ("data", pa.binary())])
+# The numbers of a piece in a block, before the bytes of all pieces.
+NUMBERS = (("given", np.uint8), ("id", np.int64), ("tie", np.int64), ("start", np.int64),
+           ("length", np.uint8), ("at", np.uint8))
+
+
+def pack(pieces: list[tuple]) -> bytes:
+    """Pieces ``(given, id, tie, start, length, at, data)``, ids as differences, as one block."""
+    pieces.sort(key=lambda p: p[:4])
+    numbers = [np.array(c, kind) for c, (_, kind) in zip(zip(*pieces), NUMBERS)]
+    numbers[1] = np.diff(numbers[1], prepend=0)
+    raw = b"".join([len(pieces).to_bytes(8, "little"), *(n.tobytes() for n in numbers), *(p[-1] for p in pieces)])
+    return zstandard.ZstdCompressor(3).compress(raw)
+
+
+def unpack(block: bytes, size: int) -> pa.RecordBatch:
+    """The pieces of a block, their grams hashed again."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n, at, found = int.from_bytes(raw[:8], "little"), 8, {}
+    for name, kind in NUMBERS:
+        found[name] = np.frombuffer(raw, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    data = raw[at:]
+    ends = np.r_[0, np.cumsum(found["length"], dtype=np.int32)].astype(np.int32)
+    places = (ends[:-1] + found["at"])[:, None] + np.arange(size)
+    core = grams(np.frombuffer(data, np.uint8)[places], size)[:, 0].view(np.int64)
+    start = found["start"]
+    return pa.RecordBatch.from_arrays([
+        pa.array(core), pa.array(np.cumsum(found["id"]), mask=found["given"] == 0), pa.array(found["tie"]),
+        pa.array(start), pa.array(start + found["length"]), pa.array(found["at"].astype(np.int32)),
+        pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])],
+        schema=PIECES_ARROW)
 
 
 def deal(texts: DataFrame, size: int) -> DataFrame:
-    """Pieces of ``id, tie, start, data``; those that equal an earlier one of the same lot of texts
-    are known to be repeats and go on without their bytes."""
-
-    def lot(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (_key(r[0], r[1]), r[2]))
-        out, seen = [], {}
-        for i, a, b, core in cut([r[3] for r in rows], size):
-            doc, tie, start, data = rows[i]
-            data = data[a:b]
-            place = doc, tie, start + a
-            if seen.setdefault(data, place) == place:
-                out.append((core, *place, start + b, data))
-            elif out[-1][5] is None and out[-1][1:3] == place[:2] and out[-1][3] <= start + a <= out[-1][4]:
-                out[-1] = (*out[-1][:4], max(out[-1][4], start + b), None)
-            else:
-                out.append((core, *place, start + b, None))
-        return _batch(out)
+    """Pieces of ``id, tie, start, data``, sorted by gram within the tasks they are dealt to; those
+    that equal an earlier one of the same lot of texts are known to be repeats and have no bytes."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        waiting: dict[int, list[tuple]] = {}
+        rows: list[tuple] = []
+        out: list[tuple] = []
+        held = packed = 0
+
+        def lot() -> None:
+            nonlocal packed
+            rows.sort(key=lambda r: (_key(r[0], r[1]), r[2]))
+            seen: dict[bytes, tuple] = {}
+            for i, a, b, at, core in cut([r[3] for r in rows], size):
+                doc, tie, start, data = rows[i]
+                data = data[a:b]
+                place = doc, tie, start + a
+                if seen.setdefault(data, place) == place:
+                    waiting.setdefault(core % buckets, []).append(
+                        (doc is not None, doc or 0, tie, start + a, b - a, at, data))
+                    packed += len(data)
+                elif out and out[-1][1:3] == place[:2] and out[-1][3] <= start + a <= out[-1][4]:
+                    out[-1] = (*out[-1][:4], max(out[-1][4], start + b), None)
+                else:
+                    out.append((core % buckets, *place, start + b, None))
+            rows.clear()
+
+        def flush() -> pa.RecordBatch:
+            out.extend((bucket, None, None, None, None, pack(some)) for bucket, some in waiting.items())
+            waiting.clear()
+            ready = _batch(out, PACKED_ARROW)
+            out.clear()
+            return ready
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.append(row)
                 held += len(row[3])
                 if held > TOGETHER:
-                    yield lot(rows)
-                    rows, held = [], 0
-        yield lot(rows)
-
-    return texts.select("id", "tie", "start", "data").mapInArrow(run, PIECES)
+                    lot()
+                    held = 0
+                    if packed > BLOCK:
+                        yield flush()
+                        packed = 0
+        lot()
+        yield flush()
+
+    def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.filter(batch.column(5).is_null())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(known.num_rows, np.int64)), *known.columns[1:5],
+                     pa.nulls(known.num_rows, pa.int32()), pa.nulls(known.num_rows, pa.binary())],
+                    schema=PIECES_ARROW)
+            for block in batch.column(5):
+                if block.is_valid:
+                    yield unpack(block.as_py(), size)
+
+    packed_rows = texts.select("id", "tie", "start", "data").mapInArrow(run, PACKED)
+    return packed_rows.repartition(tasks, "bucket").mapInArrow(open_blocks, PIECES).sortWithinPartitions("core")
+
+
+def related(group: dict[bytes, tuple], size: int, width: int = WIDTH) -> list[bytes]:
+    """Of pieces with one gram those that agree with another one in half a string beside it.
+
+    A string that two pieces share has the gram at one place, so they agree in half of what the
+    string has beside the gram, either on its left or on its right.
+    """
+    half = (width - size) // 2
+    sides: dict[tuple, bytes | None] = {}
+    alive = set()
+    for data, (_, _, at) in group.items():
+        for key in ((0, data[at - half:at]) if at >= half else None,
+                    (1, data[at + size:at + width - half]) if len(data) >= at + width - half else None):
+            if key is None:
+                continue
+            if key in sides:
+                alive.add(data)
+                alive.add(sides[key])
+            else:
+                sides[key] = data
+    return [data for data in group if data in alive]
 
 
-def meet(pieces: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
+def meet(pieces: DataFrame, size: int, shard_bytes: int = SHARD) -> DataFrame:
     """Repeats (``data`` is NULL) among pieces, and the pieces of grams that exceed a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[Piece] = []
         group: dict[bytes, tuple] = {}
         out: list[tuple] = []
-        core, held, size, over = None, 0, 0, False
+        core, held, heavy, over = None, 0, 0, False
+
+        def gone(key: tuple, start: int, stop: int) -> None:
+            out.append((0, key[1] if key[0] else None, key[2], start, stop, None, None))
 
         def solve() -> None:
-            nonlocal shard, held
-            for (given, doc, tie), start, stop in repeats(shard) if shard else ():
-                out.append((0, doc if given else None, tie, start, stop, None))
-            shard, held = [], 0
+            nonlocal held
+            for key, start, stop in repeats(shard) if shard else ():
+                gone(key, start, stop)
+            shard.clear()
+            held = 0
 
         def give_back() -> None:
-            for data, ((given, doc, tie), start) in group.items():
-                out.append((core, doc if given else None, tie, start, start + len(data), data))
+            for data, (key, start, at) in group.items():
+                out.append((core, key[1] if key[0] else None, key[2], start, start + len(data), at, data))
             group.clear()
 
         def close() -> None:
-            nonlocal held, size, over
+            nonlocal held, heavy, over
             if over:
                 give_back()
             elif len(group) > 1:
-                if held + size > shard_bytes:
+                some = related(group, size)
+                added = sum(map(len, some)) + len(some)
+                if held + added > shard_bytes:
                     solve()
-                shard.extend((key, start, data) for data, (key, start) in group.items())
-                held += size
+                shard.extend((*group[data][:2], data) for data in some)
+                held += added
             group.clear()
-            size, over = 0, False
+            heavy, over = 0, False
 
         def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
             """Without pieces that are alone with their gram inside the batch."""
@@ -320,45 +421,45 @@ def meet(pieces: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
             near = np.r_[True, cores[1:] == cores[:-1]]
             near[-1:] = True
             near[:-1] |= cores[1:] == cores[:-1]
-            return batch.filter(pa.array(near | batch.column(5).is_null().to_numpy(zero_copy_only=False)))
+            return batch.filter(pa.array(near | batch.column(6).is_null().to_numpy(zero_copy_only=False)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for c, doc, tie, start, stop, data in zip(*(x.to_pylist() for x in wanted(batch).columns)):
+            for c, doc, tie, start, stop, at, data in zip(*(x.to_pylist() for x in wanted(batch).columns)):
                 if data is None:
-                    out.append((0, doc, tie, start, stop, None))
+                    out.append((0, doc, tie, start, stop, None, None))
                     continue
                 if c != core:
                     close()
                     core = c
-                place = _key(doc, tie), start
+                key = _key(doc, tie)
                 known = group.get(data)
                 if known is None:
-                    group[data] = place
-                    size += len(data) + 1
-                    if size > shard_bytes:
+                    group[data] = key, start, at
+                    heavy += len(data) + 1
+                    if heavy > shard_bytes:
                         over = True
                         give_back()
-                        size = 0
-                elif known != place:
-                    group[data] = min(known, place)
-                    (given, doc, tie), start = max(known, place)
-                    out.append((0, doc if given else None, tie, start, start + len(data), None))
-            yield _batch(out)
+                        heavy = 0
+                elif known[:2] != (key, start):
+                    first, again = sorted([known[:2], (key, start)])
+                    group[data] = *first, at
+                    gone(*again, again[1] + len(data))
+            yield _batch(out, PIECES_ARROW)
             out.clear()
         close()
         solve()
-        yield _batch(out)
+        yield _batch(out, PIECES_ARROW)
 
-    return pieces.repartition("core").sortWithinPartitions("core").mapInArrow(run, PIECES)
+    return pieces.mapInArrow(run, PIECES)
 
 
 def spans(texts: DataFrame, shard_bytes: int = SHARD) -> DataFrame:
     """``id, tie, start, stop`` of repeats in texts ``id, tie, start, data``; they may overlap."""
     found = None
     for size in GRAMS:
-        met = common.written(meet(deal(texts, size), shard_bytes), "repeats")
+        met = common.written(meet(deal(texts, size), size, shard_bytes), "repeats")
         known = met.filter("data IS NULL").select("id", "tie", "start", "stop")
         found = known if found is None else found.union(known)
         texts = met.filter("data IS NOT NULL")

@@ -89,7 +89,7 @@ def test_grams_beyond_a_shard_are_dealt_again(spark):
     line = "this very common line stands in each document, between words that no other document has "
     rows = [(i, f"{rng.random()} {line}{rng.random()} {'~' * rng.randrange(300)} end") for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(9)
-    pieces = dedup.meet(dedup.deal(dedup.typed(df), dedup.GRAMS[0]), 2000)
+    pieces = dedup.meet(dedup.deal(dedup.typed(df), dedup.GRAMS[0]), dedup.GRAMS[0], 2000)
     assert not pieces.filter("data IS NOT NULL").isEmpty()
     assert found(df, shard_bytes=2000) == brute(rows)
 
