@@ -24,7 +24,7 @@ from . import common
 
 SIZE = 2048
 END = 1
-CACHE = 700_000  # words whose ids a task keeps from one group of texts to the next
+CACHE = 400_000  # words whose ids a worker keeps from one group of texts, or task, to the next
 TOGETHER = 1 << 20  # characters of texts that are looked up as one group
 
 Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -49,18 +49,25 @@ class Encoder:
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # byte-level: a character for each byte
         self.known: dict[str, bytes | None] = {}
+        self.earlier: dict[str, bytes | None] = {}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _fill(self, words: set[str]) -> None:
-        """Encodes new words as one text and cuts its ids by the bytes they stand for."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+        """Encodes new words as one text and cuts its ids by the bytes they stand for.
+
+        When half of the cache is full, its words are forgotten unless they are met again before
+        the other half is.
+        """
+        if len(self.known) > CACHE // 2:
+            self.known, self.earlier = {}, self.known
         inner = []
         for word in words:
             if word not in self.known:
-                if word[:1] != " ":
+                if word in self.earlier:
+                    self.known[word] = self.earlier[word]
+                elif word[:1] != " ":
                     self.known[word] = self._ids(word)
                 elif word == " " or word[1].isspace():
                     self.known[word] = None  # its text is encoded whole
@@ -98,6 +105,16 @@ class Encoder:
         yield from self._some(some)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary, kept as long as Spark uses the worker process again."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            size: int = SIZE) -> DataFrame:
     """``(id, start, length, ids_crc32, doc_tokens)``: full pieces, then the rest."""
@@ -105,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     names = ["start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), array("I", [END]).tobytes()
+        encoder, end = encoder_of(tokenizer), array("I", [END]).tobytes()
         for batch in batches:
             rows, out = [], []
             texts = pc.fill_null(batch.column(1), "").to_pylist()
