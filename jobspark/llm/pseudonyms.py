@@ -19,7 +19,7 @@ FIRST_DAYS, DAYS = {1850: 36524, 1950: 36525, 2050: 36524}, (75, 487)
 WALK = 64  # steps through the permutation until a day fits; two in three do
 YEAR = "(?:18[5-9]|19[0-9]|20[0-9]|21[0-4])[0-9]"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "day": rf"(?<![0-9-]){YEAR}-[01][0-9]-[0-3][0-9](?![0-9-])|(?<![0-9./-])(?:{YEAR}/[01]?[0-9]/[0-3]?[0-9]"
            rf"|{YEAR}\.[01]?[0-9]\.[0-3]?[0-9])(?![0-9]|[./-][0-9])",
     "written": r"(?<![0-9./-])(?:" + "|".join(rf"[0-3]?[0-9]{s}[0-3]?[0-9]{s}{YEAR}" for s in ("/", r"\.", "-"))

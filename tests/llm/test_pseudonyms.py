@@ -92,3 +92,9 @@ def test_other_days_are_permuted(spark):
         df = spark.createDataFrame([(d,) for d in days], "d string").select(
             pseudonyms.pseudonym(F.col("d"), F.lit(kind), "k").alias("d"))
         assert {r[0] for r in df.collect()} == days
+
+
+def test_mail_with_many_labels(spark):
+    text = "x@" + "a." * 100_000 + "com end"
+    out = pseudonyms.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k")
+    assert out.count() == 1 and out.collect()
