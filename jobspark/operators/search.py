@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import dataclasses
-import json
 import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .. import domains, session
-from ..functions import text, vectors
+from ..functions import text
 from . import block_top
 from .embedding import Embedder
 from .topn import first_per_key, ranked
 
 # vector: array of numbers, sources: array of strings or NULL for all.
-# probes: list numbers of an approximate search, NULL for an exact one.
 REQUEST_FIELDS = ["request_id", "vector", "model_name", "sources", "remote_only",
-                  "minimum_salary", "location", "probes"]
+                  "minimum_salary", "location"]
 _FILTERS = REQUEST_FIELDS[2:]
 _NEAR = ("request_id STRING, chunk_id STRING, job_posting_id STRING, content_hash STRING, "
          "distance DOUBLE")
@@ -103,11 +104,8 @@ def _wanted(sources) -> list[str]:
     return [] if sources is None else [s.lower() for s in sources if s]
 
 
-def _eligible(cand: pd.DataFrame, model, sources, remote_only, salary, location,
-              probes) -> np.ndarray:
+def _eligible(cand: pd.DataFrame, model, sources, remote_only, salary, location) -> np.ndarray:
     ok = (cand["model_name"] == model).to_numpy()
-    if probes is not None:
-        ok &= cand["list_id"].isin(probes).to_numpy()
     wanted = _wanted(sources)
     if wanted:
         ok &= cand["source"].isin(wanted).to_numpy()
@@ -206,19 +204,35 @@ def _or_null(df: DataFrame, column: str, kind: str) -> Column:
 _FACTS = {"source": "string", "remote": "boolean", "salary_max": "double", "location": "string"}
 
 
-def _draw(asked: block_top.Asked, candidates: DataFrame, pool: int, candidate_rows: int):
-    """The ``pool`` nearest of the candidate chunks; facts they lack are NULL."""
-    rows = candidates.filter(F.col("embedding").isNotNull()).select(
+def _candidates(chunks: DataFrame, *more: str) -> DataFrame:
+    """Chunks with a vector, and the columns that are compared; facts they lack are NULL."""
+    return chunks.filter(F.col("embedding").isNotNull()).select(
         F.col("id").cast("string").alias("id"), "job_posting_id", "embedding", "model_name",
-        _or_null(candidates, "content_hash", "string"), _or_null(candidates, "list_id", "int"),
-        *[_or_null(candidates, c, kind) for c, kind in _FACTS.items()])
-    near = block_top.best_per_request(
-        rows, asked, _score(pool), lambda best: _keep_nearest(best, pool), _NEAR, "id",
-        candidate_rows)
+        _or_null(chunks, "content_hash", "string"),
+        *[_or_null(chunks, c, kind) for c, kind in _FACTS.items()], *more)
+
+
+def _nearest(near: DataFrame, pool: int) -> DataFrame:
     return ranked(near, ["request_id"], [F.col("distance"), F.col("chunk_id")], pool,
                   "pool_rank")
 
 
+def _draw(asked: block_top.Asked, candidates: DataFrame, pool: int, candidate_rows: int):
+    """The ``pool`` nearest of the candidate chunks."""
+    return _nearest(block_top.best_per_request(
+        _candidates(candidates), asked, _score(pool), lambda best: _keep_nearest(best, pool),
+        _NEAR, "id", candidate_rows), pool)
+
+
+def _facts(postings: DataFrame, fresh_only: bool) -> tuple[DataFrame, list[str]]:
+    """What requests filter by, and the keys that chunks meet it on."""
+    extra = ["content_hash"] if fresh_only else []
+    return postings.select(
+        F.col("id").alias("job_posting_id"), "source", "remote",
+        F.col("salary_max").cast("double").alias("salary_max"), "location", *extra,
+    ), ["job_posting_id", *extra]
+
+
 # Above this many postings their facts are no safe broadcast, and joining them to the
 # vectors first would move all vectors.
 LATE_ROWS = 100_000
@@ -234,11 +248,7 @@ def nearest_chunks(asked: block_top.Asked, chunks: DataFrame, postings: DataFram
     """
     if asked.local is not None:
         chunks, postings = _admitted(asked.local, chunks, postings)
-    keys = ["job_posting_id"] + (["content_hash"] if fresh_only else [])
-    facts = postings.select(
-        F.col("id").alias("job_posting_id"), "source", "remote",
-        F.col("salary_max").cast("double").alias("salary_max"), "location",
-        *(["content_hash"] if fresh_only else []))
+    facts, keys = _facts(postings, fresh_only)
     if late is None:
         late = facts.count() > LATE_ROWS
     if late:
@@ -308,11 +318,15 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
     so fewer than ``top_k`` postings are possible. Texts join at the very end.
     """
     k = top_k_of(top_k, most)
-    if "probes" not in requests.columns:
-        requests = requests.withColumn("probes", F.lit(None).cast("array<int>"))
     asked = block_top.measure(requests.select(*REQUEST_FIELDS), **limits)
     near = nearest_chunks(asked, chunks, postings, pool or pool_of(k),
                           fresh_only=fresh_only, late=late, candidate_rows=candidate_rows)
+    return _presented(near, chunks, postings, k, preview_chars)
+
+
+def _presented(near: DataFrame, chunks: DataFrame, postings: DataFrame, k: int,
+               preview_chars: int) -> DataFrame:
+    """The best ``k`` postings of each request's drawn chunks, with their texts."""
     best = first_per_key(near, ["request_id", "job_posting_id"],
                          [F.col("distance"), F.col("chunk_id")])
     top = ranked(
@@ -353,7 +367,14 @@ def rerank(results: DataFrame, feedback: DataFrame, user_col: str = "user_id", *
     return moved.withColumn("rank", F.row_number().over(order))
 
 
-# ---- approximate search -------------------------------------------------------------
+# ---- approximate search: inverted lists ---------------------------------------------
+
+# The centres of the lists: a fitted model, or the vectors themselves. Either way their
+# number is what the caller chose, whatever the number of chunks.
+Centres = KMeansModel | Sequence[Sequence[float]]
+
+LIST_ROWS = 20_000  # chunks of a list in one block
+LIST_REQUESTS = 4_000  # requests of a list in one block
 
 
 def train_lists(chunks: DataFrame, lists: int, seed: int = 7) -> KMeansModel:
@@ -363,33 +384,112 @@ def train_lists(chunks: DataFrame, lists: int, seed: int = 7) -> KMeansModel:
     return KMeans(k=lists, seed=seed, distanceMeasure="cosine").fit(points)
 
 
-def with_list(chunks: DataFrame, model: KMeansModel) -> DataFrame:
+def _with_nearest(df: DataFrame, vector: str, centres: Centres, n: int, name: str) -> DataFrame:
+    """Adds the numbers of the ``n`` centres nearest to a vector, nearest first; a vector
+    of zeros gets the first ones, no vector NULL."""
+    rows = centres.clusterCenters() if isinstance(centres, KMeansModel) else centres
+    unit = _unit(np.asarray(rows, dtype=np.float64))
+    schema = StructType(df.schema.fields + [StructField(name, ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(vector).to_pandas()
+            there = np.flatnonzero(given.notna().to_numpy())
+            lists: list = [None] * len(given)
+            if len(there):
+                near = np.nan_to_num(_unit(_stack(given.iloc[there])) @ unit.T, nan=-2.0)
+                for at, order in zip(there, np.argsort(-near, axis=1, kind="stable")[:, :n]):
+                    lists[at] = order.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(lists, pa.list_(pa.int32()))],
+                names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def with_list(chunks: DataFrame, centres: Centres) -> DataFrame:
     """Chunks with the number of their list. Stored by it, other lists are not read."""
-    points = chunks.withColumn("features", array_to_vector(
-        F.col("embedding").cast("array<double>")))
-    return model.transform(points).withColumnRenamed("prediction", "list_id").drop("features")
+    return _with_nearest(chunks, "embedding", centres, 1, "_lists").withColumn(
+        "list_id", F.get("_lists", F.lit(0))).drop("_lists")
 
 
-def with_probes(requests: DataFrame, model: KMeansModel, probes: int) -> DataFrame:
+def with_probes(requests: DataFrame, centres: Centres, probes: int) -> DataFrame:
     """Requests with the ``probes`` lists whose centres are nearest."""
-    centres = F.from_json(
-        F.lit(json.dumps([list(map(float, c)) for c in model.clusterCenters()])),
-        "array<array<double>>")
-    nearest = F.array_sort(F.transform(centres, lambda c, i: F.struct(
-        vectors.cosine_distance("vector", c).alias("d"), i.alias("list_id"))))
-    return requests.withColumn(
-        "probes", F.transform(F.slice(nearest, 1, probes), lambda x: x["list_id"]))
+    return _with_nearest(requests, "vector", centres, probes, "probes")
+
+
+def _blocks(asked: DataFrame, listed: DataFrame, list_rows: int,
+            list_requests: int) -> DataFrame:
+    """Into how many blocks the chunks and the requests of a probed list are cut: one row
+    per model asked for and list."""
+    key = ["model_name", "list_id"]
+    count = lambda df, rows, name: df.groupBy(*key).agg(
+        F.ceil(F.count("*") / rows).cast("int").alias(name))
+    return count(listed, list_rows, "_chunk_blocks").join(
+        count(asked, list_requests, "_request_blocks"), key)
+
+
+def _in_lists(probed: DataFrame, listed: DataFrame, facts: DataFrame, keys: list[str],
+              pool: int, list_rows: int, list_requests: int) -> DataFrame:
+    """The ``pool`` nearest chunks of each request among those of the lists it probes.
+
+    Requests and chunks meet by equality on (model, list), a large list in blocks of
+    bounded size, so a vector travels once for each block of requests that ask for its
+    list, and not at all if none does. A block keeps the ``pool`` nearest of a request.
+    """
+    asked = probed.select(*REQUEST_FIELDS, F.explode("probes").alias("list_id"))
+    blocks = F.broadcast(_blocks(asked, listed, list_rows, list_requests))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Lists that nobody probes fall away before facts are joined.
+    wanted = listed.drop(*_FACTS).join(blocks, ["model_name", "list_id"]).join(facts, keys)
+    key = ["model_name", "list_id", "_cb", "_rb"]
+    left = _candidates(wanted, "list_id", "_chunk_blocks", "_request_blocks").withColumn(
+        "_cb", dealt("id", "_chunk_blocks")).withColumn("_rb", every("_request_blocks")).drop(
+        "_chunk_blocks", "_request_blocks")
+    right = asked.join(blocks, ["model_name", "list_id"]).withColumn(
+        "_rb", dealt("request_id", "_request_blocks")).withColumn("_cb", every("_chunk_blocks")).drop(
+        "_chunk_blocks", "_request_blocks")
+    score = _score(pool)
+
+    def run(_, cand: pd.DataFrame, req: pd.DataFrame) -> pd.DataFrame:
+        return score(cand, req)
+
+    return _nearest(
+        left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, _NEAR), pool)
 
 
 def approximate_search(requests: DataFrame, listed: DataFrame, postings: DataFrame,
-                       model: KMeansModel, *, probes: int = 2, **options) -> DataFrame:
+                       centres: Centres, *, probes: int = 2, top_k: int = 5,
+                       most: int | None = None, pool: int | None = None,
+                       fresh_only: bool = False, preview_chars: int = 500,
+                       list_rows: int = LIST_ROWS,
+                       list_requests: int = LIST_REQUESTS) -> DataFrame:
     """:func:`search` over the nearest lists only; ``listed`` comes from with_list.
 
     Similarities are exact; what lies in other lists is missed.
     """
-    probed = with_probes(requests, model, probes)
-    wanted = probed.select(F.explode("probes").alias("list_id")).distinct()
-    return search(probed, listed.join(wanted, "list_id", "left_semi"), postings, **options)
+    k = top_k_of(top_k, most)
+    facts, keys = _facts(postings, fresh_only)
+    near = _in_lists(with_probes(requests.select(*REQUEST_FIELDS), centres, probes), listed,
+                     facts, keys, pool or pool_of(k), list_rows, list_requests)
+    return _presented(near, listed, postings, k, preview_chars)
+
+
+def probed_pairs(requests: DataFrame, listed: DataFrame, centres: Centres,
+                 probes: int) -> DataFrame:
+    """One row: pairs of request and chunk that an approximate search compares, and all."""
+    key = ["model_name", "list_id"]
+    asked = with_probes(requests, centres, probes).select(
+        "request_id", "model_name", F.explode("probes").alias("list_id"))
+    per_list = listed.groupBy(*key).agg(F.count("*").alias("_chunks")).join(
+        asked.groupBy(*key).agg(F.count("*").alias("_asked")), key)
+    per_model = listed.groupBy("model_name").agg(F.count("*").alias("_chunks")).join(
+        requests.groupBy("model_name").agg(F.count("*").alias("_asked")), "model_name")
+    pairs = F.coalesce(F.sum(F.col("_chunks") * F.col("_asked")), F.lit(0))
+    return per_list.agg(pairs.alias("compared"), F.lit(0).cast("long").alias("all_pairs")).unionByName(
+        per_model.agg(F.lit(0).cast("long").alias("compared"), pairs.alias("all_pairs"))).agg(
+        F.sum("compared").alias("compared"), F.sum("all_pairs").alias("all_pairs"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -128,6 +128,18 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def vector_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A search without filters for every stored vector whose number 50 divides."""
+    e = table(spark, sf, "embeddings", "vec_id", "label", "embedding").filter("vec_id % 50 = 0")
+    nothing = {"sources": "array<string>", "remote_only": "boolean", "minimum_salary": "double",
+               "location": "string"}
+    return e.select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("request_id"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+        F.when(F.col("label") % 2 == 0, MODELS[0]).otherwise(MODELS[1]).alias("model_name"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+
+
 ROLES = {
     "HOUSEHOLD": ["The", "of"], "FURNITURE": ["und"], "MACHINERY": [],
     "BUILDING": ["la", "de"], "AUTOMOBILE": ["en_"],

@@ -230,18 +230,38 @@ _SHOWN = """id, source, title, company, "location", remote, salary_min, salary_m
 _DOT = "list_cosine_similarity(e.embedding::DOUBLE[], r.vector::DOUBLE[])"
 
 
-def _search(pool: int, k: int, fresh: bool = False) -> str:
-    return CHUNKS + ", " + REQUESTS + f""", near AS (SELECT r.request_id, e.id AS chunk_id,
+VECTOR_REQUESTS = """requests AS (SELECT label, 'v' || vec_id AS request_id,
+  embedding::DOUBLE[] AS vector, CASE WHEN label % 2 = 0 THEN 'model-0' ELSE 'model-1' END
+  AS model_name FROM embeddings WHERE vec_id % 50 = 0)"""
+
+_FILTERED = """(r.label <> 2 OR p.source IN ('src0','src1','src2','src3','src4','src5','src6',
+      'src7','src8','src9'))
+    AND (r.label % 3 <> 0 OR p.remote) AND (r.label % 4 <> 1 OR p.salary_max >= 10000)
+    AND (r.label <> 5 OR p."location" ILIKE '%D%')
+    AND (r.label <> 8 OR p."location" ILIKE '%_r%')"""
+
+_PROBED = f"""centres AS (SELECT embedding::DOUBLE[] AS centre,
+  row_number() OVER (ORDER BY sha256(vec_id::VARCHAR)) AS list_id FROM embeddings
+  QUALIFY list_id <= {queries.LISTS}),
+listed AS (SELECT id, list_id FROM chunks, centres QUALIFY row_number() OVER (PARTITION BY id
+  ORDER BY list_cosine_similarity(embedding::DOUBLE[], centre) DESC, list_id) = 1),
+probed AS (SELECT request_id, list_id FROM requests, centres QUALIFY row_number() OVER (
+  PARTITION BY request_id ORDER BY list_cosine_similarity(vector, centre) DESC, list_id)
+  <= {queries.PROBES})"""
+
+
+def _search(pool: int, k: int, fresh: bool = False, requests: str = REQUESTS,
+            where: str = _FILTERED, lists: bool = False) -> str:
+    return CHUNKS + ", " + requests + (", " + _PROBED if lists else "") + f""",
+near AS (SELECT r.request_id, e.id AS chunk_id,
   e.job_posting_id, 1 - {_DOT} AS distance, row_number() OVER (PARTITION BY r.request_id
     ORDER BY 1 - {_DOT}, e.id) AS pool_rank
   FROM chunks e JOIN postings p ON p.id = e.job_posting_id
     {"AND p.content_hash = e.content_hash" if fresh else ""}
   JOIN requests r ON r.model_name = e.model_name
-  WHERE (r.label <> 2 OR p.source IN ('src0','src1','src2','src3','src4','src5','src6','src7',
-      'src8','src9'))
-    AND (r.label % 3 <> 0 OR p.remote) AND (r.label % 4 <> 1 OR p.salary_max >= 10000)
-    AND (r.label <> 5 OR p."location" ILIKE '%D%')
-    AND (r.label <> 8 OR p."location" ILIKE '%_r%')),
+  {"""JOIN listed l ON l.id = e.id
+  JOIN probed b ON b.request_id = r.request_id AND b.list_id = l.list_id""" if lists else ""}
+  WHERE {where}),
 best AS (SELECT *, row_number() OVER (PARTITION BY request_id, job_posting_id
   ORDER BY distance, chunk_id) AS rn FROM near WHERE pool_rank <= {pool}),
 top AS (SELECT request_id, job_posting_id, chunk_id, round(1 - distance, 6) AS similarity,
@@ -440,6 +460,14 @@ SELECT p.id AS profile_id, h.rank::INTEGER AS rank, h.id, h."location", h.remote
   base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
     q["semantic_search_fresh"] = f"""WITH {_search(200, 20, True)} SELECT request_id,
   base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
+    q["approximate_topk"] = f"""WITH {_search(100, 10, False, VECTOR_REQUESTS, 'true', True)}
+  SELECT request_id, base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity
+  FROM top"""
+    q["approximate_search"] = f"""WITH exact AS (WITH {_search(100, 10)} SELECT * FROM top),
+found AS (WITH {_search(100, 10, lists=True)} SELECT * FROM top)
+SELECT request_id, count(*) AS wanted, count(f.chunk_id) AS found,
+  round(count(f.chunk_id) / count(*), 4) AS recall
+  FROM exact LEFT JOIN found f USING (request_id, job_posting_id) GROUP BY request_id"""
     q["feedback_rerank"] = f"""WITH {_search(100, 10)}, {FEEDBACK}, moved AS (
   SELECT t.request_id, t.base_rank, t.job_posting_id, t.similarity AS base_similarity, f.feedback,
   CASE f.feedback WHEN 'good' THEN 0.05::DOUBLE WHEN 'bad' THEN -0.10::DOUBLE

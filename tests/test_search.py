@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from pyspark.sql import functions as F
 
 from jobspark.operators import block_top, embedding, search
+from jobspark.plans import bridge, queries
 
 PLACES = ["Berlin", "New York, NY", "York_100%", None, "new york"]
 
@@ -268,6 +269,48 @@ def test_approximate_search_finds_most(spark):
     assert 0.4 <= score <= 1.0
 
 
+def test_lists_in_small_blocks_equal_exact_search(spark):
+    postings, chunks, requests = make(4, n=90)
+    # One list holds a third of all chunks; one chunk has no vector, one request only zeros.
+    chunks += [(f"s0:000#x{i}", f"s{i % 3}:{i % 90:03d}", [1.0, 0.01 * i, 0.0, 0.0, 0.0, 0.0], "m",
+                "h") for i in range(1, 60)] + [("none", "s0:000", None, "m", "h")]
+    requests.append(("r7", [0.0] * 6, "m", None, False, None, None))
+    r, c, p = frames(spark, postings, chunks, requests)
+    centres = [[float(i == j) for i in range(6)] for j in range(6)]
+    listed = search.with_list(c, centres)
+    assert listed.filter("list_id IS NULL").count() == 1
+    assert listed.groupBy("list_id").count().agg(F.max("count")).first()[0] > 60
+    exact = got(search.search(r, c, p, top_k=5))
+    for rows_, asked in ((20_000, 4_000), (7, 2)):
+        found = search.approximate_search(r, listed, p, centres, probes=6, top_k=5,
+                                          list_rows=rows_, list_requests=asked)
+        assert got(found) == exact
+    fresh = search.approximate_search(r, listed, p, centres, probes=6, top_k=5, fresh_only=True)
+    assert got(fresh) == got(search.search(r, c, p, top_k=5, fresh_only=True))
+    few = search.probed_pairs(r, listed, centres, 2).first()
+    assert few["compared"] < few["all_pairs"]
+    every = search.probed_pairs(r, listed.filter("embedding IS NOT NULL"), centres, 6).first()
+    assert every["compared"] == every["all_pairs"]
+
+
+def test_lists_of_empty_tables(spark):
+    r, c, p = frames(spark, *make(4, n=9))
+    centres = [[1.0] * 6, [-1.0] * 6]
+    listed = search.with_list(c.limit(0), centres)
+    assert search.approximate_search(r, listed, p, centres).count() == 0
+    assert search.approximate_search(
+        r.limit(0), search.with_list(c, centres), p, centres).count() == 0
+
+
+def test_recall_of_the_registered_search(spark):
+    found = queries.QUERIES["approximate_search"](spark, SF)
+    assert found.agg(F.sum("found") / F.sum("wanted")).first()[0] >= 0.9
+    asked, stored = bridge.vector_requests(spark, SF), bridge.chunks(spark, SF)
+    exact = search.search(asked, stored, bridge.postings(spark, SF), top_k=10)
+    share = search.recall(queries.QUERIES["approximate_topk"](spark, SF), exact)
+    assert share.agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_text_search_equals_brute_force(spark):
     words = "spark table query join shuffle key bucket stream window skew".split()
     rnd = random.Random(8)
