@@ -159,7 +159,8 @@ def _score(pool: int):
             for first in range(0, len(members), width):
                 part = members[first: first + width]
                 wanted = _unit(_stack(req["vector"].iloc[part]))
-                distance = 1.0 - near_to @ wanted.T
+                # Equal vectors are equally far, whatever the last bits of their sums.
+                distance = np.round(1.0 - near_to @ wanted.T, 12)
                 distance[np.isnan(distance)] = np.inf  # a vector of zeros is near nothing
                 near = np.isfinite(distance)
                 if len(rows) > pool:

@@ -188,6 +188,21 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """A request by every customer whose number 50 divides; some have no account here."""
+    c = table(spark, sf, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal").filter(
+        "c_custkey % 50 = 0")
+    n = F.col("c_custkey")
+    return c.select(
+        F.concat(F.lit("q"), n.cast("string")).alias("request_id"),
+        F.concat(F.upper("c_name"), F.when(n % 350 == 0, "@nowhere.example.com").otherwise(
+            "@example.com ")).alias("user_email"),
+        F.concat(F.lit("  work of\tthe "), F.lower("c_mktsegment")).alias("query"),
+        (n % 200 == 0).alias("remote_only"),
+        F.when(F.col("c_acctbal") > 2000, F.lit(2000.0)).alias("minimum_salary"),
+        F.when(n % 150 == 0, F.lit("e")).alias("location"))
+
+
 STAGE_OF = {
     "1-URGENT": "interviewing", "2-HIGH": "applied", "3-MEDIUM": "saved",
     "4-NOT SPECIFIED": "rejected", "5-LOW": "offer",

@@ -250,6 +250,39 @@ probed AS (SELECT request_id, list_id FROM requests, centres QUALIFY row_number(
   <= {queries.PROBES})"""
 
 
+def _vectors(name: str, source: str, dimension: int) -> str:
+    """Hashed word counts of unit length, of a relation with key and body."""
+    return f"""{name}_n AS (SELECT key, ('0x' || substr(md5(w), 1, 7))::INTEGER % {dimension} AS d,
+  count(*) AS n FROM (SELECT key, unnest(string_split(lower({_clean('body')}), ' ')) AS w
+    FROM ({source})) GROUP BY ALL),
+{name}_k AS (SELECT key, sqrt(sum(n * n)) AS len FROM {name}_n GROUP BY key),
+{name} AS (SELECT k.key, list((coalesce(c.n, 0) / k.len)::FLOAT ORDER BY g.i) AS embedding
+  FROM {name}_k k CROSS JOIN (SELECT unnest(range({dimension})) AS i) g
+  LEFT JOIN {name}_n c ON c.key = k.key AND c.d = g.i GROUP BY k.key)"""
+
+
+_PIECES = f"""pieces AS (SELECT job_posting_id || '#' || chunk_index AS id, job_posting_id,
+  chunk_index, chunk_text FROM {_chunked(_BODY, 1000, 150)})"""
+
+
+def _text_search(requests: str, where: str, k: int) -> str:
+    """Over vectors of all chunks; ``requests`` has request_id, body and filters."""
+    return f"""{POSTINGS}, {_PIECES}, requests AS ({requests}),
+{_vectors("cv", "SELECT id AS key, chunk_text AS body FROM pieces", 256)},
+{_vectors("rv", "SELECT request_id AS key, body FROM requests", 256)},
+near AS (SELECT r.request_id, e.id AS chunk_id, e.job_posting_id,
+  round(1 - list_cosine_similarity(c.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS distance,
+  FROM requests r JOIN rv v ON v.key = r.request_id CROSS JOIN pieces e
+  JOIN cv c ON c.key = e.id JOIN postings p ON p.id = e.job_posting_id WHERE {where}),
+pool AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, chunk_id)
+  AS pool_rank FROM near QUALIFY pool_rank <= 50),
+best AS (SELECT *, row_number() OVER (PARTITION BY request_id, job_posting_id
+  ORDER BY distance, chunk_id) AS rn FROM pool),
+top AS (SELECT request_id, job_posting_id, chunk_id, round(1 - distance, 6) AS similarity,
+  row_number() OVER (PARTITION BY request_id ORDER BY 1 - distance DESC, job_posting_id)
+    AS base_rank FROM best WHERE rn = 1 QUALIFY base_rank <= {k})"""
+
+
 def _search(pool: int, k: int, fresh: bool = False, requests: str = REQUESTS,
             where: str = _FILTERED, lists: bool = False) -> str:
     return CHUNKS + ", " + requests + (", " + _PROBED if lists else "") + f""",
@@ -460,6 +493,36 @@ SELECT p.id AS profile_id, h.rank::INTEGER AS rank, h.id, h."location", h.remote
   base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
     q["semantic_search_fresh"] = f"""WITH {_search(200, 20, True)} SELECT request_id,
   base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
+    benchmark = f"SELECT item_id::VARCHAR AS request_id, {_clean('text')} AS body FROM benchmark"
+    q["text_search"] = f"""WITH {_text_search(benchmark, 'true', 5)} SELECT request_id,
+  base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity FROM top"""
+    asked = f"""SELECT 'q' || user_id AS request_id, user_id, f.id AS profile_id,
+  'work of the ' || seniority || CASE WHEN len(target_roles) > 0
+    THEN '. Target roles: ' || array_to_string(target_roles, ', ') ELSE '' END AS body,
+  user_id::BIGINT % 200 = 0 OR remote_preference = 'remote_only' AS only_remote,
+  CASE WHEN salary_min > 2000 THEN 2000 ELSE salary_min END::DOUBLE AS least,
+  CASE WHEN user_id::BIGINT % 150 = 0 THEN 'e' WHEN len(locations_preferred) = 1
+    AND lower(locations_preferred[1]) <> 'remote' THEN locations_preferred[1] END AS place
+  FROM profiles f WHERE user_id::BIGINT % 50 = 0 AND user_id::BIGINT % 350 <> 0"""
+    fits = """(NOT r.only_remote OR p.remote) AND (r.least IS NULL OR p.salary_max >= r.least)
+    AND (coalesce(r.place, '') = '' OR p."location" ILIKE '%' || trim(r.place) || '%')"""
+    q["profile_search"] = f"""WITH {PROFILES}, {FEEDBACK}, {_text_search(asked, fits, 5)},
+moved AS (SELECT t.*, r.user_id, r.profile_id, f.feedback, round(greatest(0, least(1,
+    t.similarity + CASE f.feedback WHEN 'good' THEN 0.05::DOUBLE WHEN 'bad' THEN -0.10::DOUBLE
+      WHEN 'skip' THEN -0.04::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS adjusted
+  FROM top t JOIN requests r USING (request_id) LEFT JOIN feedback f
+    ON f.user_id = r.user_id AND f.job_posting_id = t.job_posting_id)
+SELECT request_id, user_id, profile_id, row_number() OVER (PARTITION BY request_id
+    ORDER BY adjusted DESC, base_rank)::INTEGER AS rank, job_posting_id, chunk_id,
+  similarity AS base_similarity, feedback, adjusted AS similarity FROM moved"""
+    q["profile_search_refused"] = """SELECT 'q' || c_custkey AS request_id,
+  'unknown user' AS error FROM customer WHERE c_custkey % 350 = 0"""
+    q["embed_vectors"] = f"""WITH {POSTINGS}, {_PIECES},
+{_vectors("cv", "SELECT id AS key, chunk_text AS body FROM pieces", 64)},
+places AS (SELECT key, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM cv)
+SELECT p.id, p.chunk_index, md5(p.chunk_text) AS chunk_hash, v.vector FROM pieces p JOIN (
+  SELECT key, string_agg(i || ':' || round(x * 1000000)::BIGINT, ' ' ORDER BY i) AS vector
+  FROM places WHERE round(x * 1000000) > 0 GROUP BY key) v ON v.key = p.id"""
     q["approximate_topk"] = f"""WITH {_search(100, 10, False, VECTOR_REQUESTS, 'true', True)}
   SELECT request_id, base_rank::INTEGER AS base_rank, job_posting_id, chunk_id, similarity
   FROM top"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import domains, schemas, session
 from ..functions import rules, text, vectors
 from ..operators import (
-    board, browse, chunking, embedding, folds, insight, merge, people, prepare, quality,
+    asking, board, browse, chunking, embedding, folds, insight, merge, people, prepare, quality,
     runlog, search,
 )
 from ..sources import feeds
@@ -265,6 +265,21 @@ def embed_postings(spark, sf):
         F.round(F.max(vectors.norm("embedding")), 4).alias("most_norm"))
 
 
+@query
+def embed_vectors(spark, sf):
+    """Every chunk of every posting: its text's hash, and the places of its vector that are
+    not zero with their values in millionths."""
+    made = embedding.embed_postings(
+        bridge.postings(spark, sf), embedding.hashing_embedder(64), "hashing-64",
+        bridge.as_of("2024-06-03"))
+    places = F.filter(F.transform("embedding", lambda x, i: F.struct(
+        i.alias("i"), F.round(x.cast("double") * 1_000_000).cast("long").alias("v"))),
+        lambda p: p["v"] > 0)
+    return made.select("id", "chunk_index", F.md5("chunk_text").alias("chunk_hash"), F.array_join(
+        F.transform(places, lambda p: F.concat_ws(":", p["i"].cast("string"),
+                                                  p["v"].cast("string"))), " ").alias("vector"))
+
+
 def _refreshed(spark, sf) -> tuple[DataFrame, DataFrame]:
     stored = bridge.chunks(spark, sf)
     todo, fresh = embedding.refresh(
@@ -342,6 +357,28 @@ def text_search(spark, sf):
     return found.select("request_id", "base_rank", "job_posting_id", "chunk_id", "similarity")
 
 
+@query
+def profile_search(spark, sf):
+    """From e-mail and text to postings re-ranked by the user's feedback."""
+    embed, model = embedding.hashing_embedder(256), "hashing-256"
+    p = bridge.postings(spark, sf)
+    found = asking.profile_search(
+        bridge.asked(spark, sf), bridge.users(spark, sf), bridge.profiles(spark, sf),
+        embedding.embed_postings(p, embed, model, bridge.as_of("2024-06-03")), p,
+        folds.feedback(bridge.feedback_actions(spark, sf)), embed, model, top_k=5)
+    return found.select(
+        "request_id", "user_id", "profile_id", "rank", "job_posting_id", "chunk_id",
+        "base_similarity", "feedback", "similarity")
+
+
+@query
+def profile_search_refused(spark, sf):
+    """Requests that cannot be answered, and why."""
+    return asking.resolved(
+        bridge.asked(spark, sf), bridge.users(spark, sf), bridge.profiles(spark, sf)
+    ).filter("error IS NOT NULL").select("request_id", "error")
+
+
 # The given vectors form no clusters, so nine of ten results need most of the lists.
 LISTS, PROBES = 24, 19
 

@@ -10,7 +10,7 @@ from conftest import SF
 
 from jobspark.plans import queries
 
-NO_SQL = {"text_search"}
+NO_SQL = set()
 
 
 @pytest.fixture(scope="module")
