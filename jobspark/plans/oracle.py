@@ -844,6 +844,13 @@ SELECT l.profile_id, any_value(n) AS jobs_analyzed,
     FROM {_chunked(_BODY, 1000, 150)} GROUP BY job_posting_id) ON job_posting_id = id
   WHERE length(title) > 0 AND length(description_text) >= 40"""
     q["feedback_stream"] = q["feedback_fold"]
+    q["application_stream"], q["bookmark_stream"] = q["application_fold"], q["bookmark_fold"]
+    q["user_stream"] = """WITH log AS (SELECT 'customer#' || lpad(user_id::VARCHAR, 9, '0')
+  || CASE WHEN event_type = 'error' THEN '@new.example.com' ELSE '@example.com' END AS email,
+  CASE WHEN event_type = 'signup' THEN 'Name ' || event_id END AS name, ts, event_id AS seq
+  FROM events)
+SELECT sha256(email) AS id, email, arg_max(name, (ts, seq)) FILTER (name IS NOT NULL)
+  AS display_name, min(ts) AS created_at FROM log GROUP BY email"""
     q["refresh_run"] = f"""WITH {FEED_A}, {FEED_B}, {FEED_C}, every AS (
   SELECT id AS job_posting_id, source, content_hash, title, body, reject_reason FROM a UNION ALL
   SELECT id, source, content_hash, title, body, reject_reason FROM b UNION ALL

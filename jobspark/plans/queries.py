@@ -11,7 +11,7 @@ from .. import domains, schemas, session
 from ..functions import rules, text, vectors
 from ..operators import (
     asking, board, browse, chunking, embedding, folds, insight, merge, people, prepare, quality,
-    runlog, search,
+    runlog, search, states,
 )
 from ..sources import feeds
 from . import bridge
@@ -605,9 +605,8 @@ def stage_transitions(spark, sf):
     return folds.transition_counts(bridge.stage_actions(spark, sf))
 
 
-@query
-def user_upsert(spark, sf):
-    logins = bridge.actions(spark, sf).select(
+def _logins(spark, sf) -> DataFrame:
+    return bridge.actions(spark, sf).select(
         F.concat(
             F.lit(" CUSTOMER#"), F.lpad("user_id", 9, "0"),
             F.when(F.col("event_type") == "error", "@new.example.com")
@@ -615,6 +614,11 @@ def user_upsert(spark, sf):
         F.when(F.col("event_type") == "signup", F.concat(
             F.lit("Name "), F.col("seq").cast("string"))).alias("display_name"),
         "ts", "seq")
+
+
+@query
+def user_upsert(spark, sf):
+    logins = _logins(spark, sf)
     return folds.users(logins, bridge.users(spark, sf))
 
 
@@ -1024,6 +1028,42 @@ def feedback_stream(spark, sf):
         c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
 
 
+def _streamed(spark, sf, actions: DataFrame, fold: states.Mergeable) -> DataFrame:
+    """The fold of actions that land in three unordered files, one per micro-batch; states
+    are merged on disk after two of them have been read, and again by the reader."""
+    from ..streaming import states as streams
+    home = session.working_dir(spark, "states")
+    ddl = ", ".join(f"`{f.name}` {'TIMESTAMP' if f.name == 'ts' else f.dataType.simpleString()}"
+                    for f in actions.schema)
+    land = lambda part: actions.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).coalesce(
+        1).write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").mode(
+        "append").json(f"{home}/landing")
+    run = lambda: streams.fold_stream(
+        spark, f"{home}/landing", ddl, f"{home}/state", fold, f"{home}/checkpoint",
+        files_per_batch=1).awaitTermination()
+    land(0), land(1), run()
+    streams.compact(spark, f"{home}/state", fold, ddl)
+    land(2), run()
+    folded = fold.finish(streams.merged(spark, f"{home}/state", fold, ddl))
+    return folded.withColumns({f.name: F.col(f.name).cast("timestamp_ntz")
+                               for f in folded.schema if f.dataType.typeName() == "timestamp"})
+
+
+@query
+def application_stream(spark, sf):
+    return _streamed(spark, sf, bridge.stage_actions(spark, sf), states.APPLICATIONS)
+
+
+@query
+def bookmark_stream(spark, sf):
+    return _streamed(spark, sf, bridge.bookmark_actions(spark, sf), states.BOOKMARKS)
+
+
+@query
+def user_stream(spark, sf):
+    return _streamed(spark, sf, _logins(spark, sf), states.USERS)
+
+
 PAGE = 100
 
 
