@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import random
 import re
 import string as letters
@@ -178,6 +179,14 @@ class Scanner:
         found: list[Span] = []
         taken: list[tuple[int, int]] = []  # places of what is found, sorted
         measured: set[int] = set()
+        # Spans of kinds may lie in each other: beside the starts, the furthest end so far.
+        known = sorted(known, key=lambda s: s[1])
+        starts = [a for _, a, _ in known]
+        furthest = list(itertools.accumulate((b for _, _, b in known), max))
+
+        def meets_known(start: int, end: int) -> bool:
+            at = bisect.bisect_left(starts, end)
+            return at > 0 and start < furthest[at - 1]
 
         def take(start: int, end: int, strings: list[str]) -> None:
             around = self.context(text, low, start, end)
@@ -207,8 +216,8 @@ class Scanner:
                     measured.add(start)
                     string = CANDIDATE.match(text, start)[0].rstrip(".")
                     end = start + len(string)
-                    if len(string) >= LEAST_NOVEL and VARIED.match(string) and not any(
-                            a < end and start < b for _, a, b in known):
+                    if len(string) >= LEAST_NOVEL and VARIED.match(string) and not meets_known(
+                            start, end):
                         parts = [x for x in string.split(".") if LEAST_PIECE <= len(x) < len(string)]
                         take(start, end, [string, *parts])
                 at = low.find(word, stop)

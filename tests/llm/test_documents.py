@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from array import array
 
@@ -424,3 +425,16 @@ def test_stages_take_empty_tables_and_nulls(spark, tmp_path):
             if name != "packing":
                 assert out.columns == docs.columns
                 docs = spark.read.parquet(path) if k else docs
+
+
+def test_many_known_spans_beside_candidates():
+    scanner = secret_scan.Scanner()
+    line = "token=abcdef{0:05d} bearer Zq8vR2m{0:05d}Xw4Lp9T hex {1}\n"
+    rng = random.Random(5)
+    text = "".join(line.format(i, "%030x" % rng.getrandbits(120)) for i in range(8000))
+    started = time.process_time()
+    base, novel = scanner.scan(text)
+    assert time.process_time() - started < 60  # every candidate against every span took minutes
+    assert len([s for s in base if s[0] == "assign"]) == 8000
+    spans = sorted((a, b) for _, a, b in base)
+    assert not any(a < end and start < b for _, start, end in novel[:200] for a, b in spans)
