@@ -217,7 +217,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known with a score of
-    at least ``least``."""
+    at least ``least``. Where nothing could be learned, all rows with a letter are kept."""
+    if not len(model["languages"]):
+        return docs.filter(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

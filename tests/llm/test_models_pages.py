@@ -251,3 +251,15 @@ def test_bounds_lose_no_link():
 def test_checkpoints_go_to_the_shared_folder(spark):
     df = common.checkpoint(spark.range(3))
     assert df.count() == 3 and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame(
+        [(1, "some words", None), (2, None, None), (3, "", None), (4, "12 34", None),
+         (5, "ж", None), (None, "more words", None), (5, "ж", None)],
+        "doc_id bigint, text string, lang string")
+    kept = language_cnn.keep_identified(docs, language_cnn.train(docs), 0.5)
+    assert kept.columns == docs.columns
+    assert sorted((r[0] or 0, r[1]) for r in kept.collect()) == [
+        (0, "more words"), (1, "some words"), (5, "ж"), (5, "ж")]
+    assert language_cnn.keep_identified(docs.limit(0), language_cnn.train(docs), 0.5).count() == 0
