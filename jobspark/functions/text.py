@@ -16,10 +16,16 @@ def clean_space(text) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+# The characters of that class.
+_WHITE = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(
-        _c(text), r"(?U)\A[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "")
+    """Without white space of any kind at both ends. Trimmed from the ends: a pattern would
+    try every character between them."""
+    return F.btrim(_c(text).cast("string"), F.lit(_WHITE))
 
 
 _BLANK, _SOLID = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"

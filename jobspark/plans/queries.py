@@ -14,6 +14,7 @@ from ..operators import (
     runlog, search, states,
 )
 from ..sources import feeds
+from ..sources.tables import spread
 from . import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -789,7 +790,7 @@ def label_mix(spark, sf):
 
 @query
 def contact_validation(spark, sf):
-    c = bridge.table(spark, sf, "customer")
+    c = spread(bridge.table(spark, sf, "customer"), "c_custkey")
     n = F.col("c_custkey")
     contacts = c.select(
         n.alias("contact_id"),
@@ -893,7 +894,7 @@ def bookmark_validation(spark, sf):
 
 @query
 def feedback_validation(spark, sf):
-    e = bridge.actions(spark, sf).select(
+    e = spread(bridge.actions(spark, sf), "seq").select(
         F.when(F.col("value") > 30, " ").otherwise(F.col("job_posting_id"))
         .alias("job_posting_id"),
         bridge.pick(F.col("event_type"), {

@@ -3,11 +3,12 @@ import re
 import time
 
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from jobspark.functions import rules, text, vectors
+from jobspark.plans import queries
 
 
 def one(spark, column, value, kind="string"):
@@ -33,6 +34,23 @@ def test_strip(spark):
     assert many(spark, text.strip("x"), values) == [v.strip() for v in values]
 
 
+def test_strip_knows_every_space_and_passes_over_inner_ones(spark):
+    ends = spark.range(1, 0x3100).select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    kept = {r[0] for r in ends.filter(text.strip(F.concat("c", F.lit("x"), "c")) != "x").collect()}
+    assert kept == {chr(i) for i in range(1, 0x3100) if chr(i).strip()}
+    # 200 MB with a space after every word: a pattern would try at each.
+    long = spark.range(400, numPartitions=8).select(
+        F.repeat(F.lit("note "), 100_000).alias("x")).select(F.length(text.strip("x")).alias("n"))
+    start = time.time()
+    assert long.agg(F.min("n"), F.max("n")).first() == (499_999, 499_999)
+    assert time.time() - start < 6
+
+
+def test_validations_are_dealt_over_the_cores(spark):
+    for query in (queries.contact_validation, queries.feedback_validation):
+        assert "REPARTITION_BY_NUM" in query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 ALPHABET = st.text(alphabet="ab \t  \x1c\u0085é", max_size=30)
 
 
