@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import domains
+from .. import domains, session
 from ..functions import text
 from . import block_top, board
 from .search import like_pattern
@@ -173,6 +175,54 @@ def _micros(ts) -> Column:
     return F.coalesce(micros, far)
 
 
+def _newest_found() -> list[Column]:
+    return [F.desc("posted"), F.desc("synced"), F.col("id")]
+
+
+# How much larger each slice of the postings is than the one before it.
+GROWTH = 4
+
+
+def _by_task(candidates: DataFrame, asked: block_top.Asked, n: int,
+             candidate_rows: int) -> DataFrame:
+    return block_top.best_per_request(
+        candidates, asked, _score(n), lambda best: _newest(best, n), _FOUND, "id", candidate_rows)
+
+
+def _slice_by_slice(candidates: DataFrame, asked: block_top.Asked, n: int,
+                    candidate_rows: int) -> DataFrame:
+    """What every request finds, for many of them: in the newest postings first, and only
+    requests that are not full yet in the next, larger slice of older ones.
+
+    All blocks at once would give ``n`` rows per request and block; here a request that
+    older postings must still serve has found few, so the rows stay near the result's.
+    """
+    spark = candidates.sparkSession
+    blocks = max(1, ceil(candidates.count() / candidate_rows))
+    path = session.working_dir(spark, "newest-first")
+    candidates.repartitionByRange(blocks, *_newest_found()).withColumn(
+        "slice", F.spark_partition_id()).write.parquet(f"{path}/candidates")
+    ordered = spark.read.parquet(f"{path}/candidates")
+    found, first, size = [], 0, 1
+    while True:
+        part = ordered.filter(F.col("slice").between(first, first + size - 1)).drop("slice")
+        at = f"{path}/found-{len(found)}"
+        ranked(_by_task(part, asked, n, candidate_rows), ["request_id"], _newest_found(), n,
+               "rank").drop("rank").write.parquet(at)
+        found.append(at)
+        first, size = first + size, size * GROWTH
+        if first >= blocks:
+            break
+        full = spark.read.schema(_FOUND).parquet(*found).groupBy("request_id").agg(
+            F.count("*").alias("rows")).filter(F.col("rows") >= n)
+        left = f"{path}/asked-{len(found)}"
+        asked.frame.join(full, "request_id", "left_anti").write.parquet(left)
+        asked = block_top.measure(spark.read.parquet(left), asked.request_rows, asked.request_bytes)
+        if not asked.rows:
+            break
+    return spark.read.schema(_FOUND).parquet(*found)
+
+
 def relevant_postings(profiles: DataFrame, postings: DataFrame, limit: int = 25,
                       condition: Column | None = None,
                       candidate_rows: int = block_top.CANDIDATE_ROWS, **limits) -> DataFrame:
@@ -199,11 +249,10 @@ def relevant_postings(profiles: DataFrame, postings: DataFrame, limit: int = 25,
         "id", F.lower("title").alias("title"), F.lower("location").alias("location"),
         "remote", F.col("salary_max").cast("double").alias("salary_max"),
         _micros("posted_at").alias("posted"), _micros("synced_at").alias("synced"))
-    found = block_top.best_per_request(
-        candidates, block_top.measure(requests, **limits), _score(n),
-        lambda best: _newest(best, n), _FOUND, "id", candidate_rows)
-    top = ranked(found, ["request_id"],
-                 [F.desc("posted"), F.desc("synced"), F.col("id")], n, "rank")
+    asked = block_top.measure(requests, **limits)
+    found = (_by_task(candidates, asked, n, candidate_rows) if asked.local is not None
+             else _slice_by_slice(candidates, asked, n, candidate_rows))
+    top = ranked(found, ["request_id"], _newest_found(), n, "rank")
     return (
         preferences.select("profile_id", "request_id").join(top, "request_id")
         .select("profile_id", "rank", "id").join(shown(chosen), "id")

@@ -77,6 +77,22 @@ def test_relevant_postings_equal_brute_force(spark, limits):
     assert len(got.first()["description_preview"]) == 300
 
 
+def test_full_requests_are_not_asked_again(spark, monkeypatch):
+    """With many requests older postings are only looked through for those not yet full."""
+    _, df = postings(spark)
+    made, whole = [], browse._by_task
+
+    def watched(candidates, asked, n, candidate_rows):
+        found = whole(candidates, asked, n, candidate_rows)
+        made.append((asked.rows, candidates.count()))
+        return found
+
+    monkeypatch.setattr(browse, "_by_task", watched)
+    browse.relevant_postings(profile_frame(spark), df, 1, request_rows=2, candidate_rows=20).count()
+    assert len(made) > 1 and made[0][0] > made[-1][0]
+    assert sum(rows for _, rows in made) <= df.count()
+
+
 def test_extra_condition_and_no_profiles(spark):
     _, df = postings(spark)
     got = browse.relevant_postings(profile_frame(spark), df, 200, browse.is_remote())
