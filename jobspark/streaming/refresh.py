@@ -31,6 +31,7 @@ def postings_stream(spark: SparkSession, landing: str, store_path: str, checkpoi
         version = number + 1
         ready = store.staged("batch", prepare.prepare(df, ["ingest_seq"]))
         refresh.sync_postings(store, ready, as_of, version)
+        store.drop_staged("batch")
         refresh.embed_pending(store, embedder, model, as_of, version=version)
         store.drop_staged()
 

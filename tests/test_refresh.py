@@ -60,6 +60,14 @@ def test_run_twice_and_then_change(spark, tmp_path):
     assert runlog.latest(log).first()["synced_rows"] == 2
 
 
+def test_stored_steps_go_once_nothing_reads_them(spark, tmp_path):
+    store = refresh.Store(spark, str(tmp_path / "store"))
+    first, second = (store.staged(name, spark.range(3)) for name in ("raw", "prepared"))
+    store.drop_staged("raw")
+    left = [p.name.split("-")[0] for p in (tmp_path / "store" / "_staged").glob("*/*")]
+    assert left == ["prepared"] and second.count() == 3
+
+
 def test_stale_flags_are_stored(spark, tmp_path):
     feed, home = tmp_path / "a", str(tmp_path / "store")
     land(feed, [posting(1)])
