@@ -14,7 +14,7 @@ from ..operators import (
     runlog, search, states,
 )
 from ..sources import feeds
-from ..sources.tables import spread
+from ..sources.tables import dealt, spread
 from . import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,7 +577,8 @@ def saved_with_posting(spark, sf):
 
 @query
 def note_ownership(spark, sf):
-    counted = bridge.notes(spark, sf).groupBy("application_id", "user_id").agg(
+    notes = dealt(bridge.notes(spark, sf), "application_id", "user_id")
+    counted = notes.groupBy("application_id", "user_id").agg(
         F.count("*").alias("notes"))
     accepted, refused = board.own_notes(counted, bridge.applications(spark, sf))
     return accepted.withColumn("accepted", F.lit(True)).unionByName(

@@ -9,6 +9,7 @@ leaves the former state as it was.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -35,6 +36,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if splits >= min(cores, FEW_SPLITS) else df.repartition(cores, key)
 
 
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """Rows by their keys over as many tasks as hold about ``rows`` each.
+
+    For groups and joins by keys that hardly repeat: a table read in large splits would
+    fill the memory of a task, as nothing is merged before the shuffle. A number given
+    here is one that AQE leaves alone.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, ceil(df.count() / rows)), *keys)
+
+
 def bucket_of(keys: Iterable[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 

@@ -81,3 +81,13 @@ print("fine")
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env,
                           capture_output=True, text=True, timeout=300)
     assert done.stdout.strip() == "fine", done.stderr[-2000:]
+
+
+def test_notes_are_counted_in_small_parts(spark):
+    """Keys that hardly repeat are dealt out before they are grouped."""
+    from jobspark.sources import tables
+
+    df = spark.range(1000)
+    assert tables.dealt(df, "id", rows=10).rdd.getNumPartitions() == 100
+    plan = queries.note_ownership(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
