@@ -102,28 +102,26 @@ def zones(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> Data
     least = math.ceil(LEAST * sizes[0] - 1e-9)
     gap = math.floor(FOREIGN * sizes[1] + 1e-9) + 1
 
-    def held(h: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(F.col("bits"), _place(h)), _bit(h)).bitwiseAND(F.lit(1)) == 1
-
-    # A scalar subquery; the optimiser moves it to where it is used, so no row carries it.
-    hashed = docs.select(F.col(id_col).alias("id"), shingles(
-        words(F.col(text_col).cast("string"))).alias("all"), bitmap(parts).scalar().alias("bits"))
-    at = hashed.select("id", "all", F.array_compact(
-        F.transform("all", lambda h, i: F.when(held(h), i))).alias("at")).filter(F.size("at") >= least)
-
-    def before(i: Column) -> Column:
-        return F.get(F.col("at"), i - 1)
-
-    def after(i: Column) -> Column:
-        return F.get(F.col("at"), i + 1)
-
-    first = F.filter("at", lambda p, i: (i == 0) | (p - before(i) > gap))
-    last = F.filter("at", lambda p, i: (i == F.size("at") - 1) | (after(i) - p > gap))
-    ends = at.select("id", "all", F.inline(F.zip_with(
-        first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end")))))
-    return ends.select("id", "start", F.slice(
-        "all", F.col("start") + 1, F.col("end") - F.col("start") + 1).alias("content")).filter(
-        F.size("content") >= least)
+    def held(bits: Column, h: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(bits, _place(h)), _bit(h)).bitwiseAND(F.lit(1)) == 1
+
+    def of(every: Column, at: Column) -> Column:
+        first = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > gap))
+        last = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - p > gap))
+        long = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end"))),
+                        lambda z: z["end"] - z["start"] >= least - 1)
+        return F.transform(long, lambda z: F.struct(z["start"].alias("start"), F.slice(
+            every, z["start"] + 1, z["end"] - z["start"] + 1).alias("content")))
+
+    # A scalar subquery that is used once: the optimiser moves it there, so no row carries it.
+    # An outer generator has no conditions that could be moved below it and make the shingles again.
+    held_by = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+                          bitmap(parts).scalar().alias("bits"))
+    found = let(shingles(words("text")), lambda every: let(
+        F.array_compact(F.transform(every, lambda h, i: F.when(held(F.col("bits"), h), i))),
+        lambda at: F.when(F.size(at) >= least, of(every, at))))
+    return held_by.select("id", found.alias("zones")).select("id", F.inline_outer("zones")).filter(
+        "content is not null")
 
 
 LANE = 16  # bits of a packed count

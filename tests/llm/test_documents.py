@@ -237,6 +237,13 @@ def test_decontamination_runs_no_python(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_texts_are_cut_into_shingles_once(spark):
+    sf = "/root/testdata/sf0.001"
+    parts = common.checkpoint(decontamination.items(common.table(spark, sf, "benchmark", "item_id", "text")))
+    found = decontamination.zones(common.table(spark, sf, "documents", "doc_id", "text"), parts, "doc_id", "text")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+
+
 # ---- secrets -----------------------------------------------------------------------------
 
 def simple_base(text):
