@@ -104,21 +104,52 @@ def _wanted(sources) -> list[str]:
     return [] if sources is None else [s.lower() for s in sources if s]
 
 
-def _eligible(cand: pd.DataFrame, model, sources, remote_only, salary, location) -> np.ndarray:
-    ok = (cand["model_name"] == model).to_numpy()
-    wanted = _wanted(sources)
-    if wanted:
-        ok &= cand["source"].isin(wanted).to_numpy()
-    if remote_only:
-        ok &= np.fromiter((v is True or v is np.True_ for v in cand["remote"]), bool, len(cand))
-    if salary is not None and not pd.isna(salary):
-        ok &= cand["salary_max"].to_numpy(dtype="float64", na_value=np.nan) >= salary
-    if location:
+class _Facts:
+    """The filters on a block of candidates. Masks by value are shared by its requests."""
+
+    def __init__(self, cand: pd.DataFrame):
+        self.source = cand["source"]
+        self.remote = np.fromiter((v is True or v is np.True_ for v in cand["remote"]), bool, len(cand))
+        self.salary = cand["salary_max"].to_numpy(dtype="float64", na_value=np.nan)
+        self.location = cand["location"].to_numpy(dtype=object)
+        self._masks: dict = {}
+
+    def _mask(self, key, make) -> np.ndarray:
+        if key not in self._masks:
+            if len(self._masks) >= 1000:
+                self._masks.clear()
+            self._masks[key] = make()
+        return self._masks[key]
+
+    def _at(self, location: str) -> np.ndarray:
         fits = like_pattern(location.strip()).fullmatch
-        names = cand["location"].to_numpy(dtype=object)
-        hit = {n: isinstance(n, str) and bool(fits(n)) for n in set(names)}
-        ok &= np.fromiter((hit[n] for n in names), bool, len(names))
-    return ok
+        hit = {n: isinstance(n, str) and bool(fits(n)) for n in set(self.location)}
+        return np.fromiter((hit[n] for n in self.location), bool, len(self.location))
+
+    def admitted(self, rows: np.ndarray, sources, remote_only, salary, location) -> np.ndarray:
+        """Which of some rows meet the filters, as a mask."""
+        ok = np.ones(len(rows), bool)
+        wanted = _wanted(sources)
+        if wanted:
+            ok &= self._mask(tuple(wanted), lambda: self.source.isin(wanted).to_numpy())[rows]
+        if remote_only:
+            ok &= self.remote[rows]
+        if salary is not None and not pd.isna(salary):
+            ok &= self.salary[rows] >= salary
+        if location:
+            ok &= self._mask(location, lambda: self._at(location))[rows]
+        return ok
+
+
+def _grouped(req: pd.DataFrame) -> dict:
+    """model -> vector -> filters -> positions of the requests that share all of them."""
+    groups: dict = {}
+    for pos, row in enumerate(req[_FILTERS].itertuples(index=False)):
+        key = tuple(tuple(v) if isinstance(v, (list, np.ndarray)) else
+                    None if isinstance(v, float) and np.isnan(v) else v for v in row)
+        vector = np.asarray(req["vector"].iloc[pos], np.float64).tobytes()
+        groups.setdefault(key[0], {}).setdefault(vector, {}).setdefault(key[1:], []).append(pos)
+    return groups
 
 
 def _keep_nearest(near: pd.DataFrame, pool: int) -> pd.DataFrame:
@@ -127,52 +158,60 @@ def _keep_nearest(near: pd.DataFrame, pool: int) -> pd.DataFrame:
     return near[near.groupby("request_id", sort=False).cumcount() < pool]
 
 
+def _farthest(best: pd.DataFrame, pool: int) -> dict:
+    """The largest distance of each request that has a full pool: what is farther away in
+    later blocks cannot count."""
+    of = best.groupby("request_id", sort=False)["distance"].agg(["size", "max"])
+    return of["max"][of["size"] >= pool].to_dict()
+
+
 def _score(pool: int):
-    def score(cand: pd.DataFrame, req: pd.DataFrame) -> pd.DataFrame:
+    last: list = []  # requests that come with every block, and their groups
+
+    def score(cand: pd.DataFrame, req: pd.DataFrame, farthest: dict | None = None) -> pd.DataFrame:
         empty = pd.DataFrame(columns=["request_id", "chunk_id", "job_posting_id",
                                       "content_hash", "distance"])
         if not len(cand) or not len(req):
             return empty
+        if not last or last[0] is not req:
+            last[:] = [req, _grouped(req)]
         ids, owners, hashes = (
             cand[c].to_numpy() for c in ("id", "job_posting_id", "content_hash"))
-        found = []
-        # Requests that share their filters share one mask and one matrix product.
-        keys = [tuple(tuple(v) if isinstance(v, (list, np.ndarray)) else v for v in row)
-                for row in req[_FILTERS].itertuples(index=False)]
-        groups: dict = {}
-        for pos, key in enumerate(keys):
-            key = tuple(None if isinstance(v, float) and np.isnan(v) else v for v in key)
-            groups.setdefault(key, []).append(pos)
-        by_model: dict = {}
-        for key, members in groups.items():
-            model = key[0]
-            if model not in by_model:  # models may differ in dimension
-                at = np.flatnonzero((cand["model_name"] == model).to_numpy())
-                unit = _unit(_stack(cand["embedding"].iloc[at])) if len(at) else None
-                by_model[model] = at, unit
-            at, unit = by_model[model]
-            kept = np.flatnonzero(_eligible(cand, *key)[at])
-            if not len(kept):
+        by_id = np.empty(len(ids), np.int64)
+        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        names, facts = req["request_id"].to_numpy(), _Facts(cand)
+        who, what, far = [], [], []
+        for model, vectors in last[1].items():  # models may differ in dimension
+            at = np.flatnonzero((cand["model_name"] == model).to_numpy())
+            if not len(at):
                 continue
-            rows, near_to = at[kept], unit if len(kept) == len(at) else unit[kept]
-            width = max(1, _CELLS // len(rows))
-            for first in range(0, len(members), width):
-                part = members[first: first + width]
-                wanted = _unit(_stack(req["vector"].iloc[part]))
+            unit, each = _unit(_stack(cand["embedding"].iloc[at])), list(vectors.values())
+            width = max(1, _CELLS // len(at))
+            for first in range(0, len(each), width):
+                part = each[first: first + width]
+                wanted = _unit(_stack(req["vector"].iloc[[next(iter(x.values()))[0] for x in part]]))
                 # Equal vectors are equally far, whatever the last bits of their sums.
-                distance = np.round(1.0 - near_to @ wanted.T, 12)
+                distance = np.round(1.0 - wanted @ unit.T, 12)
                 distance[np.isnan(distance)] = np.inf  # a vector of zeros is near nothing
-                near = np.isfinite(distance)
-                if len(rows) > pool:
-                    near &= distance <= np.partition(distance, pool - 1, axis=0)[pool - 1]
-                i, j = np.nonzero(near)
-                names = req["request_id"].to_numpy()[part]
-                found.append(_keep_nearest(pd.DataFrame({
-                    "request_id": names[j], "chunk_id": ids[rows[i]],
-                    "job_posting_id": owners[rows[i]], "content_hash": hashes[rows[i]],
-                    "distance": distance[i, j],
-                }), pool))
-        return pd.concat(found, ignore_index=True) if found else empty
+                for row, alike in zip(distance, part):
+                    for filters, members in alike.items():
+                        most = max(farthest.get(names[m], np.inf) for m in members) if farthest else np.inf
+                        near = np.flatnonzero((row <= most) & (row < np.inf))
+                        near = near[facts.admitted(at[near], *filters)]
+                        if len(near) > pool:
+                            there = row[near]
+                            near = near[there <= np.partition(there, pool - 1)[pool - 1]]
+                            near = near[np.lexsort((by_id[at[near]], row[near]))[:pool]]
+                        for m in members if len(near) else ():
+                            who.append(np.full(len(near), m))
+                            what.append(at[near])
+                            far.append(row[near])
+        if not who:
+            return empty
+        j, i = np.concatenate(who), np.concatenate(what)
+        return pd.DataFrame({
+            "request_id": names[j], "chunk_id": ids[i], "job_posting_id": owners[i],
+            "content_hash": hashes[i], "distance": np.concatenate(far)})
 
     return score
 
@@ -222,7 +261,7 @@ def _draw(asked: block_top.Asked, candidates: DataFrame, pool: int, candidate_ro
     """The ``pool`` nearest of the candidate chunks."""
     return _nearest(block_top.best_per_request(
         _candidates(candidates), asked, _score(pool), lambda best: _keep_nearest(best, pool),
-        _NEAR, "id", candidate_rows), pool)
+        _NEAR, "id", candidate_rows, lambda best: _farthest(best, pool)), pool)
 
 
 def _facts(postings: DataFrame, fresh_only: bool) -> tuple[DataFrame, list[str]]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
@@ -352,3 +353,30 @@ def test_text_search_equals_brute_force(spark):
         want += [(rid, n, round(1 - d, 5)) for n, d in enumerate(sorted(best.values())[:5], 1)]
     assert [(r, n) for r, n, *_ in found] == [(r, n) for r, n, _ in sorted(want)]
     assert [s for *_, s in found] == pytest.approx([s for *_, s in sorted(want)], abs=1e-4)
+
+
+def test_blocks_of_many_requests_equal_brute_force():
+    rnd = np.random.default_rng(3)
+    cand = pd.DataFrame({
+        "id": [f"c{i:03d}" for i in range(200)], "job_posting_id": "p", "content_hash": "h",
+        "embedding": [rnd.integers(-2, 3, 3).astype(float) for _ in range(200)], "model_name": "m",
+        "source": "s", "remote": [bool(i % 2) for i in range(200)],
+        "salary_max": [float(i) if i % 5 else None for i in range(200)], "location": "Berlin"})
+    vectors = [np.array(v) for v in ([1.0, 0, 0], [1.0, 2, 0], [0.0, 0, 0])]
+    req = pd.DataFrame([(f"r{i}", vectors[i % 3], "m", None, i % 2 == 0, float(i) if i % 4 else None, "b_rl")
+                        for i in range(60)], columns=search.REQUEST_FIELDS)
+    score = search._score(7)
+    first, second = score(cand[:100], req), cand[100:]
+    best = search._keep_nearest(first, 7)
+    later = score(second, req, search._farthest(best, 7))
+    assert len(later) < len(score(second, req))  # what is too far away is left out
+    found = search._keep_nearest(pd.concat([best, later], ignore_index=True), 7)
+    for _, r in req.iterrows():
+        want = []
+        for _, c in cand.iterrows():
+            size = np.linalg.norm(c["embedding"]) * np.linalg.norm(r["vector"])
+            if size and (not r["remote_only"] or c["remote"]) and (
+                    pd.isna(r["minimum_salary"]) or c["salary_max"] >= r["minimum_salary"]):
+                want.append((round(1 - c["embedding"] @ r["vector"] / size, 12), c["id"]))
+        got = found[found["request_id"] == r["request_id"]]
+        assert list(got["chunk_id"]) == [c for _, c in sorted(want)[:7]]
