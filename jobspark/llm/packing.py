@@ -24,18 +24,54 @@ from . import common
 
 SIZE = 2048
 END = 1
-CACHE = 400_000  # words whose ids a worker keeps from one group of texts, or task, to the next
-TOGETHER = 1 << 20  # characters of texts that are looked up as one group
+CACHE = 400_000  # parts whose ids a worker keeps from one group of texts, or task, to the next
+TOGETHER = 1 << 21  # bytes of texts that are looked up as one group
 
 Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def _kinds() -> np.ndarray:
+    """For each byte: 1 an ASCII letter, 2 ASCII punctuation but the apostrophe, 4 any other
+    visible ASCII sign, 8 the first byte of U+00C0 to U+00FF."""
+    kinds = np.zeros(256, np.uint8)
+    for i in range(0x21, 0x7F):
+        kinds[i] = 1 if chr(i).isalpha() else 4 if chr(i).isdigit() or chr(i) == "'" else 2
+    kinds[0xC3] = 8
+    return kinds
+
+
+KINDS = _kinds()
+LETTER, PUNCTUATION, VISIBLE, START = 1, 2, 7, 15
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    """Whether a text, as UTF-8 bytes, may be cut before each byte without changing its ids.
+
+    The vocabulary's pre-tokeniser starts a new unit at a space before a visible sign, at
+    punctuation after a letter, and at a line feed between visible signs and behind it. Not
+    every such place is found: signs beyond ASCII count as letters only from U+00C0 to U+00FF.
+    """
+    kinds = KINDS[data]
+    found = np.zeros(len(data) + 1, bool)
+    if len(data) < 2:
+        return found[:-1]
+    letter = kinds == LETTER
+    wide = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # no times or division sign
+    letter[1:] |= wide
+    starts = (kinds & START) > 0
+    found[1:-1] = letter[:-1] & (kinds[1:] == PUNCTUATION)
+    found[:-2] |= (data[:-1] == 0x20) & starts[1:]
+    ends = letter | ((kinds & VISIBLE) > 0)
+    feeds = np.flatnonzero((data[1:-1] == 0x0A) & ends[:-2] & starts[2:]) + 1
+    found[feeds] = found[feeds + 1] = True
+    return found[:-1]
+
+
 class Encoder:
-    """Ids of whole texts as uint32 bytes (little-endian machines), with a cache by word.
+    """Ids of whole texts as uint32 bytes (little-endian machines), with a cache by part.
 
-    The vocabulary's pre-tokeniser starts a new unit at a single space, unless white space
-    follows it, so a text may be cut before its spaces without changing its ids. Other texts,
-    and those with the text of a special token, are encoded whole.
+    Texts are cut into parts where the vocabulary's pre-tokeniser starts a new unit anyway;
+    equal parts are encoded once. Texts that hold a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -43,56 +79,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # byte-level: a character for each byte
-        self.known: dict[str, bytes | None] = {}
-        self.earlier: dict[str, bytes | None] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _fill(self, words: set[str]) -> None:
-        """Encodes new words as one text and cuts its ids by the bytes they stand for.
-
-        When half of the cache is full, its words are forgotten unless they are met again before
-        the other half is.
-        """
-        if len(self.known) > CACHE // 2:
-            self.known, self.earlier = {}, self.known
-        inner = []
-        for word in words:
-            if word not in self.known:
-                if word in self.earlier:
-                    self.known[word] = self.earlier[word]
-                elif word[:1] != " ":
-                    self.known[word] = self._ids(word)
-                elif word == " " or word[1].isspace():
-                    self.known[word] = None  # its text is encoded whole
-                else:
-                    inner.append(word)
-        if not inner:
-            return
-        ids = self._ids("".join(inner))
-        end = np.cumsum(self.n_bytes[np.frombuffer(ids, np.uint32)])
-        stop = np.cumsum(np.fromiter(map(len, map(str.encode, inner)), np.int64, len(inner)))
-        cut = np.searchsorted(end, stop)
-        if (end[cut] != stop).any():
-            raise ValueError("the vocabulary has units across a space")
-        cut = [0, *((cut + 1) * 4).tolist()]
-        self.known.update((w, ids[i:j]) for w, i, j in zip(inner, cut, cut[1:]))
+        self._forget()
+
+    def _forget(self) -> None:
+        """The known parts, and where the ids of each lie in ``ids``."""
+        self.parts = pa.array([], pa.binary())
+        self.first = self.count = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32)
+                for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: pa.Array) -> None:
+        """Adds parts: those that start with a single space are encoded as one text, whose ids
+        are cut by the bytes they stand for, and the others each by itself."""
+        words = new.to_pylist()
+        inner = np.fromiter((w[:1] == b" " and len(w) > 1 and KINDS[w[1]] > 0 for w in words),
+                            bool, len(words))
+        at = np.flatnonzero(inner)
+        count = np.zeros(len(words), np.int64)
+        first = np.zeros(len(words), np.int64)
+        found = []
+        if len(at):
+            ids, = self._encode([b"".join(words[i] for i in at).decode()])
+            end = np.cumsum(self.n_bytes[ids])
+            stop = np.cumsum(np.fromiter((len(words[i]) for i in at), np.int64, len(at)))
+            cut = np.searchsorted(end, stop)
+            if (end[cut] != stop).any():
+                raise ValueError("the vocabulary has units across a space")
+            count[at] = np.diff(cut + 1, prepend=0)
+            found.append(ids)
+        rest = np.flatnonzero(~inner)
+        others = self._encode([words[i].decode() for i in rest])
+        count[rest] = [len(x) for x in others]
+        order = np.concatenate([at, rest])
+        first[order] = np.cumsum(count[order]) - count[order] + len(self.ids)
+        self.parts = pa.concat_arrays([self.parts, new])
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, *found, *others])
+
+    def _places(self, parts: pa.DictionaryArray) -> np.ndarray:
+        """The number of each part among the known ones, which all become known."""
+        if len(self.parts) > CACHE:
+            self._forget()
+        place = pc.index_in(parts.dictionary, value_set=self.parts)
+        new = parts.dictionary.filter(pc.is_null(place))
+        place = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.parts) + np.arange(len(new))
+        if len(new):
+            self._learn(new)
+        return place[parts.indices.to_numpy()]
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if any(x in t for x in self.whole) else t.replace(" ", "\0 ").split("\0")
-                 for t in texts]
-        self._fill(set().union(*(words for words in split if words)))
-        for text, words in zip(texts, split):
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except TypeError:
-                yield self._ids(text)
+        raw = [b"" if any(x in t for x in self.whole) else t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        end = np.cumsum(size)
+        joined = b"".join(raw)
+        may = borders(np.frombuffer(joined, np.uint8))
+        may[end[size > 0] - 1] = False  # what follows is another text
+        may[(end - size)[size > 0]] = True
+        cuts = np.append(np.flatnonzero(may), len(joined)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [
+            None, pa.py_buffer(cuts), pa.py_buffer(joined)]).dictionary_encode()
+        place = self._places(parts)
+        count = self.count[place]
+        stop = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[place] - stop + count, count) + np.arange(count.sum())]
+        last = np.append(0, stop)[np.searchsorted(cuts, end)]
+        for text, a, b, n in zip(texts, np.append(0, last[:-1]).tolist(), last.tolist(), size.tolist()):
+            yield ids[a:b].tobytes() if n or not text else self._encode([text])[0].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         some, size = [], 0

@@ -343,6 +343,36 @@ def test_ids_equal_whole_texts():
         assert ids == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def test_ids_of_parts_equal_whole_texts():
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(queries.vocabulary())
+    rng = random.Random(11)
+    signs = ["a", "B", "s", "t", "7", " ", " ", "\n", "\t", "'", ".", "!", "é", "ß", "×", "÷", "…", "ü", "\x85",
+             "\u3000", "中", "😀", "\0", "<|endoftext|>", "-", "\"", "re", "\x7f", "\xa0"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 9))) for _ in range(30_000)] + ["", "x  ", "y", " ", "z\n", " q"]
+    encoder = packing.Encoder(queries.vocabulary())
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes(), text
+
+
+def test_words_are_encoded_once_whatever_sign_follows(monkeypatch):
+    encoder = packing.Encoder(queries.vocabulary())
+    sent = []
+    inner = encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return inner.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counting()
+    words = [f" stem{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    monkeypatch.setattr(packing, "TOGETHER", 1000)
+    list(encoder.encode(["x" + "".join(w + sign for w in words) for sign in ("", ",", ".", "!!", ";", "\nEnd")]))
+    assert sum(map(len, sent)) < 2.2 * sum(map(len, words))
+
+
 def test_pieces_fill_sequences_without_gaps(spark):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(queries.vocabulary())
