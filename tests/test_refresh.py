@@ -203,3 +203,28 @@ def test_action_stream_with_late_actions(spark, tmp_path):
     whole = folds.feedback(spark.createDataFrame(actions, ddl))
     assert len(state.versions()) == 3
     assert rows(state.read().select(*whole.columns)) == rows(whole)
+
+
+def test_an_empty_state_is_no_side_of_a_join(spark, tmp_path):
+    table = refresh.Store(spark, str(tmp_path), 4).table("job_posting_embeddings")
+    empty = table.read()
+    assert empty.collect() == [] and empty.schema.simpleString() == table.schema.simpleString()
+    postings = spark.range(5).selectExpr("cast(id AS string) AS id", "'h' AS content_hash")
+    todo = embedding.pending(postings, empty, "m")
+    assert todo.count() == 5
+    assert "Join" not in todo._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_are_written_to_their_buckets_alone(spark, tmp_path, monkeypatch):
+    store = refresh.Store(spark, str(tmp_path), 4)
+    rows = spark.range(6).selectExpr("cast(id AS string) AS id", "concat('h', id) AS content_hash",
+                                     "repeat('word ', 300) AS description_text")
+    postings = spark.createDataFrame([], schemas.schema("job_postings")).unionByName(
+        rows, allowMissingColumns=True)
+    store.table("job_postings").write(postings)
+    named, staged = [], refresh.Store.staged
+    monkeypatch.setattr(refresh.Store, "staged", lambda self, name, df: named.append(name) or staged(self, name, df))
+    at = datetime(2024, 6, 1)
+    run = lambda: refresh.embed_pending(store, embedding.hashing_embedder(8), "m", at)
+    assert run() == (6, 12) and run() == (0, 0)
+    assert store.table("job_posting_embeddings").read().count() == 12 and "chunks" not in named
