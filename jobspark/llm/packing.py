@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from . import common
 
 SIZE = 2048
 END = 1
+ENCODED = 20_000  # new parts that are encoded at once: the tokenizer takes a hundred bytes for each id
 CACHE = 400_000  # parts whose ids a worker keeps from one group of texts, or task, to the next
-TOGETHER = 1 << 21  # bytes of texts that are looked up as one group
+TOGETHER = 1 << 20  # bytes of texts that are looked up as one group
+ROWS = 500  # texts of a batch that are Python strings at once
 
 Slots = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -132,8 +134,8 @@ class Encoder:
         new = parts.dictionary.filter(pc.is_null(place))
         place = pc.fill_null(place, -1).to_numpy().astype(np.int64)
         place[place < 0] = len(self.parts) + np.arange(len(new))
-        if len(new):
-            self._learn(new)
+        for at in range(0, len(new), ENCODED):
+            self._learn(new.slice(at, ENCODED))
         return place[parts.indices.to_numpy()]
 
     def _some(self, texts: list[str]) -> Iterator[bytes]:
@@ -155,7 +157,7 @@ class Encoder:
         for text, a, b, n in zip(texts, np.append(0, last[:-1]).tolist(), last.tolist(), size.tolist()):
             yield ids[a:b].tobytes() if n or not text else self._encode([text])[0].tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         some, size = [], 0
         for text in texts:
             some.append(text)
@@ -186,7 +188,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder, end = encoder_of(tokenizer), array("I", [END]).tobytes()
         for batch in batches:
             rows, out = [], []
-            texts = pc.fill_null(batch.column(1), "").to_pylist()
+            texts = (t for at in range(0, batch.num_rows, ROWS)
+                     for t in pc.fill_null(batch.column(1).slice(at, ROWS), "").to_pylist())
             for i, ids in enumerate(encoder.encode(texts)):
                 ids += end
                 total = len(ids) // 4
