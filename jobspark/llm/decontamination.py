@@ -3,12 +3,14 @@
 Texts are lower-cased runs of letters and digits, in shingles of five words. Windows of a
 document that are as long as an item are compared with the item by SimHash:
 
-1. A bitmap of fixed size holds the shingles of all items. Documents keep their *zones*:
-   stretches in which such shingles follow each other closely enough for a window of the
-   needed similarity. All else shares too few shingles with any item. This step moves no row.
-2. Zones of equal content are taken once, however many documents hold them, and give all
-   their windows of item sizes. Windows and items get 64-bit SimHash fingerprints of their
-   shingles, repeated ones counted as often as they occur.
+1. A bitmap that grows with the items' shingles (512 KB at least, 16 MB at most) holds them.
+   Documents keep their *zones*: stretches with enough such shingles, close enough to each other
+   for a window of the needed similarity. All else shares too few shingles with any item. This
+   step moves no row.
+2. Zones of equal content are taken once, however many documents hold them, and items of equal
+   content too. Shingles, compared themselves, tell of which sizes a zone can hold items and which
+   items any zone can hold. Zones give their windows of these sizes. Windows and items get 64-bit
+   SimHash fingerprints of their shingles, repeated ones counted as often as they occur.
 3. Fingerprints are cut into ``BLOCKS`` blocks. Two that differ in at most ``RADIUS`` bits
    differ in at most ``RADIUS // BLOCKS`` in some block. Items are indexed under all values
    that near to their blocks, windows look up their own: no pair within the radius is lost.
@@ -32,7 +34,10 @@ LEAST = 0.8
 RADIUS = 19
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, bits)
 PART = 500  # shingles of an item at most; longer items are cut into equal parts
-BITMAP = 1 << 16  # longs of 64 bits
+BITMAP = 1 << 16  # longs of the bitmap at least,
+LARGEST = 1 << 21  # and at most, whatever the number of items
+TASK_ROWS = 500  # zones or items that one task takes, about
+ROOM = 64  # bits of the bitmap for a shingle, up to that size
 # A window has at most as many shingles as the item, n. If the two are similar enough, it has
 # LEAST * n of the item's at least, and at most this part of n that are not the item's.
 FOREIGN = (1 - LEAST) / (1 + LEAST)
@@ -72,51 +77,60 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
         "item", "part", F.size("content").alias("n"), "content").filter("n > 0")
 
 
-def _place(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BITMAP - 1)).cast("int")
+def _bit(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 52).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _bit(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 17).bitwiseAND(F.lit(63)).cast("int")
+def longs(shingle_count: int) -> int:
+    """A power of two that gives each shingle ``ROOM`` bits."""
+    return min(max(BITMAP, 1 << max(0, math.ceil(shingle_count * ROOM / 64) - 1).bit_length()), LARGEST)
 
 
-def bitmap(parts: DataFrame) -> DataFrame:
-    """One row with an array of ``BITMAP`` longs, whatever the number of items."""
+def bitmap(parts: DataFrame, size: int = BITMAP) -> DataFrame:
+    """One row with an array of ``size`` longs. A task makes ``BITMAP`` of them."""
     held = parts.select(F.explode("content").alias("h")).select(
-        _place(F.col("h")).alias("place"),
+        F.col("h").bitwiseAND(F.lit(size - 1)).alias("place"),
         F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(F.col("h"))).alias("bit"),
     ).groupBy("place").agg(F.bit_or("bit").alias("bits"))
-    every = parts.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("place"))
+    every = parts.sparkSession.range(size).select(F.col("id").alias("place"))
     filled = every.join(held, "place", "left").select(
+        F.floor(F.col("place") / BITMAP).alias("piece"),
         F.struct("place", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("x"))
-    return filled.agg(F.array_sort(F.collect_list("x")).alias("x")).select(
-        F.transform("x", lambda x: x["bits"]).alias("bits"))
+    pieces = filled.groupBy("piece").agg(F.array_sort(F.collect_list("x")).alias("x")).select(
+        F.struct("piece", F.transform("x", lambda x: x["bits"]).alias("bits")).alias("x"))
+    return pieces.agg(F.array_sort(F.collect_list("x")).alias("x")).select(
+        F.flatten(F.transform("x", lambda x: x["bits"])).alias("bits"))
 
 
 def zones(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, start, content)``: stretches of documents that can hold a window."""
-    sizes = parts.agg(F.min("n"), F.max("n")).collect()[0]  # two numbers
+    sizes = parts.agg(F.min("n"), F.max("n"), F.sum("n")).collect()[0]  # three numbers
     if sizes[0] is None:
         return docs.select(F.col(id_col).alias("id"), F.lit(0).alias("start"), F.array(
             F.lit(0).cast("bigint")).alias("content")).limit(0)
     least = math.ceil(LEAST * sizes[0] - 1e-9)
     gap = math.floor(FOREIGN * sizes[1] + 1e-9) + 1
+    size = longs(sizes[2])
 
     def held(bits: Column, h: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(bits, _place(h)), _bit(h)).bitwiseAND(F.lit(1)) == 1
+        there = F.get(bits, h.bitwiseAND(F.lit(size - 1)).cast("int"))
+        return F.call_function("shiftrightunsigned", there, _bit(h)).bitwiseAND(F.lit(1)) == 1
 
     def of(every: Column, at: Column) -> Column:
-        first = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > gap))
-        last = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - p > gap))
-        long = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end"))),
-                        lambda z: z["end"] - z["start"] >= least - 1)
-        return F.transform(long, lambda z: F.struct(z["start"].alias("start"), F.slice(
-            every, z["start"] + 1, z["end"] - z["start"] + 1).alias("content")))
-
-    # A scalar subquery that is used once: the optimiser moves it there, so no row carries it.
+        first = F.array_compact(F.transform(at, lambda p, i: F.when(
+            (i == 0) | (p - F.get(at, i - 1) > gap), i)))
+        last = F.array_compact(F.transform(at, lambda p, i: F.when(
+            (i == F.size(at) - 1) | (F.get(at, i + 1) - p > gap), i)))
+        rich = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                        lambda z: z["b"] - z["a"] >= least - 1)
+        return F.transform(rich, lambda z: F.struct(F.get(at, z["a"]).alias("start"), F.slice(
+            every, F.get(at, z["a"]) + 1, F.get(at, z["b"]) - F.get(at, z["a"]) + 1).alias("content")))
+
+    # A scalar subquery that is used once: the optimiser moves it there, so no row carries it
+    # (used twice, it would be copied into each row).
     # An outer generator has no conditions that could be moved below it and make the shingles again.
     held_by = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                          bitmap(parts).scalar().alias("bits"))
+                          bitmap(parts, size).scalar().alias("bits"))
     found = let(shingles(words("text")), lambda every: let(
         F.array_compact(F.transform(every, lambda h, i: F.when(held(F.col("bits"), h), i))),
         lambda at: F.when(F.size(at) >= least, of(every, at))))
@@ -186,42 +200,54 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     parts = common.checkpoint(items(benchmark, item_col, item_text_col))
     found = common.checkpoint(zones(docs, parts, id_col, text_col))
-    # Few rows that each make many windows: dealt out before, in a number AQE leaves alone.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few rows that each make many windows or keys: dealt out before, in a number AQE leaves alone.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism,
+                math.ceil(max(found.count(), parts.count()) / TASK_ROWS))
     contents = common.checkpoint(found.select("content").distinct().repartition(tasks).select(
         F.monotonically_increasing_id().alias("zone"), "content"))
 
     need = F.ceil(F.lit(LEAST) * F.col("n") - 1e-9).cast("int")
-    sized = contents.select("zone", "content", F.explode(
-        parts.agg(F.array_sort(F.collect_set("n"))).scalar()).alias("n")).filter(
-        F.size("content") >= need)
+    # What a window and an item share is at least ``need`` of the shingles of each.
+    in_zones = contents.select("zone", F.explode("content").alias("h"))
+    distinct = parts.select("n", "content").distinct().repartition(tasks)
+    patterns = common.checkpoint(distinct.select(
+        F.monotonically_increasing_id().alias("pattern"), "n", "content"))
+    in_patterns = patterns.select("pattern", "n", F.explode("content").alias("h"))
+    sizes = in_zones.join(in_patterns.select("h", "n").distinct(), "h").groupBy("zone", "n").count().filter(
+        F.col("count") >= need).select("zone", "n")
+    held = in_patterns.join(in_zones.select("h").distinct(), "h", "left_semi").groupBy("pattern", "n").count().filter(
+        F.col("count") >= need).select("pattern")
+
+    sized = sizes.join(contents, "zone").filter(F.size("content") >= need).repartition(tasks)
     windows = sized.select("zone", "n", "content", F.explode(F.sequence(
         F.lit(0), F.size("content") - need)).alias("s")).select(
         "zone", "n", "s", F.slice("content", F.col("s") + 1, F.col("n")).alias("window"))
     prints = windows.select("zone", "n", "s", simhash("window").alias("fp"))
     probes = prints.select("zone", "n", "s", "fp", F.explode(_blocks(False)).alias("key"))
-    index = parts.select("item", "part", "n", simhash("content").alias("fp")).select(
-        "item", "part", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(True)).alias("key"))
+    index = patterns.join(held, "pattern").repartition(tasks).select(
+        "pattern", "n", simhash("content").alias("fp")).select(
+        "pattern", "n", F.col("fp").alias("item_fp"), F.explode(_blocks(True)).alias("key"))
     # Both sides are estimated far too small, as they are exploded: never broadcast.
     near = probes.hint("merge").join(index, (probes["key"] == index["key"]) & (probes["n"] == index["n"]) & (
         F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)).select(
-        "zone", probes["n"], "s", "item", "part").distinct()
+        "zone", probes["n"], "s", "pattern").distinct()
 
     # Verification, on what is near alone.
     pairs = near.join(contents, "zone").join(
-        parts.select("item", "part", F.col("content").alias("wanted")), ["item", "part"]).select(
-        "zone", "item", "n", "wanted", F.slice("content", F.col("s") + 1, F.col("n")).alias("window"))
+        patterns.select("pattern", F.col("content").alias("wanted")), "pattern").select(
+        "zone", "pattern", "wanted", F.slice("content", F.col("s") + 1, F.col("n")).alias("window"))
     common_at = F.array_compact(F.transform(
         "window", lambda h, i: F.when(F.array_contains(F.col("wanted"), h), i)))
     trimmed = pairs.withColumn("at", common_at).filter(F.size("at") > 0).select(
-        "zone", "item", "wanted", F.slice("window", F.get("at", F.lit(0)) + 1, F.element_at(
+        "zone", "pattern", "wanted", F.slice("window", F.get("at", F.lit(0)) + 1, F.element_at(
             "at", -1) - F.get("at", F.lit(0)) + 1).alias("window"))
-    shared = trimmed.select("zone", "item", (F.size("wanted") + F.size("window")).alias("sizes"),
+    shared = trimmed.select("zone", "pattern", (F.size("wanted") + F.size("window")).alias("sizes"),
                             _shared(F.col("window"), F.col("wanted")).alias("shared"))
-    similar = shared.select("zone", "item", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias(
-        "similarity")).filter(F.col("similarity") >= LEAST - 1e-9).groupBy("zone", "item").agg(
+    similar = shared.select("zone", "pattern", (F.col("shared") / (F.col("sizes") - F.col("shared"))).alias(
+        "similarity")).filter(F.col("similarity") >= LEAST - 1e-9).groupBy("zone", "pattern").agg(
         F.max("similarity").alias("similarity"))
-    hits = similar.join(contents, "zone").select("content", "item", "similarity")
+    owners = patterns.join(parts.select("item", "n", "content"), ["n", "content"]).select("pattern", "item")
+    hits = similar.join(contents, "zone").join(owners, "pattern").select("content", "item", "similarity")
     return found.join(hits, "content").groupBy("id", "item").agg(
         F.round(F.max("similarity"), 6).alias("similarity")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity")

@@ -242,6 +242,22 @@ def test_texts_are_cut_into_shingles_once(spark):
     parts = common.checkpoint(decontamination.items(common.table(spark, sf, "benchmark", "item_id", "text")))
     found = decontamination.zones(common.table(spark, sf, "documents", "doc_id", "text"), parts, "doc_id", "text")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"subquery#\d+[^,]{0,20} AS bits", plan)  # no row carries the bitmap
+
+
+def test_zones_stay_few_beside_many_items(spark):
+    rng = random.Random(21)
+    items = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(44)) for _ in range(20_000)]
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(3000)) for _ in range(30)]
+    texts[7] += " " + items[11] + " x " + items[19_999] + " y"
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    parts = common.checkpoint(decontamination.items(benchmark))
+    found = decontamination.zones(frame(spark, texts), parts, "doc_id", "text").collect()
+    assert {r["id"] for r in found} == {7} and 80 <= sum(len(r["content"]) for r in found) < 100
+    got = decontamination.matches(frame(spark, texts), benchmark)
+    assert sorted(map(tuple, got.collect())) == [(7, 11, 1.0), (7, 19_999, 1.0)]
+    assert decontamination.longs(1) == decontamination.BITMAP and decontamination.longs(10**12) == decontamination.LARGEST
 
 
 # ---- secrets -----------------------------------------------------------------------------
