@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 Score = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 # Cuts rows that were gathered from several blocks to n per request.
 Cut = Callable[[pd.DataFrame], pd.DataFrame]
-# From the best rows so far, what later blocks need not look at.
-Bound = Callable[[pd.DataFrame], dict]
+# (blocks of candidates, requests) -> the same of all blocks of a task.
+Gather = Callable[[Iterator[pd.DataFrame], pd.DataFrame], Iterator[pd.DataFrame]]
 
 REQUEST_ROWS = 20_000
 REQUEST_BYTES = 64 << 20
@@ -58,34 +58,41 @@ def measure(requests: DataFrame, request_rows: int = REQUEST_ROWS,
 
 def best_per_request(
     candidates: DataFrame, asked: Asked, score: Score, cut: Cut, schema: str,
-    candidate_key: str, candidate_rows: int = CANDIDATE_ROWS, bound: Bound | None = None,
+    candidate_key: str, candidate_rows: int = CANDIDATE_ROWS, gather: Gather | None = None,
 ) -> DataFrame:
     """Per task, the best rows of every request; cut them once more per request.
 
-    With ``bound``, ``score`` gets as third argument what it makes of the best rows so far.
+    ``gather`` takes the place of ``score`` and ``cut`` where a task sees all requests.
     """
     if asked.local is not None:
-        return _broadcast(candidates, asked.local, score, cut, schema, bound)
+        return _broadcast(candidates, asked.local, gather or _gathered(score, cut), schema)
     return _cogrouped(candidates, asked, score, schema, candidate_key, candidate_rows)
 
 
-def _broadcast(candidates, requests, score, cut, schema, bound=None) -> DataFrame:
-    shared = candidates.sparkSession.sparkContext.broadcast(requests)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, more, known = None, [], {}
+def _gathered(score: Score, cut: Cut) -> Gather:
+    def gather(frames: Iterator[pd.DataFrame], requests: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        best, more = None, []
         for frame in frames:
-            found = score(frame, shared.value, known) if bound else score(frame, shared.value)
+            found = score(frame, requests)
             if not len(found):
                 continue
             more.append(found)
             # Few new rows wait, so that the best ones are not sorted again for each block.
             if best is None or sum(map(len, more)) > len(best) // 4:
                 best = cut(pd.concat([*([] if best is None else [best]), *more], ignore_index=True))
-                more, known = [], bound(best) if bound else {}
+                more = []
         if best is not None:
             yield cut(pd.concat([best, *more], ignore_index=True)) if more else best
 
+    return gather
+
+
+def _broadcast(candidates, requests, gather, schema) -> DataFrame:
+    shared = candidates.sparkSession.sparkContext.broadcast(requests)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from gather(frames, shared.value)
+
     return candidates.mapInPandas(run, schema)
 
 

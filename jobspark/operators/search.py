@@ -152,6 +152,119 @@ def _grouped(req: pd.DataFrame) -> dict:
     return groups
 
 
+_CHUNK = ["id", "job_posting_id", "content_hash"]
+_EMITTED = 20_000  # rows that leave a task at once
+
+
+def _hits(cand: pd.DataFrame, req: pd.DataFrame, groups: dict, pool: int,
+          farthest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of request and candidate, and distance, of the ``pool`` nearest candidates of
+    each request by (distance, id), and no farther than ``farthest``."""
+    none = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)
+    if not len(cand) or not len(req):
+        return none
+    by_id, facts = _order(cand["id"].to_numpy()), _Facts(cand)
+    who, what, far = [], [], []
+    for model, vectors in groups.items():  # models may differ in dimension
+        at = np.flatnonzero((cand["model_name"] == model).to_numpy()).astype(np.int32)
+        if not len(at):
+            continue
+        unit, each = _unit(_stack(cand["embedding"].iloc[at])), list(vectors.values())
+        width = max(1, _CELLS // len(at))
+        for first in range(0, len(each), width):
+            part = each[first: first + width]
+            wanted = _unit(_stack(req["vector"].iloc[[next(iter(x.values()))[0] for x in part]]))
+            # Equal vectors are equally far, whatever the last bits of their sums.
+            distance = np.round(1.0 - wanted @ unit.T, 12)
+            distance[np.isnan(distance)] = np.inf  # a vector of zeros is near nothing
+            for row, alike in zip(distance, part):
+                for filters, members in alike.items():
+                    most = np.inf if farthest is None else farthest[members].max()
+                    near = np.flatnonzero((row <= most) & (row < np.inf))
+                    near = near[facts.admitted(at[near], *filters)]
+                    if len(near) > pool:
+                        there = row[near]
+                        near = near[there <= np.partition(there, pool - 1)[pool - 1]]
+                        near = near[np.lexsort((by_id[at[near]], row[near]))[:pool]]
+                    if len(near):
+                        who.append(np.repeat(np.asarray(members, np.int32), len(near)))
+                        what.append(np.tile(at[near], len(members)))
+                        far.append(np.tile(row[near], len(members)))
+    return (np.concatenate(who), np.concatenate(what), np.concatenate(far)) if who else none
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """The place of each id in their order."""
+    out = np.empty(len(ids), np.int32)
+    out[np.argsort(ids, kind="stable")] = np.arange(len(ids), dtype=np.int32)
+    return out
+
+
+def _rows(names: np.ndarray, chunks: pd.DataFrame, who, what, far) -> pd.DataFrame:
+    out = chunks[_CHUNK].iloc[what].rename(columns={"id": "chunk_id"}).reset_index(drop=True)
+    out.insert(0, "request_id", names[who])
+    return out.assign(distance=far)
+
+
+def _score(pool: int):
+    def score(cand: pd.DataFrame, req: pd.DataFrame, farthest: dict | None = None) -> pd.DataFrame:
+        names = req["request_id"].to_numpy()
+        most = np.array([farthest.get(n, np.inf) for n in names]) if farthest else None
+        return _rows(names, cand, *_hits(cand, req, _grouped(req), pool, most))
+
+    return score
+
+
+class _Nearest:
+    """The ``pool`` nearest chunks so far of each request, by (distance, id).
+
+    Held as numbers, each chunk once however many requests it is near to; only what leaves the
+    task, a bounded number of rows at a time, is written out.
+    """
+
+    def __init__(self, requests: int, pool: int):
+        self.requests, self.pool = requests, pool
+        self.who, self.what, self.far = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)
+        self.chunks: pd.DataFrame | None = None
+        self.farthest = np.full(requests, np.inf)
+
+    def add(self, cand: pd.DataFrame, who: np.ndarray, what: np.ndarray, far: np.ndarray) -> None:
+        if not len(who):
+            return
+        seen, what = np.unique(what, return_inverse=True)
+        new = cand[_CHUNK].iloc[seen]
+        held = 0 if self.chunks is None else len(self.chunks)
+        self.chunks = new if not held else pd.concat([self.chunks, new], ignore_index=True)
+        who, far = np.concatenate([self.who, who]), np.concatenate([self.far, far])
+        what = np.concatenate([self.what, what.astype(np.int32) + held])
+        order = np.lexsort((_order(self.chunks["id"].to_numpy())[what], far, who))
+        who = who[order]
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        keep = nth < self.pool
+        last = order[nth == self.pool - 1]
+        order = order[keep]
+        self.who, self.far = who[keep], far[order]
+        # What is farther away than a full pool cannot count in later blocks.
+        self.farthest[who[nth == self.pool - 1]] = far[last]
+        seen, inverse = np.unique(what[order], return_inverse=True)
+        self.chunks, self.what = self.chunks.iloc[seen], inverse.astype(np.int32)
+
+    def rows(self, names: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(self.who), _EMITTED):
+            part = slice(at, at + _EMITTED)
+            yield _rows(names, self.chunks, self.who[part], self.what[part], self.far[part])
+
+
+def _gather(pool: int):
+    def gather(frames: Iterator[pd.DataFrame], req: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        groups, best = _grouped(req), _Nearest(len(req), pool)
+        for frame in frames:
+            best.add(frame, *_hits(frame, req, groups, pool, best.farthest))
+        yield from best.rows(req["request_id"].to_numpy())
+
+    return gather
+
+
 def _keep_nearest(near: pd.DataFrame, pool: int) -> pd.DataFrame:
     """The first ``pool`` rows of each request by (distance, chunk_id)."""
     near = near.sort_values(["request_id", "distance", "chunk_id"], kind="stable")
@@ -165,57 +278,6 @@ def _farthest(best: pd.DataFrame, pool: int) -> dict:
     return of["max"][of["size"] >= pool].to_dict()
 
 
-def _score(pool: int):
-    last: list = []  # requests that come with every block, and their groups
-
-    def score(cand: pd.DataFrame, req: pd.DataFrame, farthest: dict | None = None) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["request_id", "chunk_id", "job_posting_id",
-                                      "content_hash", "distance"])
-        if not len(cand) or not len(req):
-            return empty
-        if not last or last[0] is not req:
-            last[:] = [req, _grouped(req)]
-        ids, owners, hashes = (
-            cand[c].to_numpy() for c in ("id", "job_posting_id", "content_hash"))
-        by_id = np.empty(len(ids), np.int64)
-        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        names, facts = req["request_id"].to_numpy(), _Facts(cand)
-        who, what, far = [], [], []
-        for model, vectors in last[1].items():  # models may differ in dimension
-            at = np.flatnonzero((cand["model_name"] == model).to_numpy())
-            if not len(at):
-                continue
-            unit, each = _unit(_stack(cand["embedding"].iloc[at])), list(vectors.values())
-            width = max(1, _CELLS // len(at))
-            for first in range(0, len(each), width):
-                part = each[first: first + width]
-                wanted = _unit(_stack(req["vector"].iloc[[next(iter(x.values()))[0] for x in part]]))
-                # Equal vectors are equally far, whatever the last bits of their sums.
-                distance = np.round(1.0 - wanted @ unit.T, 12)
-                distance[np.isnan(distance)] = np.inf  # a vector of zeros is near nothing
-                for row, alike in zip(distance, part):
-                    for filters, members in alike.items():
-                        most = max(farthest.get(names[m], np.inf) for m in members) if farthest else np.inf
-                        near = np.flatnonzero((row <= most) & (row < np.inf))
-                        near = near[facts.admitted(at[near], *filters)]
-                        if len(near) > pool:
-                            there = row[near]
-                            near = near[there <= np.partition(there, pool - 1)[pool - 1]]
-                            near = near[np.lexsort((by_id[at[near]], row[near]))[:pool]]
-                        for m in members if len(near) else ():
-                            who.append(np.full(len(near), m))
-                            what.append(at[near])
-                            far.append(row[near])
-        if not who:
-            return empty
-        j, i = np.concatenate(who), np.concatenate(what)
-        return pd.DataFrame({
-            "request_id": names[j], "chunk_id": ids[i], "job_posting_id": owners[i],
-            "content_hash": hashes[i], "distance": np.concatenate(far)})
-
-    return score
-
-
 def _admitted(asked: pd.DataFrame, chunks: DataFrame, postings: DataFrame):
     """Drops what no request admits, so that it is neither read nor shuffled."""
     if not len(asked):
@@ -258,10 +320,17 @@ def _nearest(near: DataFrame, pool: int) -> DataFrame:
 
 
 def _draw(asked: block_top.Asked, candidates: DataFrame, pool: int, candidate_rows: int):
-    """The ``pool`` nearest of the candidate chunks."""
-    return _nearest(block_top.best_per_request(
-        _candidates(candidates), asked, _score(pool), lambda best: _keep_nearest(best, pool),
-        _NEAR, "id", candidate_rows, lambda best: _farthest(best, pool)), pool)
+    """The ``pool`` nearest of the candidate chunks. Requests that ask for the same are drawn
+    once, so that tasks do not hand on the same chunks for each of them."""
+    keyed = asked.frame.withColumn("_same", F.sha2(F.to_json(F.struct(*REQUEST_FIELDS[1:])), 256))
+    first = keyed.groupBy("_same").agg(F.min("request_id").alias("_first"))
+    owners = keyed.join(first, "_same").select("_first", "request_id").distinct()
+    few = block_top.measure(asked.frame.join(first.select(F.col("_first").alias("request_id")),
+                                             "request_id", "left_semi"), asked.request_rows, asked.request_bytes)
+    near = _nearest(block_top.best_per_request(
+        _candidates(candidates), few, _score(pool), lambda best: _keep_nearest(best, pool),
+        _NEAR, "id", candidate_rows, _gather(pool)), pool)
+    return owners.join(near.withColumnRenamed("request_id", "_first"), "_first").select(*near.columns)
 
 
 def _facts(postings: DataFrame, fresh_only: bool) -> tuple[DataFrame, list[str]]:
@@ -358,7 +427,9 @@ def search(requests: DataFrame, chunks: DataFrame, postings: DataFrame, *, top_k
     so fewer than ``top_k`` postings are possible. Texts join at the very end.
     """
     k = top_k_of(top_k, most)
-    asked = block_top.measure(requests.select(*REQUEST_FIELDS), **limits)
+    # Read many times below: embedded and joined once.
+    asked = block_top.measure(_stored(
+        requests.sparkSession, "requests", requests.select(*REQUEST_FIELDS)), **limits)
     near = nearest_chunks(asked, chunks, postings, pool or pool_of(k),
                           fresh_only=fresh_only, late=late, candidate_rows=candidate_rows)
     return _presented(near, chunks, postings, k, preview_chars)

@@ -380,3 +380,45 @@ def test_blocks_of_many_requests_equal_brute_force():
                 want.append((round(1 - c["embedding"] @ r["vector"] / size, 12), c["id"]))
         got = found[found["request_id"] == r["request_id"]]
         assert list(got["chunk_id"]) == [c for _, c in sorted(want)[:7]]
+
+
+def test_a_task_holds_numbers_and_hands_on_bounded_blocks(monkeypatch):
+    rnd = np.random.default_rng(4)
+    cand = pd.DataFrame({
+        "id": [f"c{i:03d}" for i in rnd.permutation(300)], "job_posting_id": "p", "content_hash": "h",
+        "embedding": [rnd.integers(-2, 3, 3).astype(float) for _ in range(300)], "model_name": "m",
+        "source": "s", "remote": True, "salary_max": rnd.integers(0, 40, 300).astype(float), "location": "Berlin"})
+    req = pd.DataFrame([(f"r{i}", rnd.integers(-1, 2, 3).astype(float), "m", None, False, float(i % 9), None)
+                        for i in range(50)], columns=search.REQUEST_FIELDS)
+    monkeypatch.setattr(search, "_EMITTED", 40)
+    blocks = [cand[k:k + 70].reset_index(drop=True) for k in range(0, 300, 70)]
+    made = list(search._gather(7)(iter(blocks), req))
+    assert all(0 < len(x) <= 40 for x in made)
+    want = search._keep_nearest(search._score(300)(cand, req), 7)
+    rows = lambda df: sorted(map(tuple, df[["request_id", "chunk_id", "job_posting_id", "content_hash", "distance"]].to_numpy()))
+    assert rows(pd.concat(made)) == rows(want)
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_requests_that_ask_for_the_same_are_drawn_once(spark, monkeypatch, late):
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"p{i % 7}", [float(i), 1.0], "m", "h", f"t{i}") for i in range(20)],
+        "id string, job_posting_id string, embedding array<double>, model_name string, content_hash string, chunk_text string")
+    postings = spark.createDataFrame([(f"p{i}", "s", i % 2 == 0, 10.0 * i, "Berlin", f"text {i}") for i in range(7)],
+                                     "id string, source string, remote boolean, salary_max double, location string, description_text string")
+    postings = postings.withColumns({c: F.lit(None).cast("string") for c in (
+        "title", "company", "salary_currency", "employment_type", "category", "apply_url")}).withColumns(
+        {"salary_min": F.lit(0.0), "posted_at": F.lit(None).cast("timestamp")})
+    asked = spark.createDataFrame(
+        [(f"r{i}", [1.0, float(i % 2)], "m", None, i % 3 == 0, None, None) for i in range(12)],
+        "request_id string, vector array<double>, model_name string, sources array<string>, remote_only boolean, "
+        "minimum_salary double, location string")
+    seen, best = [], search.block_top.best_per_request
+    monkeypatch.setattr(search.block_top, "best_per_request", lambda c, a, *more: seen.append(a.rows) or best(c, a, *more))
+    got = search.search(asked, chunks, postings, top_k=3, late=late)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["request_id"], []).append((r["base_rank"], r["job_posting_id"], r["similarity"]))
+    assert seen[0] == (2 if late else 4)
+    assert len(found) == 12 and all(sorted(found[f"r{i}"]) == sorted(found[f"r{i + 6}"]) for i in range(6))
+    assert sorted(found["r0"]) != sorted(found["r1"])
