@@ -1,12 +1,13 @@
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from jobspark import schemas
+from jobspark import schemas, session
 from jobspark.operators import embedding, folds, merge, runlog
 from jobspark.plans import refresh
 from jobspark.sources import tables
@@ -228,3 +229,20 @@ def test_chunks_are_written_to_their_buckets_alone(spark, tmp_path, monkeypatch)
     run = lambda: refresh.embed_pending(store, embedding.hashing_embedder(8), "m", at)
     assert run() == (6, 12) and run() == (0, 0)
     assert store.table("job_posting_embeddings").read().count() == 12 and "chunks" not in named
+
+
+def test_shuffles_go_with_their_query(spark, tmp_path):
+    files = lambda: [x for x in (f.getName() for f in list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))) if x.startswith("shuffle_")]
+    was = spark.conf.get(session.SHORT_LIVED)
+    try:
+        store = refresh.Store(spark, str(tmp_path / "store"), 4)
+        before = set(files())
+        made = store.staged("x", spark.range(5000).repartition(5, "id").groupBy((F.col("id") % 900).alias("k")).count())
+        assert made.count() == 900
+        end = time.time() + 20
+        while set(files()) - before and time.time() < end:
+            time.sleep(0.2)
+        assert not set(files()) - before
+    finally:
+        spark.conf.set(session.SHORT_LIVED, was)
